@@ -45,7 +45,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         "kind": F.when(F.col("k") % 4 == 0, "reasoning").otherwise("chat"),
         "streaming": F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"),
         "status": F.when(err & (F.col("k") % 2 == 0), 503).when(err, 404).otherwise(200),
-        "gen": F.col("value") / 10, "ttft": F.col("value") / 25,
+        "gen": F.col("value") / 10, "ttft": F.col("value") / 8,
         "cents": F.round(F.col("value") * 100).cast("bigint"),
         "day": F.floor(F.col("us") / (DAY * 1_000_000)).cast("bigint")})
 
@@ -58,7 +58,7 @@ EV = """ev AS (
          CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS streaming,
          CASE WHEN event_type = 'error' AND CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 2 = 0 THEN 503
               WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
-         value / 10 AS gen, value / 25 AS ttft, CAST(round(value * 100) AS BIGINT) AS cents,
+         value / 10 AS gen, value / 8 AS ttft, CAST(round(value * 100) AS BIGINT) AS cents,
          epoch_us(ts) // 86400000000 AS day
   FROM events)"""
 

@@ -20,3 +20,5 @@ def query(name: str, sql: str | None = None):
 
 
 from . import timeseries  # noqa: E402,F401
+from . import alerting  # noqa: E402,F401
+from . import calls  # noqa: E402,F401

@@ -79,7 +79,7 @@ def token_entropy(content: Column) -> Column:
 
 def _margin_of(top: Column) -> Column:
     first = F.filter(F.slice(top, 1, MARGIN_CANDIDATES), lambda c: c["logprob"].isNotNull())
-    probs = F.reverse(F.array_sort(F.transform(first, lambda c: F.exp(_num(c["logprob"])))))
+    probs = F.reverse(F.sort_array(F.transform(first, lambda c: F.exp(_num(c["logprob"])))))
     broken = F.exists(first, lambda c: _num(c["logprob"]).isNull())
     return F.when((F.size(top) >= 2) & ~broken & (F.size(first) >= 2),
                   F.greatest(F.lit(0.0), F.element_at(probs, 1) - F.try_element_at(probs, F.lit(2))))

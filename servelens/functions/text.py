@@ -38,11 +38,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (Column -> Column)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def content_words(text: Column) -> Column:
     """Lower-cased words without edge punctuation and stop words."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    bare = F.transform(words(text), lambda w: F.lower(F.btrim(w, F.lit(STRIPPED))))
-    return F.filter(bare, lambda w: (w != "") & ~F.array_contains(stop, w))
+    bare = F.transform(F.split(F.lower(text), SPACE + "+"), lambda w: F.btrim(w, F.lit(STRIPPED)))
+    return F.filter(bare, lambda w: ~w.isin("", *STOPWORDS))
 
 
 def repetition(text: Column) -> Column:
@@ -51,13 +55,13 @@ def repetition(text: Column) -> Column:
     Stays inside the row: trigrams are sorted and the longest run of equals is
     folded out, so nothing is exploded or shuffled.
     """
-    w = content_words(F.coalesce(text, F.lit("")))
-    # a word holds no white space, so a blank joins words without ambiguity
-    grams = F.transform(F.filter(F.arrays_zip(
-        w.alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b"),
-        F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))).alias("c")), lambda z: z["c"].isNotNull()),
-        lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))
-    return F.when(F.size(w) < MIN_WORDS, F.lit(0.0)).otherwise(_top_share(F.array_sort(grams)))
+    def grams(w):
+        # a word holds no white space, so a blank joins words without ambiguity
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(
+            " ", F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+
+    return let(content_words(F.coalesce(text, F.lit(""))), lambda w: F.when(
+        F.size(w) >= MIN_WORDS, _top_share(F.sort_array(grams(w)))).otherwise(F.lit(0.0)))
 
 
 def _top_share(ordered: Column) -> Column:

@@ -48,7 +48,7 @@ def histogram_quantile(q: float, vec: DataFrame) -> DataFrame:
     bound, a fixed small number.
     """
     keys = ["t", *[c for c in labels_of(vec) if c != "le"]]
-    ordered = vec.groupBy(*keys).agg(F.array_sort(F.collect_list(
+    ordered = vec.groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.struct(_le(F.col("le")).alias("le"), F.col("value").alias("cum")))).alias("b"))
     total = F.element_at("b", -1)["cum"]
     ordered = ordered.withColumn("rank", F.lit(float(q)) * total)

@@ -75,7 +75,8 @@ def memory_used(total: Column, free: Column, inactive: Column, speculative: Colu
 def thermal_pressure(text: Column) -> Column:
     """0..1 from the scheduler limit; no such line means no pressure."""
     limit = _number(text, r"CPU_Scheduler_Limit:\s*(\d+)", "first")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (100.0 - limit) / 100.0)), F.lit(0.0))
+    # greatest/least skip nulls, so the missing line is decided first
+    return F.when(limit.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (100.0 - limit) / 100.0)))
 
 
 def component_match(procs: DataFrame, needles: dict[str, str], command: str = "command") -> DataFrame:

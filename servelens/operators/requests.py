@@ -278,7 +278,7 @@ def assemble_stream(chunks: DataFrame) -> DataFrame:
         F.max_by("_u", F.when(F.col("_has_usage"), F.col("seq"))).alias("usage"),
         F.max_by("_fr", F.when(F.col("_some"), F.col("seq"))).alias("finish_reason"),
         F.min(F.when(has_text, F.col("recv_ts"))).alias("t_first"))
-    frags = F.flatten(F.transform(F.array_sort("_tools"), lambda x: x["t"]))
+    frags = F.flatten(F.transform(F.sort_array("_tools"), lambda x: x["t"]))
     g = g.withColumn("_frags", frags)
     ids = F.array_distinct(F.transform("_frags", lambda t: t["id"]))
 
@@ -291,7 +291,7 @@ def assemble_stream(chunks: DataFrame) -> DataFrame:
                         F.coalesce(typ, F.lit(UNKNOWN)).alias("type"))
 
     return g.select("request_id",
-                    F.array_join(F.transform(F.array_sort("_parts"), lambda x: x["c"]), "").alias("content"),
+                    F.array_join(F.transform(F.sort_array("_parts"), lambda x: x["c"]), "").alias("content"),
                     F.transform(ids, fold).alias("tools"), "usage", "finish_reason", "t_first")
 
 
@@ -311,7 +311,7 @@ def assemble_tool_args(chunks: DataFrame) -> DataFrame:
     t = t.select("request_id", F.coalesce("_tc.index", F.lit(0)).alias("index"),
                  F.struct("seq", "_cp", "_tp", F.coalesce("_tc.function.name", F.lit("")).alias("n"),
                           F.coalesce("_tc.function.arguments", F.lit("")).alias("a")).alias("f"))
-    g = t.groupBy("request_id", "index").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    g = t.groupBy("request_id", "index").agg(F.sort_array(F.collect_list("f")).alias("f"))
     return g.select("request_id", "index", F.array_join(F.transform("f", lambda x: x["n"]), "").alias("name"),
                     F.array_join(F.transform("f", lambda x: x["a"]), "").alias("arguments")).where("name <> ''")
 

@@ -41,7 +41,7 @@ class Grid:
 
 def normalise_labels(labels: Column) -> Column:
     """Series identity text: label pairs in key order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
 def matcher(labels: Column, eq: dict | None = None, re: dict | None = None) -> Column:

@@ -69,7 +69,8 @@ def cmp(left: DataFrame, op: str, right, on: list[str] | None = None) -> DataFra
 
 
 def clamp_min(v: DataFrame, x: float) -> DataFrame:
-    return v.withColumn("value", F.greatest("value", F.lit(float(x))))
+    """Lower bound; an undefined (null) value stays undefined."""
+    return v.withColumn("value", F.when(F.col("value").isNotNull(), F.greatest("value", F.lit(float(x)))))
 
 
 

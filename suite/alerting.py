@@ -87,7 +87,7 @@ def alert_hallucination_risk(spark, sf):
 
 
 @query("alert_high_repetition", rule_sql(
-    REQ + f", r AS ({window_sum('req', 600, ['model'])}), m AS ({window_sum('ev', 600, ['model'], 'avg(least(i.value / 100, 1))')})",
+    REQ + f", r AS ({window_sum('req', 600, ['model'])}), m AS ({window_sum('ev', 600, ['model'], 'avg(least(i.value / 97, 1))')})",
     "SELECT m.* FROM m JOIN r USING (t, model) WHERE m.value > 0.3 AND r.value > 0", ["model"], 300))
 def alert_high_repetition(spark, sf):
     return states(spark, sf, "HighRepetition", ["model"])

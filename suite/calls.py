@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from servelens.functions import text as Q
 from servelens.operators import requests as R
 
-from .adapters import EV, events, out, table
+from .adapters import EV, T0, events, out, table
 from .registry import query
 
 ROUND = 6
@@ -32,13 +32,13 @@ def request_rows(spark, sf):
         F.when(F.col("k") % 4 != 0, F.struct(
             F.col("k").alias("prompt_tokens"), (F.col("k") % 50).alias("completion_tokens"),
             F.struct((F.col("k") * 2 % 120).alias("cached_tokens")).alias("prompt_tokens_details"))).alias("usage")))
-    sec = F.col("us") / 1e6
+    sec = (F.col("us") - T0 * 1_000_000) / 1e6
     path = F.when(F.col("event_type") == "view", "/v1/models").otherwise("/v1/chat/completions")
     return d.select(
         F.col("event_id").cast("string").alias("request_id"), F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"),
         path.alias("path"), F.create_map(F.lit("X-Mlx-Trace"), F.when(F.col("k") % 8 == 0, "0").otherwise("1")).alias("headers"),
         body.alias("body"), F.col("status"), resp.alias("response"), (sec - F.col("k") / 1000).alias("t_arrival"), sec.alias("t_send"),
-        F.when(F.col("k") % 2 == 0, sec + F.col("gen") / 4).alias("t_first"), (sec + F.col("gen")).alias("t_done"))
+        F.when(F.col("k") % 2 == 0, sec + F.col("gen") / 3).alias("t_first"), (sec + F.col("gen") * 1.00013).alias("t_done"))
 
 
 FACTS = EV + """, rq AS (SELECT *, CASE WHEN k % 10 != 0 THEN model ELSE 'default' END AS mdl,
@@ -58,8 +58,8 @@ def facts(spark, sf):
        round(CASE WHEN k % 5 != 0 THEN k / 100 ELSE 0 END, 6) AS temperature, prompt_tokens, completion_tokens,
        CASE WHEN k % 4 != 0 THEN k * 2 % 120 ELSE 0 END AS cached_tokens,
        round(CASE WHEN k % 4 != 0 AND k > 0 THEN least(1, (k * 2 % 120) / k) END, 6) AS cache_ratio,
-       round(gen, 4) AS gen_seconds, round(CASE WHEN k % 2 = 0 THEN gen / 4 ELSE gen END, 4) AS ttft_seconds,
-       round(CASE WHEN completion_tokens > 0 THEN completion_tokens / gen END, 2) AS token_rate,
+       round(gen * 1.00013, 4) AS gen_seconds, round(CASE WHEN k % 2 = 0 THEN gen / 3 ELSE gen * 1.00013 END, 4) AS ttft_seconds,
+       round(CASE WHEN completion_tokens > 0 THEN completion_tokens / (gen * 1.00013) END, 2) AS token_rate,
        CASE WHEN status >= 400 THEN (status // 100)::VARCHAR || 'xx' END AS error_class,
        CASE WHEN k % 6 != 0 THEN 'stop' ELSE 'unknown' END AS finish_reason, CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS n_tool_calls,
        round(least(1, 0.4 * least(2 / 5.0, 1) + 0.7 * CASE WHEN k % 3 = 0 AND k % 6 != 0 THEN 1 ELSE 0 END), 6) AS risk,

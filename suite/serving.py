@@ -107,7 +107,7 @@ def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]
             "hw_uptime_seconds": F.col("us") / 1e6 - T0, "hw_up": F.lit(1), "worker_cpu_percent": k, "worker_rss_bytes": k * 1e7}.items():
         gauge(name, {**node, **hw}, value)
     for name, value in {
-            "heuristic_repetition": F.least(v / 100, F.lit(1.0)), "heuristic_refusal": F.when(k < 30, 1.0).otherwise(0.0), "heuristic_hedging": k / 200,
+            "heuristic_repetition": F.least(v / 97, F.lit(1.0)), "heuristic_refusal": F.when(k < 30, 1.0).otherwise(0.0), "heuristic_hedging": k / 200,
             "heuristic_ungrounded": k / 300, "context_used_tokens": k * 4, "context_utilization": k / 100,
             "context_length_max_tokens": F.lit(32768), "kv_bytes_per_token": F.lit(114688), "prompt_cache_ratio": k / 100,
             "output_perplexity": 1 + v / 40, "token_entropy_nats": v / 300, "token_confidence_mean": 1 - k / 100.0,

@@ -1,11 +1,13 @@
 """Benchmark results, agent runs, engine comparison."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as V
 from .histograms import histogram_quantile
-from .samples import Grid, counter_increments, gauge_rollup, instant, rate, select_series
+from .samples import Grid, counter_increments, gauge_rollup, instant, matcher, normalise_labels, rate
 from .slices import carry_forward, micros
 from .stats import nearest_rank, p95_minus_one
 
@@ -88,11 +90,10 @@ def agent_runs(turns: DataFrame) -> DataFrame:
     A run is done when one of its turns made no tool call.
     """
     calls = F.coalesce(F.size("tool_calls"), F.lit(0))
-    calls = F.when(calls < 0, 0).otherwise(calls)
-    valid = F.size(F.filter("tool_calls", lambda c: F.try_parse_json(c["arguments"]).isNotNull()))
+    valid = F.coalesce(F.size(F.filter("tool_calls", lambda c: F.try_parse_json(c["arguments"]).isNotNull())), F.lit(0))
     return turns.groupBy("run_id", "scenario").agg(
         F.count(F.lit(1)).alias("turns"), F.sum(calls).alias("calls"),
-        F.sum(F.when(valid < 0, 0).otherwise(valid)).alias("valid_calls"),
+        F.sum(valid).alias("valid_calls"),
         F.max(calls == 0).alias("done"), F.avg("ttft").alias("ttft_mean"), F.max("ttft").alias("ttft_max"),
         F.avg("wall").alias("turn_wall_mean"), F.sum("wall").alias("wall"))
 
@@ -165,35 +166,54 @@ ENGINE_METRICS = {
 }
 
 
-def normalize_engines(samples: DataFrame, grid: Grid, prefix: str, up_jobs: str = ".*") -> DataFrame:
-    """Engine-specific metrics -> one namespace ``(record, t, provider, value)``.
+def _engine_series(samples: DataFrame, names: list[str], labels: list[str], where=None) -> DataFrame:
+    """Samples of several metrics at once; ``rank`` is the position of the metric in ``names``."""
+    lab = F.col("labels")
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("metric")).cast("int")
+    d = samples.where(F.col("metric").isin(names))
+    if where is not None:
+        d = d.where(where)
+    return d.select(normalise_labels(lab).alias("series"), rank.alias("rank"),
+                    *[F.coalesce(lab[n], F.lit("")).alias(n) for n in labels], "ts", "value")
 
-    Earlier names win where several exist for the same time and provider.
-    """
-    def names(record):
-        return [(prefix + n) if own else n for n, own in ENGINE_METRICS[record]]
 
-    def tagged(v, record):
-        return v.select(F.lit(record).alias("record"), "t", "provider", "value")
+def _preferred(v: DataFrame, record: str) -> DataFrame:
+    """``a or b or c``: at each time and provider the value of the first metric that has one."""
+    ok = v.where(F.col("value").isNotNull())
+    return ok.groupBy("t", "provider").agg(F.min_by("value", "rank").alias("value")).select(
+        F.lit(record).alias("record"), "t", "provider", "value")
 
-    res = grid.step
-    tokens = V.first_of(*[rate(counter_increments(select_series(samples, n, ["provider"]), res), 60, grid, ["provider"])
-                          for n in names("tokens_generated_rate1m")])
-    p95 = V.first_of(*[histogram_quantile(0.95, rate(counter_increments(
-        select_series(samples, n, ["le", "provider"]), res), 300, grid, ["le", "provider"])) for n in names("ttft_p95")])
-    gauges = {}
-    for record in ("requests_running", "kv_cache_usage_ratio"):
-        gauges[record] = V.first_of(*[V.agg_by(instant(gauge_rollup(select_series(samples, n, ["provider"]), res), grid),
-                                               "max" if "ratio" in record else "sum", ["provider"])
-                                      for n in names(record)])
-    errors = V.first_of(*[rate(counter_increments(select_series(
-        samples, n, ["provider"], eq={"finished_reason": "abort"} if ":" in n else None), res), 300, grid, ["provider"])
-        for n in names("errors_rate5m")])
-    up = V.agg_by(instant(gauge_rollup(select_series(samples, "up", ["provider"], re={"job": up_jobs}), res), grid),
-                  "max", ["provider"])
-    out = tagged(up, "up")
-    for record, v in {"tokens_generated_rate1m": tokens, "ttft_p95": p95, **gauges, "errors_rate5m": errors}.items():
-        out = out.unionByName(tagged(v, record))
-    return out
 
+def normalize_engines(samples: DataFrame, grid: Grid, prefix: str, up_jobs: str = ".*",
+                      records: list[str] | None = None) -> DataFrame:
+    """Engine-specific metrics -> one namespace ``(record, t, provider, value)``.
 
+    Each record reads all engines' metrics in one pass; where several exist for
+    the same time and provider the earlier name wins.
+    """
+    res = grid.step
+    own = {r: [(prefix + n) if ours else n for n, ours in names] for r, names in ENGINE_METRICS.items()}
+    key = ["rank", "provider"]
+
+    def counters(record, window, by, where=None):
+        d = _engine_series(samples, own[record], [c for c in by if c != "rank"], where)
+        return rate(counter_increments(d, res), window, grid, by)
+
+    def gauges(record, fn):
+        d = _engine_series(samples, own[record], ["provider"])
+        return V.agg_by(instant(gauge_rollup(d, res), grid), fn, key)
+
+    def up():
+        d = _engine_series(samples, ["up"], ["provider"], matcher(F.col("labels"), re={"job": up_jobs}))
+        return V.agg_by(instant(gauge_rollup(d, res), grid), "max", key)
+
+    aborted = ~F.col("metric").contains(":") | (F.col("labels")["finished_reason"] == "abort")
+    build = {
+        "up": up,
+        "tokens_generated_rate1m": lambda: counters("tokens_generated_rate1m", 60, key),
+        "ttft_p95": lambda: histogram_quantile(0.95, counters("ttft_p95", 300, [*key, "le"])),
+        "requests_running": lambda: gauges("requests_running", "sum"),
+        "kv_cache_usage_ratio": lambda: gauges("kv_cache_usage_ratio", "max"),
+        "errors_rate5m": lambda: counters("errors_rate5m", 300, key, aborted)}
+    parts = [_preferred(build[r](), r) for r in (records or build)]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -106,15 +106,20 @@ def merge_scores(base: DataFrame, new: DataFrame, version: str = "version") -> D
             .select(*key, *[F.col("_r")[c].alias(c) for c in rest]))
 
 
+def _score_named(name: str) -> Column:
+    """First nested score of that name."""
+    hit = F.filter("feedback_scores", lambda s: s["name"] == name)
+    return F.get(F.transform(hit, lambda s: s["value"]), F.lit(0))
+
+
 def trace_stats(traces: DataFrame, price_per_token: float, by: list[str] = ("project",)) -> DataFrame:
     """Count, duration percentiles, errors, tokens, cost and mean judge scores."""
     d = traces.withColumn("duration", (micros("end_time") - micros("start_time")) / 1e6)
-    judge = {n: F.avg(F.get(F.transform(F.filter("feedback_scores", lambda s, n=n: s["name"] == n),
-                                        lambda s: s["value"]), F.lit(0))).alias(n) for n in JUDGE_NAMES}
+    judge = [F.avg(_score_named(n)).alias(n) for n in JUDGE_NAMES]
     total = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("traces"), F.sum(F.when(F.col("error_info").isNotNull(), 1).otherwise(0)).alias("errors"),
         F.coalesce(F.sum("usage.total_tokens"), F.lit(0)).alias("total_tokens"),
-        (F.coalesce(F.sum("usage.total_tokens"), F.lit(0)) * price_per_token).alias("cost"), *judge.values())
+        (F.coalesce(F.sum("usage.total_tokens"), F.lit(0)) * price_per_token).alias("cost"), *judge)
     p = percentiles(d, list(by), "duration", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
     return total.join(p, list(by), "left")
 

@@ -24,3 +24,4 @@ from . import alerting  # noqa: E402,F401
 from . import calls  # noqa: E402,F401
 from . import logs  # noqa: E402,F401
 from . import scoring  # noqa: E402,F401
+from . import clusters  # noqa: E402,F401

@@ -1,15 +1,19 @@
 """Traces, judge replies, benchmark results, agent runs and engine comparison."""
 
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from servelens.naming import DEFAULT_NAMING as N
 from servelens.operators import benchruns as B
 from servelens.operators import stats as ST
 from servelens.operators import traces as E
 
 from .adapters import EV, call_increments, events, grid_cte, instant_of, out, table, window_sum
 from .registry import query
-from .serving import FAST_EV, GRID, serving_samples
+from .serving import FAST_EV, GRID, samples_by_metric
 
 NAMES = E.JUDGE_NAMES
 
@@ -198,7 +202,7 @@ def b_burst_summary(spark, sf):
     return out(d.withColumns({"wall": F.round("wall", 3), "throughput": F.round("throughput", 4)}))
 
 
-@query("b_result_columns", f"""WITH {EV} SELECT event_id, round(gen * 1.00013, 5) AS total, round(greatest(1e-9, gen * 1.00013 - CASE WHEN k % 5 = 0 THEN 0 ELSE gen / 3 END), 5) AS gen_time,
+@query("b_result_columns", f"""WITH {EV} SELECT event_id, round(gen * 1.00013, 9) AS total, round(greatest(1e-9, gen * 1.00013 - CASE WHEN k % 5 = 0 THEN 0 ELSE gen / 3 END), 9) AS gen_time,
        CASE WHEN k % 3 = 0 THEN 2 WHEN k = 0 THEN 2 ELSE k END AS comp_tokens, CASE WHEN k % 4 = 0 THEN greatest(1, length(event_type) // 3) ELSE k END::BIGINT AS prompt_tokens FROM ev""")
 def b_result_columns(spark, sf):
     k = F.col("k")
@@ -206,7 +210,7 @@ def b_result_columns(spark, sf):
         "event_id", F.lit(0.0).alias("t_send"), (F.col("gen") * 1.00013).alias("t_done"), F.when(k % 5 != 0, F.col("gen") / 3).alias("ttft"),
         F.when(k % 3 != 0, k).alias("usage_completion"), F.when(k % 4 != 0, k).alias("usage_prompt"), F.lit("two words").alias("content"), F.col("event_type").alias("prompt"))
     r = B.result_columns(d)
-    return r.select("event_id", F.round("total", 5).alias("total"), F.round("gen_time", 5).alias("gen_time"), "comp_tokens", "prompt_tokens")
+    return r.select("event_id", F.round("total", 9).alias("total"), F.round("gen_time", 9).alias("gen_time"), "comp_tokens", "prompt_tokens")
 
 
 @query("b_sweep_compare", f"""WITH {RES}, a AS (SELECT level, avg(total) AS v FROM rs WHERE ok GROUP BY 1), b AS (SELECT level, avg(total) * (level + 1) AS v FROM rs WHERE NOT ok GROUP BY 1)
@@ -289,10 +293,16 @@ def o_lowest_k(spark, sf):
     return ST.lowest_k(events(spark, sf).select("event_id", "value"), "value", 8, ["event_id"])
 
 
-@query("n_normalize_engines", f"""WITH {FAST_EV}, {grid_cte(GRID)}, {call_increments('tok', ['model', 'kind'], 'k')}
-       SELECT t, round(value / 60.0, 6) AS value FROM ({window_sum('tok', 60, [])})""")
-def n_normalize_engines(spark, sf):
-    d = B.normalize_engines(serving_samples(spark, sf), GRID, "mlx_")
-    return out(d.where("record = 'tokens_generated_rate1m'").select("t", "value"))
+ENG = f"""WITH {FAST_EV}, {grid_cte(GRID)}, {call_increments('tok', ['model', 'kind'], 'k')}, {call_increments('er', ['model', 'status', 'kind'], 'k', 'status >= 400')},
+       fl AS (SELECT g.t AS t, i.model, arg_max(i.k % 12, i.us) AS v FROM grid g JOIN ev i ON i.us > (g.t - 300) * 1000000 AND i.us <= g.t * 1000000 GROUP BY ALL)"""
 
 
+@query("n_normalize_engines", f"""{ENG} SELECT 'tokens_generated_rate1m' AS record, t, '' AS provider, round(value / 60.0, 6) AS value FROM ({window_sum('tok', 60, [])})
+       UNION ALL SELECT 'errors_rate5m', t, '', round(value / 300.0, 6) FROM ({window_sum('er', 300, [])})
+       UNION ALL SELECT 'requests_running', t, '', sum(v)::DOUBLE FROM fl GROUP BY t""")
+def n_normalize_engines(spark, sf):
+    records = ["tokens_generated_rate1m", "errors_rate5m", "requests_running"]
+    own = [N.m(n) for r in records for n, ours in B.ENGINE_METRICS[r] if ours]
+    parts = samples_by_metric(spark, sf)
+    mine = reduce(DataFrame.unionByName, [p for n in own for p in parts[n]])
+    return out(B.normalize_engines(mine, GRID, N.metric, records=records))

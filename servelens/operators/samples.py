@@ -125,7 +125,7 @@ def counter_increments(df: DataFrame, res: int, series: list[str] | None = None,
     order = ["ts"] + ([tie] if tie else [])
     d = df.where(~F.isnan("value")).withColumn("t", bucket_end("ts", res))
     prev = F.lag("value").over(Window.partitionBy(*keys, "t").orderBy(*order))
-    step = _increment(F.col("value"), prev)
+    step = step_increment(F.col("value"), prev)
     rank = F.struct(*order)
     per = (d.withColumn("_inc", step.cast(DEC))
            .groupBy(*keys, "t")
@@ -133,10 +133,11 @@ def counter_increments(df: DataFrame, res: int, series: list[str] | None = None,
                 F.min_by("value", rank).alias("_first"), F.max_by("value", rank).alias("_last")))
     before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("t"))
     return per.select(*keys, "t", "n",
-                      (F.col("_inc") + _increment(F.col("_first"), before).cast(DEC)).alias("inc"))
+                      (F.col("_inc") + step_increment(F.col("_first"), before).cast(DEC)).alias("inc"))
 
 
-def _increment(value: Column, prev: Column) -> Column:
+def step_increment(value: Column, prev: Column) -> Column:
+    """Growth since the previous sample; a drop means a restart from zero."""
     return F.when(prev.isNull(), F.lit(0.0)).when(value >= prev, value - prev).otherwise(value)
 
 

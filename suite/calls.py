@@ -169,7 +169,7 @@ def chunks(spark, sf):
     both = d.select("rid", "seq", F.concat(F.lit("data: "), body).alias("payload")).unionByName(
         ends.select("rid", F.col("x.seq").alias("seq"), F.col("x.p").alias("payload")))
     return both.select(F.col("rid").alias("request_id"), F.col("seq").cast("bigint").alias("seq"),
-                       F.timestamp_micros(F.col("seq") * 1000).alias("recv_ts"), "payload")
+                       F.timestamp_micros(F.col("seq") * 1000 + T0 * 1_000_000).alias("recv_ts"), "payload")
 
 
 @query("r_assemble_stream", """SELECT conv_id || '-' || turn AS request_id, text || ' ' AS content,
@@ -190,7 +190,7 @@ def r_assemble_tool_args(spark, sf):
     return R.assemble_tool_args(chunks(spark, sf))
 
 
-@query("r_first_token_time", """SELECT conv_id || '-' || turn AS request_id, 0::BIGINT AS us FROM conversations WHERE role = 'assistant'""")
+@query("r_first_token_time", """SELECT conv_id || '-' || turn AS request_id, (1704067200000000)::BIGINT AS us FROM conversations WHERE role = 'assistant'""")
 def r_first_token_time(spark, sf):
     return R.first_token_time(chunks(spark, sf)).select("request_id", F.unix_micros("t_first").alias("us"))
 

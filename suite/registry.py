@@ -25,3 +25,5 @@ from . import calls  # noqa: E402,F401
 from . import logs  # noqa: E402,F401
 from . import scoring  # noqa: E402,F401
 from . import clusters  # noqa: E402,F401
+from . import flows  # noqa: E402,F401
+from . import panels  # noqa: E402,F401

@@ -248,7 +248,9 @@ def explode_tool_calls(facts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _chunk_json(payload: Column) -> Column:
-    return Q.strip(F.regexp_replace(payload, "^data:", ""))
+    """JSON text of a chunk line: without the ``data:`` prefix and outer blanks."""
+    body = F.when(payload.startswith("data:"), F.expr("substring(payload, 6)")).otherwise(payload)
+    return F.btrim(body, F.lit(" \t\r\n\x0b\x0c"))
 
 
 def assemble_stream(chunks: DataFrame) -> DataFrame:

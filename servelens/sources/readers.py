@@ -11,6 +11,22 @@ LABEL_PATTERN = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 LINES_SCHEMA = "value STRING"
 
 
+# Input bytes per core below which a scan is spread before CPU-heavy work.
+SMALL_PER_CORE = 32 * 1024 * 1024
+
+
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over all cores by a well-distributed key.
+
+    A file with few row groups feeds few tasks, however costly each row is.
+    When the estimated size is small enough for a shuffle to be cheap, the rows
+    are hashed over the cores; a large input keeps the splits of its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SMALL_PER_CORE else df
+
+
 def parse_exposition(lines: DataFrame, ts: Column, column: str = "value") -> DataFrame:
     """Exposition text lines -> samples; ``#`` lines and blanks are skipped."""
     text = F.col(column)

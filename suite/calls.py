@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from servelens.functions import text as Q
 from servelens.operators import requests as R
+from servelens.sources.readers import fill_cores
 
 from .adapters import EV, T0, events, out, table
 from .registry import query
@@ -13,7 +14,7 @@ ROUND = 6
 
 def request_rows(spark, sf):
     """Raw request/response records built from ``events`` joined by nothing: JSON text per call."""
-    d = events(spark, sf)
+    d = fill_cores(events(spark, sf), "event_id")
     text = F.concat(F.lit("value "), F.col("cents").cast("string"), F.lit(" maybe likely "), F.col("event_type"))
     body = F.to_json(F.struct(
         F.when(F.col("k") % 10 != 0, F.col("model")).alias("model"), (F.col("event_id") % 2 == 0).alias("stream"),
@@ -151,7 +152,7 @@ def x_concurrency_timeline(spark, sf):
 
 def chunks(spark, sf):
     """Streamed chunks: the words of each assistant turn, one chunk each, then usage and [DONE]."""
-    c = table(spark, sf, "conversations").where("role = 'assistant'").withColumn("rid", F.concat_ws("-", "conv_id", "turn"))
+    c = fill_cores(table(spark, sf, "conversations"), "conv_id").where("role = 'assistant'").withColumn("rid", F.concat_ws("-", "conv_id", "turn"))
     words = F.split("text", " ")
     base = c.select("rid", "conv_id", "turn", words.alias("w"))
     d = base.select("rid", "turn", F.posexplode("w").alias("seq", "word"), F.size("w").alias("n"))
@@ -231,7 +232,7 @@ def scored(d):
 
 @query("q_text_scores_documents", f"WITH src AS (SELECT doc_id AS id, text FROM documents), {WORDS}{REP} SELECT w.id, {SCORES} FROM w LEFT JOIN rep USING (id)")
 def q_text_scores_documents(spark, sf):
-    return scored(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return scored(fill_cores(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("q_text_scores_turns", f"""WITH src AS (SELECT conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'assistant'), {WORDS}{REP}
@@ -242,7 +243,7 @@ def q_text_scores_turns(spark, sf):
 
 
 def doc_facts(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = fill_cores(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("request_id"), F.col("lang").alias("model"), F.col("text").alias("content"),
         (F.col("doc_id") % 2 == 0).alias("tools_provided"), F.lit(0).alias("n_tool_calls"))
     return R.score_text(d)
@@ -270,7 +271,7 @@ def q_feedback_scores(spark, sf):
 # ---- token confidence over embeddings read as log-probabilities ----
 
 def logprob_rows(spark, sf):
-    e = table(spark, sf, "embeddings")
+    e = fill_cores(table(spark, sf, "embeddings"), "vec_id")
     lp = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
     top = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: F.struct(
         F.lit("t").alias("token"), F.element_at(F.col("lp"), i).alias("logprob"),

@@ -144,7 +144,7 @@ def w_alert_states(spark, sf):
     return drained(spark, s, folder).withColumn("value", F.round("value", 6))
 
 
-@query("w_rate_limited")
+@query("w_rate_limited", ORACLES["g_rate_limit"].replace("WHERE line <> ''", "").replace("FROM cl)", "FROM cl)"))
 def w_rate_limited(spark, sf):
     folder = scratch(spark)
     d = lines(spark, sf).withColumn("ts", F.timestamp_micros(F.floor(F.col("us") / 20000).cast("bigint"))).select("source", "seq", "ts", "line")

@@ -69,12 +69,19 @@ def limited(spark, sf):
     return G.rate_limit(d.withColumn("ts", F.timestamp_micros(F.floor(F.col("us") / 20000).cast("bigint"))), 20.0, 60)
 
 
-@query("g_rate_limit")
+BUCKET = CLASSIFIED.replace("ev AS (", "RECURSIVE ev AS (", 1) + """, q AS MATERIALIZED (SELECT source, seq, c, (us // 20000) / 1e6 AS s, row_number() OVER (PARTITION BY source ORDER BY us // 20000, seq) AS n FROM cl),
+       tb AS (SELECT source, n, s, 49.0::DOUBLE AS tokens, TRUE AS accepted, c FROM q WHERE n = 1 UNION ALL
+       SELECT source, n, s, CASE WHEN x >= 1 THEN x - 1 ELSE x END, x >= 1, c FROM (
+         SELECT q.source, q.n, q.s, q.c, least(50.0::DOUBLE, tb.tokens + (q.s - tb.s) * 20.0) AS x FROM tb JOIN q ON q.source = tb.source AND q.n = tb.n + 1))"""
+
+
+@query("g_rate_limit", f"WITH {BUCKET} SELECT source, accepted, count(*) AS n FROM tb GROUP BY ALL")
 def g_rate_limit(spark, sf):
     return limited(spark, sf).groupBy("source", "accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g_dropped_counts")
+@query("g_dropped_counts", f"WITH {BUCKET} SELECT CASE WHEN c = 'info/http' THEN 'http_filter' ELSE 'rate_limit' END AS reason, count(*) AS n FROM tb "
+       "WHERE c = 'info/http' OR NOT accepted GROUP BY 1")
 def g_dropped_counts(spark, sf):
     return G.dropped_counts(limited(spark, sf))
 

@@ -109,18 +109,18 @@ def group_notifications(intervals: DataFrame, by=GROUP_LABELS, wait: int = GROUP
     """
     by = list(by)
     fire = intervals.where(F.col("state") == "firing")
-    sessions = merge_intervals(fire, by, interval).withColumn(
-        "flush", F.explode(F.sequence(F.col("start_t") + wait, F.col("end_t") + interval + wait,
-                                      F.lit(interval).cast("bigint"))))
-    flushes = sessions.select(*by, F.col("start_t").alias("session"), F.col("flush").alias("t"))
-    # every alert contributes +1 to the first flush at/after its start, -1 likewise for its end
-    opened = merge_intervals(fire, by, interval).select(
-        *by, F.col("start_t").alias("session"), F.col("end_t").alias("session_end"))
-    ids = fire.join(opened, by).where((F.col("start_t") >= F.col("session"))
-                                      & (F.col("start_t") <= F.col("session_end")))
+    # an alert opens a session when it starts after everything before it has cleared
+    seq = Window.partitionBy(*by).orderBy("start_t", "end_t")
+    cleared = F.max("end_t").over(seq.rowsBetween(Window.unboundedPreceding, -1)) + interval
+    opens = F.when(cleared.isNull() | (F.col("start_t") > cleared), F.col("start_t"))
+    ids = fire.withColumn("_open", opens).withColumn(
+        "session", F.last("_open", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+    flushes = ids.groupBy(*by, "session").agg(F.max("end_t").alias("end_t")).select(*by, "session", F.explode(F.sequence(
+        F.col("session") + wait, F.col("end_t") + interval + wait, F.lit(interval).cast("bigint"))).alias("t"))
     base = F.col("session") + wait
 
     def slot(c):
+        """First flush at or after a time."""
         return F.greatest(base, base + F.ceil((c - base) / F.lit(float(interval))) * interval).cast("bigint")
 
     marks = ids.select(*by, "session", F.explode(F.array(

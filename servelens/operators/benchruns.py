@@ -138,19 +138,22 @@ def snapshot_stats(results: DataFrame, snapshots: DataFrame, keys: list[str], by
 
 
 def crash_request_join(crashes: DataFrame, requests: DataFrame, gap: float, bucket: int,
-                       by: list[str] = ()) -> DataFrame:
+                       by: list[str] = (), salt: int = 8) -> DataFrame:
     """Requests in flight when a crash happened: crash in ``[start, end + gap]``.
 
     Requests are unfolded into the time buckets they cover, crashes fall in one
     bucket; equi-join on the bucket, then the exact test.  ``bucket`` should be
-    about one request length, so a request covers few buckets.
+    about one request length, so a request covers few buckets.  A busy bucket is
+    spread over ``salt`` keys; the few crashes are repeated for each.
     """
     us = bucket * 1_000_000
-    r = requests.withColumn("_b", F.explode(F.sequence(
-        F.floor(micros("start_ts") / us), F.floor((micros("end_ts") + int(gap * 1e6)) / us))))
-    c = crashes.withColumn("_b", F.floor(micros("crash_ts") / us))
+    r = requests.withColumns({
+        "_b": F.explode(F.sequence(F.floor(micros("start_ts") / us), F.floor((micros("end_ts") + int(gap * 1e6)) / us)))})
+    r = r.withColumn("_s", F.pmod(F.xxhash64("start_ts", "end_ts"), F.lit(salt)).cast("int"))
+    c = crashes.withColumn("_b", F.floor(micros("crash_ts") / us)).withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     hit = (F.col("crash_ts") >= F.col("start_ts")) & (micros("crash_ts") <= micros("end_ts") + int(gap * 1e6))
-    return c.join(r, [*by, "_b"]).where(hit).drop("_b")
+    return c.join(r, [*by, "_b", "_s"]).where(hit).drop("_b", "_s")
 
 
 # Metric names per engine for the shared namespace.

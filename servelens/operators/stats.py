@@ -32,8 +32,8 @@ def p95_minus_one_index(n: Column) -> Column:
 
 
 def _octave_bin(v: Column) -> Column:
-    """Monotone coarse bin of a finite double."""
-    mag = F.floor((F.log2(F.greatest(F.abs(v), F.lit(1e-300))) + 1000.0) * PER_OCTAVE).cast("bigint")
+    """Monotone coarse bin of a double; infinities share the outermost bins."""
+    mag = F.floor((F.log2(F.least(F.greatest(F.abs(v), F.lit(1e-300)), F.lit(1e300))) + 1000.0) * PER_OCTAVE).cast("bigint")
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, mag + 1).otherwise(-mag - 1)
 
 
@@ -64,7 +64,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> D
 
     # pass 2: linear sub-bins of the picked bins
     width = F.col("hi") - F.col("lo")
-    sub = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(SUB_BINS)) / width)),
+    sub = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(SUB_BINS)) / width)),
                                     F.lit(SUB_BINS - 1))).otherwise(F.lit(0)).cast("int")
     inside = d.join(picked, [*by, "_b"]).withColumn("_s", sub)
     subs = inside.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("c"))
@@ -103,7 +103,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float])
         ranks[f"{name}_lo"] = lambda n, q=q: F.floor(F.lit(q) * (n - 1)).cast("bigint")
         ranks[f"{name}_hi"] = lambda n, q=q: F.ceil(F.lit(q) * (n - 1)).cast("bigint")
     stats = order_statistics(df, by, value, ranks)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     j = stats.join(sizes, by) if by else stats.withColumn("_n", sizes.select("_n").scalar())
     out = {}
     for name, q in qs.items():

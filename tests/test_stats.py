@@ -39,6 +39,12 @@ def test_one_value_holding_most_rows(spark):
     assert (r.p10, r.p50, r.p90) == tuple(vals[int(p / 100 * len(vals))] for p in (10, 50, 90))
 
 
+def test_infinite_values_rank_last(spark):
+    d = spark.createDataFrame([("a", v) for v in (1.0, float("inf"), -float("inf"), 2.0, float("nan"))], "g string, v double")
+    r = ST.nearest_rank(d, ["g"], "v", {"lo": 0, "mid": 50, "hi": 99}).first()
+    assert (r.lo, r.mid, r.hi) == (-float("inf"), 2.0, float("inf"))
+
+
 def test_percentiles_and_moments(spark):
     vals = [random.Random(3).random() * 100 for _ in range(101)] + [7.0]
     d = spark.createDataFrame([("a", v) for v in vals], "g string, v double")

@@ -6,8 +6,9 @@ by pair, word mass moves from one document to the other until one of the two is
 integral.  Each move keeps the pair's expected words, and each document's
 expected copies, exact.  Blocks of a few dozen documents are rounded at a time;
 what is left of each (at most one document) goes to the next level, until one
-document per source is left, which is rounded by itself.  A source's words thus
-miss the target by less than one document.
+document per source is left, which is rounded by itself.  Blocks run from large to
+small documents, so that what is left tends to be small: a source's words
+miss the target by less than one document, mostly one of the smallest.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, last; rows equal in id, source and text are
@@ -115,7 +116,7 @@ def copies(rows: DataFrame, targets: DataFrame, seed: int = 17, block: int = BLO
         cuts = F.ceil(F.col("n") / block)
         drawn = F.col("unit").withField("u", unit_interval(*who, F.lit(f"{seed} draw {level}")))
         packed = (todo.groupBy("source", cuts.alias("n"), F.pmod(F.xxhash64(*who, F.lit(f"{seed} cut {level}")), cuts).alias("cut"))
-                  .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(*who, F.lit(f"{seed} order {level}")).alias("o"), drawn.alias("unit")))).alias("units"))
+                  .agg(F.sort_array(F.collect_list(F.struct((-F.col("unit.size")).alias("o"), F.xxhash64(*who, F.lit(f"{seed} order {level}")).alias("h"), drawn.alias("unit")))).alias("units"))
                   .select("source", "n", _round_block(F.transform("units", lambda z: z["unit"]), kind).alias("r")))
         packed = saved(packed, f"mix-level{level}")
         done = packed.select("source", F.explode("r.done").alias("unit"))

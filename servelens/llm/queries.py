@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, neardup, quality, sharding
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,28 @@ def op10(spark, sf):
     pairs = chat.preference_pairs(chat.pairs_from_replies(table(spark, sf, "conversations")))
     return (pairs.withColumn("chosen_trained", _spans("chosen_mask")).withColumn("rejected_trained", _spans("rejected_mask"))
             .drop("chosen_mask", "rejected_mask"))
+
+
+@query("op4_min_max", """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+reach AS (
+  WITH RECURSIVE r(doc_id, at) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT r.doc_id, e.b FROM r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.at)
+  SELECT doc_id, min(at) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id)
+""")
+def op4(spark, sf):
+    got = neardup.near_duplicates(table(spark, sf, "documents"))
+    return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

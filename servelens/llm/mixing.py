@@ -6,9 +6,9 @@ by pair, word mass moves from one document to the other until one of the two is
 integral.  Each move keeps the pair's expected words, and each document's
 expected copies, exact.  Blocks of a few dozen documents are rounded at a time;
 what is left of each (at most one document) goes to the next level, until one
-document per source is left, which is rounded by itself.  Blocks run from large to
+document per source is left, which goes to the nearer whole number.  Blocks run from large to
 small documents, so that what is left tends to be small: a source's words
-miss the target by less than one document, mostly one of the smallest.
+miss the target by half a document at most, mostly one of the smallest.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, last; rows equal in id, source and text are
@@ -124,7 +124,7 @@ def copies(rows: DataFrame, targets: DataFrame, seed: int = 17, block: int = BLO
         todo = packed.where("r.held is not null").select("source", "n", F.col("r.held").alias("unit"))
         level, most = level + 1, -(-most // block)
         if most == 1:
-            x = (unit_interval("source", F.lit(f"{seed} last")) < F.col("unit.x")).cast("double")
+            x = (F.col("unit.x") >= 0.5).cast("double")  # the nearer one, for the sake of the target
             rounded = rounded.unionByName(todo.select("source", _with_x(F.col("unit"), x).cast(kind).alias("unit")))
             break
     if rounded is None:

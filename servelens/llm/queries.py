@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, quality, sharding
+from . import chat, decontam, mixing, neardup, quality, sharding
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -95,13 +95,37 @@ links AS (
   SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2) p
   JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
 reach AS (
-  WITH RECURSIVE r(doc_id, at) AS (
+  WITH RECURSIVE r(doc_id, v) AS (
     SELECT doc_id, doc_id FROM documents
-    UNION SELECT r.doc_id, e.b FROM r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.at)
-  SELECT doc_id, min(at) AS component_id FROM r GROUP BY 1)
+    UNION SELECT r.doc_id, e.b FROM r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.v)
+  SELECT doc_id, min(v) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id)
 """)
 def op4(spark, sf):
     got = neardup.near_duplicates(table(spark, sf, "documents"))
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op6_winnowing", """
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents, low),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, low),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(CASE WHEN len(w) = 0 THEN [] ELSE
+    list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' ')) END) AS t FROM b),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, dw.n, item FROM dw JOIN win ON dw.t = win.t AND dw.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+names AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS s FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
+""")
+def op6(spark, sf):
+    got = decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

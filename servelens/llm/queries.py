@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, quality, sharding
+from . import chat, classlm, decontam, mixing, neardup, quality, sharding
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,8 @@ def op6(spark, sf):
     got = decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op2_brown_classes")
+def op2(spark, sf):
+    return classlm.scored(table(spark, sf, "documents"))

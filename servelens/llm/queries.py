@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classlm, decontam, mixing, neardup, quality, sharding
+from . import chat, classlm, decontam, mixing, neardup, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,8 @@ def op6(spark, sf):
 @query("op2_brown_classes")
 def op2(spark, sf):
     return classlm.scored(table(spark, sf, "documents"))
+
+
+@query("op9_nearest_examples")
+def op9(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classlm, decontam, mixing, neardup, quality, sharding, toxicity
+from . import chat, classlm, decontam, mixing, neardup, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op2(spark, sf):
 @query("op9_nearest_examples")
 def op9(spark, sf):
     return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_run_index")
+def op3(spark, sf):
+    return substrings.deduplicated(table(spark, sf, "documents"))

@@ -50,22 +50,23 @@ def _rooted(rows: DataFrame, roots: DataFrame | None, node: str, root: str) -> D
     return rows.join(names, F.col(node) == F.col(f"_{node}"), "left").withColumn(root, F.coalesce(f"_{root}", node)).drop(f"_{node}", f"_{root}")
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, root) of all nodes with a link, or None without links.
 
-    ``buckets``: (bucket long, node long), one row per membership, cheap to read again.  ``verify``
-    takes distinct pairs (a, b) and returns those that are links.
+    ``buckets``: (bucket long, node long), one row per membership, cheap to read again.  ``fetch``
+    takes the nodes that share a bucket and returns (node, payload struct); ``confirm`` takes
+    distinct pairs (a, b, pa, pb) with both payloads and returns the (a, b) that are links.
     """
     lead = (buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("leader"))
             .where("n > 1").select("bucket", "leader"))
     shared = saved(buckets.join(lead, "bucket"), "buckets")
-    asked = (shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n")))
-    asked = saved(asked.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "n"), "leaders")
-    first = asked.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*").distinct()
+    payload = saved(fetch(shared.select("node").distinct()).select("node", "payload"), "payloads")
+    asked = saved(shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "n"), "leaders")
     links, roots, tested = None, None, None
     for turn in ("best", "others", "within"):
         if turn == "best":
-            pairs = first
+            pairs = asked.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*").distinct()
         elif turn == "others":
             pairs = _rooted(_rooted(asked.select("a", "b").distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
         else:
@@ -76,7 +77,9 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = saved(verify(pairs).select("a", "b"), f"links-{turn}")
+        both = (pairs.join(payload.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a")
+                .join(payload.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b"))
+        found = saved(confirm(both).select("a", "b"), f"links-{turn}")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)

@@ -126,17 +126,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
 
-    # One text per node that shares a bucket; a text is found by its document.
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def fetch(ends: DataFrame) -> DataFrame:
+        """One text per node; a text is found by its document."""
         wanted = nodes.join(ends, "node").select("node", F.col("least.doc_id").alias("i"), F.col("least.th").alias("t"))
-        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text").dropDuplicates(["node"])
-        found = saved(found, "pair-texts")
-        ta = found.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        tb = found.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").mapInArrow(_confirm(k, percent), "a long, b long")
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+        return found.select("node", F.struct("text").alias("payload")).dropDuplicates(["node"])
 
-    roots = linked(buckets, verify)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b", F.col("pa.text").alias("ta"), F.col("pb.text").alias("tb")).mapInArrow(_confirm(k, percent), "a long, b long")
+
+    roots = linked(buckets, fetch, confirm)
     named = nodes.select("k1", "k2", "node", "least", "low")
     if roots is None:
         named = named.withColumns({"component_id": F.col("low"), "stands": F.col("least")})

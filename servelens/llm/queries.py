@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classlm, decontam, mixing, neardup, quality, sharding, substrings, toxicity
+from . import chat, classlm, decontam, linededup, mixing, neardup, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,9 @@ def op9(spark, sf):
 @query("op3_run_index")
 def op3(spark, sf):
     return substrings.deduplicated(table(spark, sf, "documents"))
+
+
+@query("op1_simhash_lines")
+def op1(spark, sf):
+    got = linededup.deduplicated(table(spark, sf, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -24,7 +24,14 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 LETTERS = np.ones(256, bool)
 LETTERS[0:0x30] = LETTERS[0x3A:0x61] = LETTERS[0x7B:0x80] = False
 
-_powers: dict[int, np.ndarray] = {}
+class _Kept(dict):
+    """A cache that isn't sent along with the functions that use it."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers = _Kept()
 
 
 def powers(n: int, base: int = _ODD) -> np.ndarray:

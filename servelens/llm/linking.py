@@ -1,12 +1,13 @@
 """Links and connected groups out of buckets of candidates, without emitting all pairs of a bucket.
 
-1. Every member of a bucket is tested against one leader of the bucket, chosen by a hash
-   that differs from bucket to bucket; a member's most frequent leader first, the others only
-   where they aren't connected yet.
+1. Every member of a bucket is tested against one leader of the bucket: the member that shares most
+   buckets with most others, which among variants of a text is the text they vary.  A member's most
+   frequent leader comes first, the others only where they aren't connected yet.
 2. Confirmed links are contracted.  Only buckets that still hold members of
    different groups are looked at again: each member outside the bucket's largest
    group is tested against every member of other groups.  That is exact: afterwards every pair that
-   shares a bucket is connected or was tested.
+   shares a bucket is connected or was tested.  An operator that can rule out pairs from what
+   leaders have shown passes ``within`` and is asked for the pairs instead.
 """
 
 from __future__ import annotations
@@ -43,23 +44,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pair.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pair.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
+def rooted(rows: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
+    """``rows`` with the group of the node in column ``node``, itself if it has no link, as column ``root``."""
     if roots is None:
         return rows.withColumn(root, F.col(node))
     names = roots.select(F.col("node").alias(f"_{node}"), F.col("root").alias(f"_{root}"))
     return rows.join(names, F.col(node) == F.col(f"_{node}"), "left").withColumn(root, F.coalesce(f"_{root}", node)).drop(f"_{node}", f"_{root}")
 
 
-def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame],
+           within: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame | None:
     """(node, root) of all nodes with a link, or None without links.
 
     ``buckets``: (bucket long, node long), one row per membership, cheap to read again.  ``fetch``
     takes the nodes that share a bucket and returns (node, payload struct); ``confirm`` takes
     distinct pairs (a, b, pa, pb) with both payloads and returns the (a, b) that are links.
+    ``within`` takes (node, leader), the payloads and the groups so far, and returns the pairs (a, b), a < b, of
+    different groups that can still be links.
     """
-    lead = (buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("leader"))
-            .where("n > 1").select("bucket", "leader"))
-    shared = saved(buckets.join(lead, "bucket"), "buckets")
+    size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(buckets.join(size, "bucket"), "members")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    lead = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"), "node")).alias("leader"))
+    shared = saved(members.select("bucket", "node").join(lead, "bucket"), "buckets")
     payload = saved(fetch(shared.select("node").distinct()).select("node", "payload"), "payloads")
     asked = saved(shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
                   .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "n"), "leaders")
@@ -68,7 +75,9 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm:
         if turn == "best":
             pairs = asked.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*").distinct()
         elif turn == "others":
-            pairs = _rooted(_rooted(asked.select("a", "b").distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+            pairs = rooted(rooted(asked.select("a", "b").distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+        elif within is not None:
+            pairs = within(asked.select("node", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("leader")), payload, roots)
         else:
             pairs = _across(shared, roots)
         if tested is not None:
@@ -89,7 +98,7 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm:
 
 def _across(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of different groups that share a bucket; one of the two is outside the bucket's largest group."""
-    placed = saved(_rooted(shared.select("bucket", "node"), roots, "node", "root"), "placed")
+    placed = saved(rooted(shared.select("bucket", "node"), roots, "node", "root"), "placed")
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("groups > 1")
     open_ = saved(placed.join(mixed.select("bucket", "largest"), "bucket"), "open")

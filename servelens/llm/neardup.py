@@ -5,8 +5,12 @@ permutation, so half the hash evaluations give as many values to band.  Texts
 with equal shingle sets are one node; nodes that share a band are
 candidates, and a link counts only after comparing the full sets.
 
-With 48 permutations (96 values in 24 bands of 4) two sets of similarity 0.85 miss each other in
-all bands with a probability of 2e-8.
+With 80 permutations (160 values in 32 bands of 5) two sets of similarity 0.85 miss each other in
+all bands with a probability of 7e-9, of 0.8 with 4e-6.
+
+Pairs that are left after the comparisons with leaders are searched by their differences from the
+leader, see :func:`_differences`: two sets that are alike, one of which isn't alike the leader, must share
+some of their differences from it.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without
 words it has no shingle and no link; a null text is empty; the smallest id ignores nulls, and
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .common import saved, text_or_empty
-from .linking import linked
+from .linking import linked, rooted
 
-PERMUTATIONS, ROWS = 48, 4
+PERMUTATIONS, ROWS = 80, 5
 _MULTIPLY = np.random.default_rng(4).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(5).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
@@ -116,6 +120,69 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _differences(k: int, percent: int):
+    """Rows (leader, e, node, as_x, as_y, f, g, na, nb): some of each node's differences from its leader.
+
+    Of a node's set x and its leader's set b let A be what x lacks and B what it adds, and f = (1 - s) |A| + s |B|
+    with s = p / (1 + p) for the similarity p.  x and b are alike exactly if f(x) <= g = (1 - 2 s) |b|.  Two
+    sets x and y are alike exactly if they share at least f(x) + f(y) - g differences.  If x isn't alike b, that is
+    more than f(y), and at least f(x) - g: so in any common order of differences, x among its first |D| - (f(x) - g) + 1
+    and y among its first |D| - f(y) must have one in common.  Added shingles come first, as they are the rarer ones.
+    """
+    p = percent / 100
+    s = p / (1 + p)
+
+    def run(batches):
+        for batch in batches:
+            for part in B.chunks([batch], "ta"):
+                hx, ox = shingles(part.column("ta"), k)
+                hb, ob = shingles(part.column("tb"), k)
+                h, o = np.concatenate((hx, hb)), np.concatenate((ox, ob))
+                lacks = np.concatenate((np.zeros(len(hx), bool), np.ones(len(hb), bool)))
+                order = np.lexsort((h, o))
+                h, o, lacks = h[order], o[order], lacks[order]
+                twin = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+                alone = ~(np.append(twin, False) | np.insert(twin, 0, False)) if len(h) else np.zeros(0, bool)
+                h, o, lacks = h[alone], o[alone], lacks[alone]
+                order = np.lexsort((h, lacks, o))
+                h, o, lacks = h[order], o[order], lacks[order]
+                n = np.bincount(o, minlength=part.num_rows)
+                na = np.bincount(o[lacks], minlength=part.num_rows)
+                f = (1 - s) * na + s * (n - na)
+                g = (1 - 2 * s) * np.bincount(ob, minlength=part.num_rows)
+                nth = np.arange(len(o)) - (np.cumsum(n) - n)[o]
+                as_x = nth < (n - np.maximum(1, np.ceil(f - g - 1e-6)) + 1)[o]
+                as_y = nth < (n - np.floor(f - 1e-6))[o]
+                take = np.flatnonzero(as_x | as_y)
+                rows = pa.array(o[take])
+                e = h[take] ^ np.where(lacks[take], np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("leader").take(rows), pa.array(e.astype(np.int64)), part.column("node").take(rows), pa.array(as_x[take]), pa.array(as_y[take]),
+                    pa.array(f[o[take]]), pa.array(g[o[take]]), pa.array(na[o[take]]), pa.array((n - na)[o[take]])],
+                    ["leader", "e", "node", "as_x", "as_y", "f", "g", "na", "nb"])
+    return run
+
+
+def _left_over(k: int, percent: int):
+    def within(asked: DataFrame, payload: DataFrame, roots: DataFrame | None) -> DataFrame:
+        placed = rooted(rooted(asked, roots, "node", "root"), roots, "leader", "lead_root")
+        placed = saved(placed.withColumn("open", F.col("root") != F.col("lead_root")), "asked")
+        leaders = placed.where("open").select("leader").distinct()
+        texts = payload.select(F.col("node").alias("n"), F.col("payload.text").alias("text"))
+        both = (placed.join(leaders, "leader").join(texts.withColumnRenamed("text", "ta"), F.col("node") == F.col("n")).drop("n")
+                .join(texts.withColumnRenamed("text", "tb"), F.col("leader") == F.col("n")).drop("n"))
+        rows = saved(both.select("leader", "node", "ta", "tb").mapInArrow(
+            _differences(k, percent), "leader long, e long, node long, as_x boolean, as_y boolean, f double, g double, na long, nb long"), "differences")
+        roots_of = placed.select("leader", "node", "root", "open")
+        rows = rows.join(roots_of, ["leader", "node"])
+        x = rows.where("as_x AND open").select("leader", "e", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "f", "g", "na", "nb")])
+        y = rows.where("as_y").select("leader", "e", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "f", "na", "nb")])
+        met = x.join(y, ["leader", "e"]).where(
+            "x_root <> y_root AND x_f + y_f - x_g <= least(x_na, y_na) + least(x_nb, y_nb) + 1e-6")
+        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return within
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, first (is its text the one that stands for the group) for every row."""
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
@@ -135,7 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.select("a", "b", F.col("pa.text").alias("ta"), F.col("pb.text").alias("tb")).mapInArrow(_confirm(k, percent), "a long, b long")
 
-    roots = linked(buckets, fetch, confirm)
+    roots = linked(buckets, fetch, confirm, _left_over(k, percent))
     named = nodes.select("k1", "k2", "node", "least", "low")
     if roots is None:
         named = named.withColumns({"component_id": F.col("low"), "stands": F.col("least")})

@@ -57,7 +57,8 @@ def d_drift_counts(spark, sf):
 @query("d_field_diff", f"""WITH {AB} SELECT kind, ns, name, 'spec.size' AS path, p_size::VARCHAR AS a, (p_size + 1)::VARCHAR AS b FROM cmp WHERE status = 'DIFF' AND i % 5 = 0
        UNION ALL SELECT kind, ns, name, 'spec.cost', '{{"price": ' || p_retailprice::VARCHAR || ', "tier": 1}}', NULL FROM cmp WHERE status = 'DIFF' AND i % 15 = 0""")
 def d_field_diff(spark, sf):
-    return D.field_diff(D.compare_states(*states(spark, sf)))
+    a, b = states(spark, sf)
+    return D.field_diff(D.compare_states(a, b), a, b)
 
 
 @query("d_flatten_doc", """WITH pa AS (SELECT *, p_name || '-' || p_partkey AS name FROM part)

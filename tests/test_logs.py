@@ -112,8 +112,9 @@ def res(spark, source, docs):
 
 
 def diff(spark, a, b, kind="ConfigMap"):
-    c = D.compare_states(*(D.normalize_resources(res(spark, s, [(kind, "x", d)])) for s, d in (("a", a), ("b", b))))
-    return c.first().status, [(r.path, r.a, r.b) for r in D.field_diff(c).collect()]
+    a, b = (D.normalize_resources(res(spark, s, [(kind, "x", d)])) for s, d in (("a", a), ("b", b)))
+    c = D.compare_states(a, b)
+    return c.first().status, [(r.path, r.a, r.b) for r in D.field_diff(c, a, b).collect()]
 
 
 def test_self_comparison_is_ok(spark):

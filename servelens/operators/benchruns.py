@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import vector as V
 from .histograms import histogram_quantile
 from .samples import Grid, counter_increments, gauge_rollup, instant, matcher, normalise_labels, rate
-from .slices import carry_forward, micros
+from .slices import carry_forward, join_on, micros
 from .stats import nearest_rank, p95_minus_one
 
 
@@ -43,7 +43,7 @@ def bench_summary(results: DataFrame, by: list[str]) -> DataFrame:
     wanted = (("ttft", ("p50", "p95", "p99")), ("total", ("p50", "p95")), ("tps", ("p50", "p95")))
     wide = ranks.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == m, F.col(p))).alias(f"{m}_{p}")
                                     for m, ps in wanted for p in ps])
-    return base.join(wide, by, "left").select(
+    return join_on(base, wide, by, "left").select(
         *by, "requests", "errors", F.bround(F.col("errors") / F.col("requests"), 4).alias("error_rate"),
         *[f"{m}_{p}" for m, ps in wanted for p in ps],
         F.when(F.col("wall") != 0, F.bround(F.col("tokens") / F.col("wall"), 1)).alias("throughput_tok_s"),
@@ -67,7 +67,7 @@ def burst_summary(results: DataFrame, wall: Column, by: list[str]) -> DataFrame:
     base = results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"), wall.alias("wall"), F.avg("total").alias("mean_latency"),
         F.sum("comp_tokens").alias("_tok"))
-    return base.join(p95_minus_one(results, by, "total"), by, "left").withColumn(
+    return join_on(base, p95_minus_one(results, by, "total"), by, "left").withColumn(
         "throughput", F.try_divide(F.col("_tok"), F.col("wall"))).drop("_tok")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import carry_forward, micros, previous_row, running_total
+from .slices import carry_forward, join_on, micros, previous_row, running_total
 
 # Ordered line patterns; the first match decides.
 CLASSIFIERS = (
@@ -143,7 +143,7 @@ def rate_limit(df: DataFrame, rate: float, slice_seconds: int = 3600) -> DataFra
     ordered = d.select("source", "piece", "us", "seq").repartition("source", "piece").sortWithinPartitions(
         "source", "piece", "us", "seq")
     decided = ordered.groupBy("source", "piece").applyInPandas(run, "source string, seq bigint, accepted boolean")
-    return df.join(decided, ["source", "seq"])
+    return join_on(df, decided, ["source", "seq"])
 
 
 def kv_cache_blocks(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ much data reaches the last pass.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import join_on
+
 SUB_BINS = 4096
 PER_OCTAVE = 32
 
@@ -45,45 +47,47 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> D
     values has no row.
     """
     d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        *by, F.col(value).cast("double").alias("_v"))
+        *([F.struct(*by).alias("_group")] if by else []), F.col(value).cast("double").alias("_v"))
     d = d.withColumn("_b", _octave_bin(F.col("_v")))
+    group = ["_group" for _ in by[:1]]  # one struct: null groups equal themselves in the joins below
 
     # pass 1: coarse bins
-    bins = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    seq = Window.partitionBy(*by).orderBy("_b")
+    bins = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    seq = Window.partitionBy(*group).orderBy("_b")
     bins = bins.withColumns({
         "before": F.coalesce(F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "n": F.sum("c").over(Window.partitionBy(*by))})
+        "n": F.sum("c").over(Window.partitionBy(*group))})
     want = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), fn(F.col("n")).cast("bigint").alias("rank"))
                                for name, fn in ranks.items()]))
     goal = (bins.withColumn("w", want)
             .where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c"))))
-    goal = goal.select(*by, "_b", "lo", "hi", F.col("w.name").alias("name"),
+    goal = goal.select(*group, "_b", "lo", "hi", F.col("w.name").alias("name"),
                        (F.col("w.rank") - F.col("before")).alias("rank"))
-    picked = goal.groupBy(*by, "_b").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    picked = goal.groupBy(*group, "_b").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
     # pass 2: linear sub-bins of the picked bins
     width = F.col("hi") - F.col("lo")
     sub = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(SUB_BINS)) / width)),
                                     F.lit(SUB_BINS - 1))).otherwise(F.lit(0)).cast("int")
-    inside = d.join(picked, [*by, "_b"]).withColumn("_s", sub)
-    subs = inside.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("c"))
-    seq = Window.partitionBy(*by, "_b").orderBy("_s")
+    inside = d.join(picked, [*group, "_b"]).withColumn("_s", sub)
+    subs = inside.groupBy(*group, "_b", "_s").agg(F.count(F.lit(1)).alias("c"))
+    seq = Window.partitionBy(*group, "_b").orderBy("_s")
     subs = subs.withColumn("before", F.coalesce(
         F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goal = goal.join(subs, [*by, "_b"]).where((F.col("rank") >= F.col("before"))
+    goal = goal.join(subs, [*group, "_b"]).where((F.col("rank") >= F.col("before"))
                                               & (F.col("rank") < F.col("before") + F.col("c")))
-    goal = goal.select(*by, "_b", "_s", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    goal = goal.select(*group, "_b", "_s", "name", (F.col("rank") - F.col("before")).alias("rank"))
 
     # pass 3: distinct values of the picked sub-bins
-    last = inside.join(goal.select(*by, "_b", "_s").distinct(), [*by, "_b", "_s"], "left_semi")
-    vals = last.groupBy(*by, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("c"))
-    seq = Window.partitionBy(*by, "_b", "_s").orderBy("_v")
+    last = inside.join(goal.select(*group, "_b", "_s").distinct(), [*group, "_b", "_s"], "left_semi")
+    vals = last.groupBy(*group, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("c"))
+    seq = Window.partitionBy(*group, "_b", "_s").orderBy("_v")
     vals = vals.withColumn("before", F.coalesce(
         F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hit = goal.join(vals, [*by, "_b", "_s"]).where((F.col("rank") >= F.col("before"))
+    hit = goal.join(vals, [*group, "_b", "_s"]).where((F.col("rank") >= F.col("before"))
                                                    & (F.col("rank") < F.col("before") + F.col("c")))
-    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks])
+    out = hit.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks])
+    return out.select("_group.*", *ranks) if by else out
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
@@ -104,7 +108,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float])
         ranks[f"{name}_hi"] = lambda n, q=q: F.ceil(F.lit(q) * (n - 1)).cast("bigint")
     stats = order_statistics(df, by, value, ranks)
     sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    j = stats.join(sizes, by) if by else stats.withColumn("_n", sizes.select("_n").scalar())
+    j = join_on(stats, sizes, by) if by else stats.withColumn("_n", sizes.select("_n").scalar())
     out = {}
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("_n") - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .slices import micros
+from .slices import join_on, micros
 from .stats import percentiles
 
 # Judge score names, prompt text and score attributes.
@@ -121,7 +121,7 @@ def trace_stats(traces: DataFrame, price_per_token: float, by: list[str] = ("pro
         F.coalesce(F.sum("usage.total_tokens"), F.lit(0)).alias("total_tokens"),
         (F.coalesce(F.sum("usage.total_tokens"), F.lit(0)) * price_per_token).alias("cost"), *judge)
     p = percentiles(d, list(by), "duration", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-    return total.join(p, list(by), "left")
+    return join_on(total, p, list(by), "left")
 
 
 def trace_trends(traces: DataFrame, step: int, price_per_token: float, by: list[str] = ()) -> DataFrame:

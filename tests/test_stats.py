@@ -109,3 +109,14 @@ def test_bench_and_sweep_known_answers(spark):
         [(1, 8.3), (2, 8.9), (4, 9.7), (8, 8.5), (16, 7.0)], [(1, 21.0), (2, 37.9), (4, 46.9), (8, 39.2), (16, 59.4)]))
     got = {x.level: round(x.ratio, 1) for x in B.sweep_compare(stock, batched, "level", "tok").collect()}
     assert got == {1: 2.5, 2: 4.3, 4: 4.8, 8: 4.6, 16: 8.5}
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), (None, 1, 5.0), (None, 900, 7.0)], "g string, t bigint, v double")
+    got = {r.g: (r.low, r.high) for r in ST.order_statistics(df, ["g"], "v", {"low": lambda n: n * 0, "high": lambda n: n - 1}).collect()}
+    assert got == {"a": (1.0, 3.0), None: (5.0, 7.0)}
+    assert {r.g: r.m for r in ST.percentiles(df, ["g"], "v", {"m": 0.5}).collect()} == {"a": 2.0, None: 6.0}
+    sums = SL.running_total(df, ["g"], ["t"], {"s": F.col("v")}, F.col("t"), 10).orderBy("s").collect()
+    assert [(r.g, r.t, r.s) for r in sums] == [("a", 1, 1.0), ("a", 2, 4.0), (None, 1, 5.0), (None, 900, 12.0)]
+    before = SL.previous_row(df, ["g"], ["t"], {"p": "v"}, F.col("t"), 10, F.col("t")).collect()
+    assert {(r.g, r.t): r.p for r in before} == {("a", 1): None, ("a", 2): 1.0, (None, 1): None, (None, 900): 5.0}

@@ -128,6 +128,8 @@ def _differences(k: int, percent: int):
     sets x and y are alike exactly if they share at least f(x) + f(y) - g differences.  If x isn't alike b, that is
     more than f(y), and at least f(x) - g: so in any common order of differences, x among its first |D| - (f(x) - g) + 1
     and y among its first |D| - f(y) must have one in common.  Added shingles come first, as they are the rarer ones.
+    What both beginnings share is counted; beyond the end of the one that ends first (px, py: where x and y
+    as such end) only the rest of that node (rx, ry: how many) can be shared.
     """
     p = percent / 100
     s = p / (1 + p)
@@ -150,16 +152,22 @@ def _differences(k: int, percent: int):
                 na = np.bincount(o[lacks], minlength=part.num_rows)
                 f = (1 - s) * na + s * (n - na)
                 g = (1 - 2 * s) * np.bincount(ob, minlength=part.num_rows)
-                nth = np.arange(len(o)) - (np.cumsum(n) - n)[o]
-                as_x = nth < (n - np.maximum(1, np.ceil(f - g - 1e-6)) + 1)[o]
-                as_y = nth < (n - np.floor(f - 1e-6))[o]
+                first = np.cumsum(n) - n
+                nth = np.arange(len(o)) - first[o]
+                place = np.where(lacks, np.int64(1) << 62, np.int64(0)) + (h >> np.uint64(2)).astype(np.int64)
+                long = {"x": n - np.maximum(1, np.ceil(f - g - 1e-6)) + 1, "y": n - np.floor(f - 1e-6)}
+                long = {c: np.clip(v, 0, n).astype(np.int64) for c, v in long.items()}
+                ends = {c: np.where(v > 0, place[np.maximum(first + v - 1, 0)] if len(o) else -1, -1) for c, v in long.items()}
+                as_x, as_y = nth < long["x"][o], nth < long["y"][o]
                 take = np.flatnonzero(as_x | as_y)
+                of = o[take]
                 rows = pa.array(o[take])
                 e = h[take] ^ np.where(lacks[take], np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
                 yield pa.RecordBatch.from_arrays([
                     part.column("leader").take(rows), pa.array(e.astype(np.int64)), part.column("node").take(rows), pa.array(as_x[take]), pa.array(as_y[take]),
-                    pa.array(f[o[take]]), pa.array(g[o[take]]), pa.array(na[o[take]]), pa.array((n - na)[o[take]])],
-                    ["leader", "e", "node", "as_x", "as_y", "f", "g", "na", "nb"])
+                    pa.array(f[of]), pa.array(g[of]), pa.array(na[of]), pa.array((n - na)[of]),
+                    pa.array(ends["x"][of]), pa.array(ends["y"][of]), pa.array((n - long["x"])[of]), pa.array((n - long["y"])[of])],
+                    ["leader", "e", "node", "as_x", "as_y", "f", "g", "na", "nb", "px", "py", "rx", "ry"])
     return run
 
 
@@ -172,13 +180,16 @@ def _left_over(k: int, percent: int):
         both = (placed.join(leaders, "leader").join(texts.withColumnRenamed("text", "ta"), F.col("node") == F.col("n")).drop("n")
                 .join(texts.withColumnRenamed("text", "tb"), F.col("leader") == F.col("n")).drop("n"))
         rows = saved(both.select("leader", "node", "ta", "tb").mapInArrow(
-            _differences(k, percent), "leader long, e long, node long, as_x boolean, as_y boolean, f double, g double, na long, nb long"), "differences")
+            _differences(k, percent), "leader long, e long, node long, as_x boolean, as_y boolean, f double, g double, na long, nb long, px long, py long, rx long, ry long"), "differences")
         roots_of = placed.select("leader", "node", "root", "open")
         rows = rows.join(roots_of, ["leader", "node"])
-        x = rows.where("as_x AND open").select("leader", "e", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "f", "g", "na", "nb")])
-        y = rows.where("as_y").select("leader", "e", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "f", "na", "nb")])
+        x = rows.where("as_x AND open").select("leader", "e", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "f", "g", "na", "nb")], "px", "rx")
+        y = rows.where("as_y").select("leader", "e", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "f", "na", "nb")], "py", "ry")
         met = x.join(y, ["leader", "e"]).where(
             "x_root <> y_root AND x_f + y_f - x_g <= least(x_na, y_na) + least(x_nb, y_nb) + 1e-6")
+        rest = F.when(F.col("px") < F.col("py"), F.col("rx")).when(F.col("px") > F.col("py"), F.col("ry")).otherwise(F.greatest("rx", "ry"))
+        met = (met.withColumn("short", F.col("x_f") + F.col("y_f") - F.col("x_g") - rest).groupBy("leader", "x_node", "y_node")
+               .agg(F.count("*").alias("met"), F.first("short").alias("short")).where("met >= short - 1e-6"))
         return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return within
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -53,22 +53,29 @@ def rooted(rows: DataFrame, roots: DataFrame | None, node: str, root: str) -> Da
 
 
 def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame],
-           within: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame | None:
+           within: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None,
+           may: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
     """(node, root) of all nodes with a link, or None without links.
 
     ``buckets``: (bucket long, node long), one row per membership, cheap to read again.  ``fetch``
     takes the nodes that share a bucket and returns (node, payload struct); ``confirm`` takes
     distinct pairs (a, b, pa, pb) with both payloads and returns the (a, b) that are links.
     ``within`` takes (node, leader), the payloads and the groups so far, and returns the pairs (a, b), a < b, of
-    different groups that can still be links.
+    different groups that can still be links.  ``may`` says of the column ``mark`` of two rows of ``buckets``
+    whether their nodes can be a link; what can't is no pair.
     """
+    marks = [] if may is None else ["mark"]
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(buckets.join(size, "bucket"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    lead = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"), "node")).alias("leader"))
-    shared = saved(members.select("bucket", "node").join(lead, "bucket"), "buckets")
+    heaviest = F.max_by(F.struct(F.col("node").alias("leader"), *[F.col(c).alias(f"lead_{c}") for c in marks]), F.struct("weight", F.xxhash64("node"), "node"))
+    lead = members.join(weight, "node").groupBy("bucket").agg(heaviest.alias("l")).select("bucket", "l.*")
+    shared = saved(members.select("bucket", "node", *marks).join(lead, "bucket"), "buckets")
     payload = saved(fetch(shared.select("node").distinct()).select("node", "payload"), "payloads")
-    asked = saved(shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    other = shared.where("node <> leader")
+    if may is not None:
+        other = other.where(may(F.col("mark"), F.col("lead_mark")))
+    asked = saved(other.groupBy("node", "leader").agg(F.count("*").alias("n"))
                   .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node", "n"), "leaders")
     links, roots, tested = None, None, None
     for turn in ("best", "others", "within"):
@@ -79,7 +86,7 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm:
         elif within is not None:
             pairs = within(asked.select("node", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("leader")), payload, roots)
         else:
-            pairs = _across(shared, roots)
+            pairs = _across(shared, roots, may)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, f"pairs-{turn}")
@@ -96,13 +103,16 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], confirm:
     return roots
 
 
-def _across(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _across(shared: DataFrame, roots: DataFrame | None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs (a, b) of different groups that share a bucket; one of the two is outside the bucket's largest group."""
-    placed = saved(rooted(shared.select("bucket", "node"), roots, "node", "root"), "placed")
+    marks = [] if may is None else ["mark"]
+    placed = saved(rooted(shared.select("bucket", "node", *marks), roots, "node", "root"), "placed")
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("groups > 1")
-    open_ = saved(placed.join(mixed.select("bucket", "largest"), "bucket"), "open")
-    x = open_.where("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = open_.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), "largest")
+    open_ = placed.join(mixed.select("bucket", "largest"), "bucket")
+    x = open_.where("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(c).alias("mx") for c in marks])
+    y = open_.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), "largest", *[F.col(c).alias("my") for c in marks])
     pairs = x.join(y, "bucket").where("rx <> ry AND (ry = largest OR x < y)")
+    if may is not None:
+        pairs = pairs.where(may(F.col("mx"), F.col("my")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

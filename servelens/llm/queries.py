@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classlm, decontam, linededup, mixing, neardup, quality, sharding, substrings, toxicity
+from . import chat, classlm, collocations, decontam, divergence, linededup, merkle, mixing, neardup, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,66 @@ def op3(spark, sf):
 def op1(spark, sf):
     got = linededup.deduplicated(table(spark, sf, "documents"))
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op11_merkle_edits")
+def op11(spark, sf):
+    return merkle.edit_audit(table(spark, sf, "documents"))
+
+
+@query("op12_source_divergence", """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(in_lang) AS n FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+found AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, sum(n) AS n FROM found GROUP BY 1, 2),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.in_lang + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM grid WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 50)
+""")
+def op12(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op13_phrase_trie", """
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, w FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents) WHERE len(w) > 0),
+grams AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE m = 1 GROUP BY 1),
+frequent AS (SELECT * FROM grams WHERE f >= 30),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM frequent WHERE m > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head JOIN frequent y ON y.lang = c.lang AND y.phrase = c.tail),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, a AS longer, array_to_string(w[i:i + j - 1], ' ') AS phrase FROM (
+    SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM candidates WHERE m > 2))),
+kept AS (SELECT * FROM lowest s WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = s.lang AND p.phrase = s.phrase AND 100 * p.longer::HUGEINT >= 80 * s.a::HUGEINT))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))

@@ -58,27 +58,57 @@ def route_alerts(alerts: DataFrame, routes=ROUTES, default: str = DEFAULT_RECEIV
     return alerts.withColumn("receiver", target)
 
 
-def inhibit(intervals: DataFrame, rules=INHIBIT, prefix: str = "") -> DataFrame:
-    """Drop targets that overlap a firing source with equal labels.
+def inhibit(intervals: DataFrame, rules=INHIBIT, prefix: str = "", bucket: int = 3600) -> DataFrame:
+    """Mute targets while a source with equal labels fires; what is left of a target stays.
 
-    Sources are merged into disjoint intervals first, then matched by an
-    equi-join on the equal labels with the overlap as residual condition.
+    Sources that fire at the same time count once.  A source that is itself muted still mutes, and a
+    label that one side lacks reads as ''.
     """
     out = intervals
     for sources, targets, equal in rules:
         src = intervals.where((F.col("state") == "firing")
                               & F.col("alertname").isin([prefix + s for s in sources]))
-        src = merge_intervals(src, list(equal))
-        cond = [F.coalesce(F.col(f"a.{e}"), F.lit("")) == F.coalesce(F.col(f"b.{e}"), F.lit("")) for e in equal]
-        cond += [F.col("a.start_t") < F.col("b.end_t"), F.col("b.start_t") < F.col("a.end_t"),
-                 F.col("a.alertname").isin([prefix + t for t in targets])]
-        on = cond[0]
-        for c in cond[1:]:
-            on = on & c
-        out = out.alias("a").join(src.alias("b"), on, "left_anti")
+        src = merge_intervals(src.withColumns({e: F.coalesce(e, F.lit("")) for e in equal}), list(equal))
+        hit = F.coalesce(F.col("alertname").isin([prefix + t for t in targets]), F.lit(False))
+        out = out.where(~hit).unionByName(subtract_intervals(out.where(hit), src, list(equal), bucket))
     return out
 
 
+def subtract_intervals(intervals: DataFrame, cover: DataFrame, keys: list[str], bucket: int = 3600) -> DataFrame:
+    """The parts of each interval that no interval of ``cover`` with equal keys holds.
+
+    ``intervals`` has ``keys.., start_t, end_t`` and other columns, which its parts keep; equal rows stay
+    as many.  ``cover`` must be disjoint per key (:func:`merge_intervals`).  Intervals are half open; empty ones vanish.
+
+    Both sides are cut at multiples of ``bucket`` seconds.  The covers of a (key, bucket) are one row,
+    an array of at most ``bucket`` entries, so every piece meets one row and a hot key is dealt out by time;
+    parts that go on across a cut are joined again.
+    """
+    def cut(df):
+        first, last = (F.floor(c / bucket).cast("bigint") for c in (F.col("start_t"), F.col("end_t") - 1))
+        d = df.where("start_t < end_t").withColumn("_b", F.explode(F.sequence(first, last)))
+        return d.withColumns({"_lo": F.greatest("start_t", F.col("_b") * bucket), "_hi": F.least("end_t", (F.col("_b") + 1) * bucket)})
+
+    names = intervals.columns
+    key = [F.coalesce(k, F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    on = [f"_k{i}" for i in range(len(keys))] + ["_b"]
+    held = cut(cover).select(*key, "_b", "_lo", "_hi").groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_held"))
+    rows = intervals.groupBy(*names).agg(F.count(F.lit(1)).alias("_times"))
+    met = cut(rows).select("*", *key).join(held, on, "left")
+    holes = F.filter(F.coalesce("_held", F.array().cast("array<struct<_lo:bigint,_hi:bigint>>")),
+                     lambda h: (h["_lo"] < F.col("_hi")) & (h["_hi"] > F.col("_lo")))
+    edges = F.arrays_zip(F.concat(F.array("_lo"), F.transform(holes, lambda h: h["_hi"])).alias("lo"),
+                         F.concat(F.transform(holes, lambda h: h["_lo"]), F.array("_hi")).alias("hi"))
+    parts = met.select(*names, "_times", F.explode(F.filter(edges, lambda e: e["lo"] < e["hi"])).alias("_p"))
+    seq = Window.partitionBy(*names, "_times").orderBy("_p.lo")
+    fresh = F.when(F.lag("_p.hi").over(seq) == F.col("_p.lo"), 0).otherwise(1)
+    run = parts.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(seq))
+    whole = run.groupBy(*names, "_times", "_run").agg(F.min("_p.lo").alias("_lo"), F.max("_p.hi").alias("_hi"))
+    again = whole.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    bounds = {"start_t": F.col("_lo").cast("bigint").alias("start_t"), "end_t": F.col("_hi").cast("bigint").alias("end_t")}
+    return again.select(*[bounds.get(n, F.col(n)) for n in names])
+
+
 def merge_intervals(intervals: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     """Union of overlapping intervals per key: ``(keys.., start_t, end_t)``.
 

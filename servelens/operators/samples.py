@@ -3,12 +3,15 @@
 Samples are ``(metric, labels MAP, ts, value)``.  A *vector* is a DataFrame
 ``(t BIGINT epoch seconds, <label columns>, value DOUBLE)``.
 
-Work is done once per ``(series, bucket)``: :func:`counter_rollup` and
-:func:`gauge_rollup` reduce raw samples to one row per series and resolution
-bucket, and every window length reads that small table.  Window sums use a
-difference array (add at ``b``, subtract at ``b + w``, running total), so a
-30-day window costs the same as a 5-minute one.  Sums are kept as DECIMAL so a
-window that has drained is exactly zero.
+Work is done once per ``(series, bucket)``: :func:`counter_increments`,
+:func:`value_rollup` and :func:`gauge_rollup` reduce raw samples to rows per
+series and resolution bucket, and every window length reads that small table.
+Window sums use a difference array (add at ``b``, subtract at ``b + w``, running
+total), so a 30-day window costs the same as a 5-minute one.  Sums are exact
+(:mod:`exactsum`): rollups have a row per band of magnitude, almost always one,
+and a window that has drained is exactly zero.
+
+A rollup's own columns are ``t`` and those that start with ``_``; all others are labels.
 """
 
 from dataclasses import dataclass
@@ -16,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import exactsum as X
 from .slices import micros
 
-DEC = "decimal(28,12)"
 SERIES = "series"
 
 
@@ -113,46 +116,65 @@ def _keys(df: DataFrame, by: list[str] | None) -> list[str]:
     return [c for c in df.columns if c not in ("ts", "value")] if by is None else list(by)
 
 
+def labels_of_rollup(rollup: DataFrame) -> list[str]:
+    """The label columns of a rollup."""
+    return [c for c in rollup.columns if c != "t" and not c.startswith("_")]
+
+
 def counter_increments(df: DataFrame, res: int, series: list[str] | None = None,
                        tie: str | None = None) -> DataFrame:
-    """Reset-aware increments, one row per (series, bucket): ``(series.., t, n, inc)``.
+    """Reset-aware increments per (series, bucket): ``(series.., t, _band, _n, _units)``.
 
     Inside a bucket the previous sample comes from a window over
     ``(series, bucket)``; across buckets from the one-row-per-bucket summary.
+    All but that last step share one shuffle by ``(series, bucket)``.  A band may
+    have two rows in a bucket.  NaN samples are left out; growth to +Inf counts as
+    +Inf, and staying there as 0.
     """
     keys = _keys(df, series)
     keys = [k for k in keys if k != tie]
     order = ["ts"] + ([tie] if tie else [])
     d = df.where(~F.isnan("value")).withColumn("t", bucket_end("ts", res))
-    prev = F.lag("value").over(Window.partitionBy(*keys, "t").orderBy(*order))
-    step = step_increment(F.col("value"), prev)
-    rank = F.struct(*order)
-    per = (d.withColumn("_inc", step.cast(DEC))
-           .groupBy(*keys, "t")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("_inc").alias("_inc"),
-                F.min_by("value", rank).alias("_first"), F.max_by("value", rank).alias("_last")))
-    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("t"))
-    return per.select(*keys, "t", "n",
-                      (F.col("_inc") + step_increment(F.col("_first"), before).cast(DEC)).alias("inc"))
+    here = Window.partitionBy(*keys, "t")
+    d = d.withColumn("_prev", F.lag("value").over(here.orderBy(*order)))
+    later = F.when(F.col("_prev").isNotNull(), step_increment(F.col("value"), F.col("_prev")))
+    d = d.withColumn("_band", X.band(later)).withColumn("_units", X.units(later, F.col("_band")))
+    per = d.groupBy(*keys, "t", "_band").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_units").cast(X.UNITS).alias("_units"), F.max(F.struct(*order, "value")).alias("_top"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("value"))).alias("_first"))
+    per = per.groupBy(*keys, "t").agg(
+        F.collect_list(F.when(F.col("_band").isNotNull(), F.struct("_band", "_n", "_units"))).alias("_rows"),
+        F.max("_top").alias("_top"), F.max("_first").alias("_first"))
+    # A bucket's first sample grows from the last one of the bucket before.
+    before = F.lag(F.col("_top")["value"]).over(Window.partitionBy(*keys).orderBy("t"))
+    per = per.withColumn("_inc", step_increment(F.col("_first"), before)).withColumn("_band", X.band(F.col("_inc")))
+    first = F.struct("_band", F.lit(1).cast("bigint").alias("_n"), X.units(F.col("_inc"), F.col("_band")).alias("_units"))
+    return per.select(*keys, "t", F.explode(F.concat("_rows", F.array(first))).alias("_r")).select(*keys, "t", "_r.*")
+
+
+def _banded(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    d = df.withColumn("_band", X.band(value)).withColumn("_units", X.units(value, F.col("_band")))
+    return d.groupBy(*keys, "t", "_band").agg(F.count(F.lit(1)).alias("_n"), F.sum("_units").cast(X.UNITS).alias("_units"))
 
 
 def step_increment(value: Column, prev: Column) -> Column:
     """Growth since the previous sample; a drop means a restart from zero."""
-    return F.when(prev.isNull(), F.lit(0.0)).when(value >= prev, value - prev).otherwise(value)
+    return F.when(prev.isNull() | (value == prev), F.lit(0.0)).when(value >= prev, value - prev).otherwise(value)
 
 
 def gauge_rollup(df: DataFrame, res: int, series: list[str] | None = None,
                  tie: str | None = None) -> DataFrame:
-    """``(series.., t, n, total, last)`` per (series, bucket); partial aggregation only."""
+    """``(series.., t, _n, _last)`` per (series, bucket), for :func:`instant`; partial aggregation only."""
     keys = [k for k in _keys(df, series) if k != tie]
-    d = df.withColumn("t", bucket_end("ts", res))
-    finite = ~F.isnan("value")
     rank = F.struct("ts", tie) if tie else F.col("ts")
-    return d.groupBy(*keys, "t").agg(
-        F.sum(F.when(finite, 1).otherwise(0)).alias("n"),
-        F.sum(F.when(~finite, 1).otherwise(0)).alias("nan"),
-        F.sum(F.when(finite, F.col("value")).cast(DEC)).alias("total"),
-        F.max_by("value", rank).alias("last"))
+    return df.withColumn("t", bucket_end("ts", res)).groupBy(*keys, "t").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by("value", rank).alias("_last"))
+
+
+def value_rollup(df: DataFrame, res: int, series: list[str] | None = None) -> DataFrame:
+    """Exact sums of sample values: ``(series.., t, _band, _n, _units)``, for :func:`avg_over_time`; partial aggregation only."""
+    keys = _keys(df, series)
+    return _banded(df.where(F.col("value").isNotNull()).withColumn("t", bucket_end("ts", res)), keys, F.col("value"))
 
 
 def _spread(df: DataFrame, keys: list[str], lo: Column, hi: Column, grid: Grid, *cols) -> DataFrame:
@@ -164,33 +186,46 @@ def _spread(df: DataFrame, keys: list[str], lo: Column, hi: Column, grid: Grid,
                     *[c for c in d.columns if c not in keys and c not in ("_lo", "_hi")])
 
 
-def sliding(rollup: DataFrame, keys: list[str], sums: list[str], windows: dict[str, int],
-            grid: Grid, label: str | None = None) -> DataFrame:
-    """Sums of rollup columns over ``(t - w, t]`` for one or several windows.
+def sliding(rollup: DataFrame, keys: list[str], windows: dict[str, int], grid: Grid, label: str | None = None) -> DataFrame:
+    """Exact sums of a rollup over ``(t - w, t]`` for one or several windows.
 
-    Returns ``(keys.., [label], t, n, sums..)`` at the grid times where the window
-    holds at least one sample.  Rows per key are bounded by the number of
-    buckets in the covered time range, whatever the number of raw samples.
+    Returns ``(keys.., [label], t, _n, _parts)`` at the grid times where the window
+    holds at least one sample; ``_parts`` is what ``exactsum.total`` reads.  Rows per
+    key are bounded by the number of buckets in the covered time range (and bands),
+    whatever the number of raw samples.
     """
+    run = _running(rollup, keys, windows, grid, ["_n", "_units"], ["_band"])
+    out = run.groupBy(*keys, "_w", "t").agg(
+        F.sum("_n").alias("_n"), F.collect_list(F.struct(F.col("_band").alias("band"), F.col("_units").alias("units"))).alias("_parts"))
+    return out.withColumnRenamed("_w", label) if label else out.drop("_w")
+
+
+def _running(rollup: DataFrame, keys: list[str], windows: dict[str, int], grid: Grid, cols: list[str], inner: list[str]) -> DataFrame:
+    """Windowed sums of ``cols`` per (keys, inner): ``(keys.., _w, inner.., t, cols..)`` on the grid."""
     for w in windows.values():
         if w <= 0:
             raise ValueError("window must be positive")
-    cols = ["n", *sums]
-    pre = rollup.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in cols])
+    pre = rollup.groupBy(*keys, *inner, "t").agg(*[F.sum(c).alias(c) for c in cols])
     parts = []
     for name, w in windows.items():
-        parts.append(F.struct(F.lit(name).alias("w"), F.col("t").alias("t"), *[F.col(c).alias(c) for c in cols]))
-        parts.append(F.struct(F.lit(name).alias("w"), (F.col("t") + w).alias("t"),
+        parts.append(F.struct(F.lit(name).alias("_w"), F.col("t").alias("t"), *[F.col(c).alias(c) for c in cols]))
+        parts.append(F.struct(F.lit(name).alias("_w"), (F.col("t") + w).alias("t"),
                               *[(-F.col(c)).alias(c) for c in cols]))
-    ev = pre.select(*keys, F.explode(F.array(*parts)).alias("e")).select(*keys, "e.*")
-    k = [*keys, "w"]
-    net = ev.groupBy(*k, "t").agg(*[F.sum(c).alias(c) for c in cols])
-    seq = Window.partitionBy(*k).orderBy("t")
+    ev = pre.select(*keys, *inner, F.explode(F.array(*parts)).alias("e")).select(*keys, *inner, "e.*")
+    k = [*keys, "_w"]
+    net = ev.groupBy(*k, *inner, "t").agg(*[F.sum(c).alias(c) for c in cols])
+    if inner:  # dealt by the outer keys, so that the window and what follows share one shuffle
+        net = net.repartition(*k)
+    seq = Window.partitionBy(*k, *inner).orderBy("t")
     upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = net.select(*k, "t", F.lead("t").over(seq).alias("_next"),
-                     *[F.sum(c).over(upto).alias(c) for c in cols]).where("n > 0")
-    out = _spread(run, k, F.col("t"), F.col("_next"), grid, *cols)
-    return out.withColumnRenamed("w", label) if label else out.drop("w")
+    run = net.select(*k, *inner, "t", F.lead("t").over(seq).alias("_next"),
+                     *[F.sum(c).over(upto).alias(c) for c in cols]).where("_n > 0")
+    return _spread(run, [*k, *inner], F.col("t"), F.col("_next"), grid, *cols)
+
+
+def covered(seen: DataFrame, keys: list[str], window: int, grid: Grid) -> DataFrame:
+    """Grid times with a row of ``seen`` (``keys.., t``) in ``(t - window, t]``: ``(keys.., t)``."""
+    return _running(seen.withColumn("_n", F.lit(1)), keys, {"w": window}, grid, ["_n"], []).select(*keys, "t")
 
 
 def increase(rollup: DataFrame, window: int, grid: Grid, by: list[str] | None = None) -> DataFrame:
@@ -199,9 +234,8 @@ def increase(rollup: DataFrame, window: int, grid: Grid, by: list[str] | None =
     The rollup is summed by group before the window is applied, so the windowed
     step sees groups rather than series.
     """
-    keys = [c for c in rollup.columns if c not in ("t", "n", "inc")] if by is None else list(by)
-    return sliding(rollup, keys, ["inc"], {"w": window}, grid).select(
-        "t", *keys, F.col("inc").cast("double").alias("value"))
+    keys = labels_of_rollup(rollup) if by is None else list(by)
+    return sliding(rollup, keys, {"w": window}, grid).select("t", *keys, X.total(F.col("_parts")).alias("value"))
 
 
 def rate(rollup: DataFrame, window: int, grid: Grid, by: list[str] | None = None) -> DataFrame:
@@ -210,21 +244,20 @@ def rate(rollup: DataFrame, window: int, grid: Grid, by: list[str] | None = None
 
 
 def avg_over_time(rollup: DataFrame, window: int, grid: Grid, by: list[str] | None = None) -> DataFrame:
-    """Mean of the samples in the window, kept as (sum, count) until the end."""
-    keys = [c for c in rollup.columns if c not in ("t", "n", "nan", "total", "last")] if by is None else list(by)
-    roll = rollup.withColumns({"n": F.col("n") + F.col("nan"), "fin": F.col("n"),
-                               "total": F.coalesce("total", F.lit(0).cast(DEC))})
-    d = sliding(roll, keys, ["fin", "nan", "total"], {"w": window}, grid)
-    return d.select("t", *keys, F.when(F.col("nan") > 0, F.lit(float("nan")))
-                    .otherwise(F.col("total").cast("double") / F.col("fin")).alias("value"))
+    """Mean of the samples in the window, of a :func:`value_rollup`; kept as (sum, count) until the end.
+
+    A NaN, or infinities of both signs, make it NaN; one infinity makes it infinite.
+    """
+    keys = labels_of_rollup(rollup) if by is None else list(by)
+    return sliding(rollup, keys, {"w": window}, grid).select("t", *keys, (X.total(F.col("_parts")) / F.col("_n")).alias("value"))
 
 
 def instant(rollup: DataFrame, grid: Grid, lookback: int = 300, by: list[str] | None = None) -> DataFrame:
-    """Last sample in ``(t - lookback, t]`` per series."""
-    keys = [c for c in rollup.columns if c not in ("t", "n", "nan", "total", "last")] if by is None else list(by)
+    """Last sample in ``(t - lookback, t]`` per series, of a :func:`gauge_rollup`."""
+    keys = labels_of_rollup(rollup) if by is None else list(by)
     nxt = F.lead("t").over(Window.partitionBy(*keys).orderBy("t"))
-    d = rollup.select(*keys, "t", F.col("last").alias("value"), nxt.alias("_n"))
-    end = F.least(F.col("t") + lookback, F.coalesce(F.col("_n"), F.col("t") + lookback))
+    d = rollup.select(*keys, "t", F.col("_last").alias("value"), nxt.alias("_next"))
+    end = F.least(F.col("t") + lookback, F.coalesce(F.col("_next"), F.col("t") + lookback))
     return _spread(d, keys, F.col("t"), end, grid, "value").select("t", *keys, "value")
 
 
@@ -233,16 +266,26 @@ def absent_over_time(df: DataFrame, window: int, grid: Grid, res: int | None = N
 
     Covered times come from merged coverage, so there is no range join.
     """
-    seen = df.select(bucket_end("ts", res or grid.step).alias("t")).distinct().withColumn("n", F.lit(1))
-    cover = sliding(seen, [], [], {"w": window}, grid).select("t")
+    seen = df.select(bucket_end("ts", res or grid.step).alias("t")).distinct()
+    cover = covered(seen, [], window, grid)
     return grid.frame(df.sparkSession).join(cover, "t", "left_anti").withColumn("value", F.lit(1.0))
 
 
 def total_across_resets(rollup: DataFrame) -> DataFrame:
-    """Running total per series that survives restarts: ``(series.., t, value)``."""
-    keys = [c for c in rollup.columns if c not in ("t", "n", "inc")]
-    upto = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return rollup.select("t", *keys, F.sum("inc").over(upto).cast("double").alias("value"))
+    """Running total per series that survives restarts: ``(series.., t, value)``.
+
+    Every bucket of a series gets all bands that the series has, so that their totals run on side by side.
+    """
+    keys = labels_of_rollup(rollup)
+    series = Window.partitionBy(*keys)
+    has = rollup.repartition(*keys) if keys else rollup
+    has = has.withColumn("_bands", F.collect_set("_band").over(series))
+    has = has.groupBy(*keys, "t", "_band", "_bands").agg(F.sum("_units").cast(X.UNITS).alias("_units"))
+    per = has.groupBy(*keys, "t").agg(F.map_from_entries(F.collect_list(F.struct("_band", "_units"))).alias("_m"), F.first("_bands").alias("_bands"))
+    one = per.select(*keys, "t", F.explode("_bands").alias("_band"), "_m").withColumn("_units", F.coalesce(F.col("_m")[F.col("_band")], F.lit(0).cast(X.UNITS)))
+    upto = Window.partitionBy(*keys, "_band").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    run = one.select(*keys, "t", F.col("_band").alias("band"), F.sum("_units").over(upto).cast(X.UNITS).alias("units"))
+    return run.groupBy(*keys, "t").agg(X.total(F.collect_list(F.struct("band", "units"))).alias("value")).select("t", *keys, "value")
 
 
 def synthesize_up(samples: DataFrame, targets: DataFrame, grid: Grid, interval: int) -> DataFrame:
@@ -253,9 +296,8 @@ def synthesize_up(samples: DataFrame, targets: DataFrame, grid: Grid, interval:
     """
     lab = F.col("labels")
     seen = (samples.select(lab["job"].alias("job"), lab["instance"].alias("instance"),
-                           bucket_end("ts", grid.step).alias("t")).distinct().withColumn("n", F.lit(1)))
-    hits = sliding(seen, ["job", "instance"], [], {"w": interval}, grid).select(
-        "job", "instance", "t", F.lit(1.0).alias("value"))
+                           bucket_end("ts", grid.step).alias("t")).distinct())
+    hits = covered(seen, ["job", "instance"], interval, grid).withColumn("value", F.lit(1.0))
     want = targets.withColumn("t", F.explode(F.sequence(
         F.lit(grid.start).cast("bigint"), F.lit(grid.end).cast("bigint"), F.lit(grid.step).cast("bigint"))))
     cols = [c for c in targets.columns]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector as V
-from .samples import DEC, Grid, increase, rate, sliding
+from . import exactsum as X
+from .samples import Grid, increase, rate, sliding
 
 # Allowed bad fractions and burn thresholds.
 AVAILABILITY_BUDGET = 0.005
@@ -65,20 +66,20 @@ def burn_rates(bad: DataFrame, total: DataFrame, windows: dict[str, int], grid:
                floor: float = 0.0001, invert: bool = False) -> DataFrame:
     """Burn rate for several windows in one pass: ``(t, window, burn, traffic)``.
 
-    ``bad`` and ``total`` are counter rollups; both are stacked into one rollup
-    with two columns so a single windowed pass serves every window.
+    ``bad`` and ``total`` are counter rollups; both are stacked under a side
+    label so a single windowed pass serves every window.
     ``invert=True`` reads ``bad`` as the good count (latency buckets).
     """
-    zero = F.lit(0).cast(DEC)
-    both = (bad.select("t", F.lit(0).alias("n"), F.lit(1).alias("bad_n"), F.col("inc").alias("bad"), zero.alias("all"))
-            .unionByName(total.select("t", "n", F.lit(0).alias("bad_n"), zero.alias("bad"), F.col("inc").alias("all"))))
-    s = sliding(both, [], ["bad_n", "bad", "all"], windows, grid, label="window")
+    cols = ["t", "_band", "_n", "_units"]
+    both = bad.select(F.lit("bad").alias("side"), *cols).unionByName(total.select(F.lit("all").alias("side"), *cols))
+    s = sliding(both, ["side"], windows, grid, label="window").withColumn("v", X.total(F.col("_parts")))
+    s = s.groupBy("t", "window").agg(*[F.max(F.when(F.col("side") == x, F.col("v"))).alias(x) for x in ("bad", "all")])
     secs = F.create_map(*[x for k, w in windows.items() for x in (F.lit(k), F.lit(float(w)))])[F.col("window")]
-    r_bad, r_all = F.col("bad").cast("double") / secs, F.col("all").cast("double") / secs
+    r_bad, r_all = F.col("bad") / secs, F.coalesce("all", F.lit(0.0)) / secs
     share = r_bad / F.greatest(r_all, F.lit(floor))
     if invert:
         share = 1.0 - F.greatest(share, F.lit(0.0))
-    return s.where("bad_n > 0").select("t", "window", (share / budget).alias("burn"), r_all.alias("traffic"))
+    return s.where("bad is not null").select("t", "window", (share / budget).alias("burn"), r_all.alias("traffic"))
 
 
 def burn_alerts(burns: DataFrame, thresholds: dict[str, float], strict: bool = True) -> DataFrame:

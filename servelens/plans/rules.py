@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import slo as L
 from ..operators import vector as V
 from ..operators.alerts import alert_states
+from .rollups import RolledUp, needs, roll_up
 from .source import Source
 
 MIN, HOUR, DAY = 60, 3600, 86400
@@ -169,7 +170,7 @@ def _exhausted(s, strict):
                               30 * DAY, s.grid)
 
 
-# Names, hold times, severities, categories, thresholds and texts of the shipped rules.
+# Names, hold times, severities, categories and thresholds of the shipped rules.  The texts are short forms of our own.
 CATALOGUE = (
     Rule("GPUHighUtilization", "hardware", 5 * MIN, "warning", "gpu", _above("hw_gpu_utilization_percent", ">", 95),
          "GPU residency sustained above 95% on {node}", "GPU active residency is {value:%.1f}% for over 5 minutes. Heavy load or a stuck process."),
@@ -279,11 +280,17 @@ def rule_catalog(spark) -> DataFrame:
     return spark.createDataFrame(rows, "name string, rule_group string, interval int, hold int, severity string, category string")
 
 
+def roll_up_for(source: Source, names: Iterable[str] | None = None) -> RolledUp:
+    """Each metric that the chosen rules read, reduced once; :func:`evaluate` on the result scans no raw samples."""
+    return roll_up(source, needs(source, [lambda s, r=RULES[n]: r.when(s, False) for n in (names or RULES)]))
+
+
 def evaluate(source: Source, names: Iterable[str] | None = None, strict: bool = False) -> DataFrame:
     """States of the chosen rules in one frame: ``(alertname, severity, category, labels.., t, value, active_since, state)``.
 
     The source grid is the evaluation schedule.  Each rule reads only its own
-    metrics, so on a partitioned samples table each branch prunes to them.
+    metrics, so on a partitioned samples table each branch prunes to them.  For
+    many rules, evaluate on :func:`roll_up_for`: rules then share roll-ups.
     """
     parts = []
     for name in names or RULES:

@@ -32,23 +32,30 @@ class Source:
     def at(self, seconds_ago: int) -> "Source":
         return replace(self, grid=V.shifted(self.grid, seconds_ago))
 
+    def samples_of(self, metrics: list[str]) -> DataFrame:
+        """Samples of some metrics, by full name."""
+        return self.samples.where(F.col("metric").isin(metrics))
+
     def _series(self, metric: str, labels, eq, re, raw: bool) -> DataFrame:
         name = metric if raw else self.naming.m(metric)
         return S.select_series(self.samples, name, list(labels), eq, re)
 
+    def rollup(self, kind: str, metric: str, labels=(), eq=None, re=None, raw: bool = False) -> DataFrame:
+        """Roll-up per series, with chosen labels as columns: ``last``, ``sum`` or ``counter``."""
+        roll = {"last": S.gauge_rollup, "sum": S.value_rollup, "counter": S.counter_increments}[kind]
+        return roll(self._series(metric, labels, eq, re, raw), self.bucket)
+
     def last(self, metric: str, labels=(), eq=None, re=None, raw: bool = False) -> DataFrame:
         """Instant vector of a gauge, keeping ``labels``; series that agree on
         them are told apart by their full identity until then."""
-        roll = S.gauge_rollup(self._series(metric, labels, eq, re, raw), self.bucket)
-        return S.instant(roll, self.grid, self.lookback).drop(S.SERIES)
+        return S.instant(self.rollup("last", metric, labels, eq, re, raw), self.grid, self.lookback).drop(S.SERIES)
 
     def mean(self, metric: str, window: int, labels=(), eq=None) -> DataFrame:
         """``avg_over_time`` per series."""
-        roll = S.gauge_rollup(self._series(metric, labels, eq, None, False), self.bucket)
-        return S.avg_over_time(roll, window, self.grid).drop(S.SERIES)
+        return S.avg_over_time(self.rollup("sum", metric, labels, eq), window, self.grid).drop(S.SERIES)
 
     def counter(self, metric: str, labels=(), eq=None, re=None) -> DataFrame:
-        return S.counter_increments(self._series(metric, labels, eq, re, False), self.bucket)
+        return self.rollup("counter", metric, labels, eq, re)
 
     def increase(self, metric: str, window: int, by=(), eq=None, re=None) -> DataFrame:
         return S.increase(self.counter(metric, by, eq, re), window, self.grid, list(by))

@@ -136,12 +136,6 @@ def alert_budget_exhausted(spark, sf):
     return states(spark, sf, "ErrorBudgetExhausted", [])
 
 
-@query("alert_catalogue_states")
-def alert_catalogue_states(spark, sf):
-    """All 46 rules over the whole samples table: evaluations per rule and state."""
-    return R.evaluate(source(spark, sf)).groupBy("alertname", "severity", "state").agg(F.count(F.lit(1)).alias("n"))
-
-
 BASE_STATES = f"st AS ({states_sql(f'SELECT * FROM ({ERR_RATE}) WHERE value > 0.2', ['model', 'status'], 300)})"
 
 
@@ -191,9 +185,12 @@ def alert_routing(spark, sf):
     return A.route_alerts(two_rules(spark, sf)).groupBy("alertname", "receiver", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("alert_inhibition", f"""WITH {FAST_EV}, {G}, {TWO} SELECT alertname, node, state, start_t, end_t FROM iv a WHERE NOT (
-       alertname = '{N.a('LoadHigh')}' AND EXISTS (SELECT 1 FROM iv b WHERE b.alertname = '{N.a('HardwareExporterDown')}'
-       AND b.state = 'firing' AND b.node = a.node AND b.start_t < a.end_t AND a.start_t < b.end_t))""")
+@query("alert_inhibition", f"""WITH {FAST_EV}, {G}, {TWO}, pts AS (
+       SELECT alertname, node, state, start_t AS was, unnest(range(start_t, end_t, {STEP})) AS p FROM iv),
+       down AS (SELECT DISTINCT node, p FROM pts WHERE alertname = '{N.a('HardwareExporterDown')}' AND state = 'firing'),
+       loud AS (SELECT *, p - {STEP} * row_number() OVER (PARTITION BY alertname, node, state, was ORDER BY p) AS run FROM pts a
+                WHERE alertname <> '{N.a('LoadHigh')}' OR NOT EXISTS (SELECT 1 FROM down d WHERE d.node = a.node AND d.p = a.p))
+       SELECT alertname, node, state, min(p) AS start_t, max(p) + {STEP} AS end_t FROM loud GROUP BY alertname, node, state, was, run""")
 def alert_inhibition(spark, sf):
     return A.inhibit(two_rules(spark, sf), prefix=N.alert).select("alertname", "node", "state", "start_t", "end_t")
 

@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
 
 from . import timeseries  # noqa: E402,F401
 from . import alerting  # noqa: E402,F401
+from . import catalogue  # noqa: E402,F401
 from . import calls  # noqa: E402,F401
 from . import logs  # noqa: E402,F401
 from . import scoring  # noqa: E402,F401

@@ -54,7 +54,10 @@ def _histogram(d: DataFrame, metric: str, col: str):
 
 
 def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]]:
-    """One sample per event and metric, kept apart by metric name."""
+    """One sample per event and metric, kept apart by metric name.
+
+    Means that a rule compares are of binary fractions, so that Spark's exact sums and DuckDB's agree at the limit.
+    """
     d = calls(spark, sf)
     k, v = F.col("k"), F.col("value")
     e = d.withColumns({
@@ -110,14 +113,16 @@ def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]
             "heuristic_repetition": F.least(v / 97, F.lit(1.0)), "heuristic_refusal": F.when(k < 30, 1.0).otherwise(0.0), "heuristic_hedging": k / 200,
             "heuristic_ungrounded": k / 300, "context_used_tokens": k * 4, "context_utilization": k / 100,
             "context_length_max_tokens": F.lit(32768), "kv_bytes_per_token": F.lit(114688), "prompt_cache_ratio": k / 100,
-            "output_perplexity": 1 + v / 40, "token_entropy_nats": v / 300, "token_confidence_mean": 1 - k / 100.0,
-            "token_margin_mean": v / 1500, "in_flight": k % 12}.items():
+            "output_perplexity": 1 + v / 40, "token_entropy_nats": v / 300, "token_confidence_mean": 1 - k / 128,
+            "token_margin_mean": F.col("cents") / 131072, "in_flight": k % 12}.items():
         gauge(name, {**model, **proxy}, value)
     gauge("temperature", {**model, **kind, **proxy}, k / 100)
     gauge("hallucination_risk", {**model, **kind, **proxy}, k / 100)
     gauge("up", {**proxy}, F.when(k > 3, 1).otherwise(0))
     for job in ("proxy", "hw", "kv", "supervisor", "logtailer"):
         gauge("up", {"job": DEFAULT_NAMING.j(job), **node, "instance": F.col("node")}, F.when(k > 5, 1).otherwise(0), own=False)
+    for job in ("victoria-metrics", "vmalert", "alertmanager"):
+        gauge("up", {"job": job, "instance": F.col("node"), "node": F.col("node")}, F.when(k > len(job), 1).otherwise(0), own=False)
     for name, value in {"server_up": k > 4, "server_ready": k > 20, "server_state": k % 4, "server_uptime_seconds": k * 60}.items():
         gauge(name, {**sup}, value.cast("double"))
     gauge("model_loaded", {**sup, **model}, (k > 30).cast("double"))
@@ -156,10 +161,14 @@ class ByMetric(Source):
         mine = reduce(DataFrame.unionByName, self.parts[name])
         return S.select_series(mine, name, list(labels), eq, re)
 
+    def samples_of(self, metrics):
+        return reduce(DataFrame.unionByName, [p for m in metrics for p in self.parts[m]])
+
 
 @lru_cache(maxsize=4)
 def _shared(spark: SparkSession, sf: str, grid: Grid) -> Source:
-    return ByMetric(None, grid, parts=samples_by_metric(spark, sf))
+    parts = samples_by_metric(spark, sf)
+    return ByMetric(next(iter(parts.values()))[0], grid, parts=parts)
 
 
 def source(spark: SparkSession, sf: str, grid: Grid = GRID) -> Source:

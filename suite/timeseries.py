@@ -25,6 +25,10 @@ def gauges(spark, sf, res=3600):
     return S.gauge_rollup(d, res, ["event_type", "model"], tie="event_id")
 
 
+def means(spark, sf, res=3600):
+    return S.value_rollup(events(spark, sf).select("event_type", "model", "ts", "value"), res)
+
+
 def req_roll(spark, sf, labels, res=3600, **kw):
     return S.counter_increments(call_counter(spark, sf, labels, **kw), res, labels)
 
@@ -61,14 +65,14 @@ def t_instant(spark, sf):
 @query("t_avg_over_time", f"WITH {EV}, {H_GRID} SELECT t, event_type, model, round(value, 6) AS value FROM ("
        + window_sum("ev", 10800, ["event_type", "model"], "avg(i.value)") + ")")
 def t_avg_over_time(spark, sf):
-    return out(S.avg_over_time(gauges(spark, sf), 10800, HOURLY))
+    return out(S.avg_over_time(means(spark, sf), 10800, HOURLY))
 
 
 @query("t_offset_delta", f"""WITH {EV}, {H_GRID}, a AS ({window_sum('ev', 7200, ['model'], 'avg(i.value)')}),
        b AS ({window_sum('ev', 7200, ['model'], 'avg(i.value)', shift=7200)})
        SELECT a.t, a.model, round(a.value - b.value, 6) AS value FROM a JOIN b USING (t, model)""")
 def t_offset_delta(spark, sf):
-    roll = gauges(spark, sf)
+    roll = means(spark, sf)
     now = S.avg_over_time(roll, 7200, HOURLY, ["model"])
     before = V.offset(S.avg_over_time(roll, 7200, V.shifted(HOURLY, 7200), ["model"]), 7200)
     return out(V.arith(now, "-", before))
@@ -140,14 +144,14 @@ def t_distinct_active(spark, sf):
 @query("t_compare_filter", f"""WITH {EV}, {H_GRID}, v AS ({window_sum('ev', 10800, ['event_type', 'model'], 'avg(i.value)')})
        SELECT t, event_type, model, round(value, 6) AS value FROM v WHERE value > 60""")
 def t_compare_filter(spark, sf):
-    return out(V.cmp(S.avg_over_time(gauges(spark, sf), 10800, HOURLY), ">", 60))
+    return out(V.cmp(S.avg_over_time(means(spark, sf), 10800, HOURLY), ">", 60))
 
 
 @query("t_compare_vectors", f"""WITH {EV}, {H_GRID}, v AS ({window_sum('ev', 10800, ['event_type', 'model'], 'avg(i.value)')})
        SELECT a.t, a.model, round(a.value, 6) AS value FROM v a JOIN v b USING (t, model)
        WHERE a.event_type = 'error' AND b.event_type = 'view' AND a.value > b.value""")
 def t_compare_vectors(spark, sf):
-    v = S.avg_over_time(gauges(spark, sf), 10800, HOURLY)
+    v = S.avg_over_time(means(spark, sf), 10800, HOURLY)
     return out(V.cmp(v.where("event_type = 'error'").drop("event_type"), ">",
                      v.where("event_type = 'view'").drop("event_type")))
 
@@ -156,7 +160,7 @@ def t_compare_vectors(spark, sf):
        SELECT t, event_type, model, round(value, 6) AS value FROM v a WHERE value > 40 AND EXISTS (
        SELECT 1 FROM v b WHERE b.t = a.t AND b.model = a.model AND b.event_type = 'signup' AND b.value > 50)""")
 def t_and(spark, sf):
-    v = S.avg_over_time(gauges(spark, sf), 10800, HOURLY)
+    v = S.avg_over_time(means(spark, sf), 10800, HOURLY)
     return out(V.vec_and(V.cmp(v, ">", 40), V.cmp(v.where("event_type = 'signup'"), ">", 50), on=["model"]))
 
 
@@ -164,7 +168,7 @@ def t_and(spark, sf):
        SELECT g.t AS t, round(coalesce(v.value, 100.0), 6) AS value FROM grid g LEFT JOIN v ON v.t = g.t
        AND v.event_type = 'error'""")
 def t_or_constant(spark, sf):
-    v = S.avg_over_time(gauges(spark, sf), 3600, HOURLY, ["event_type"]).where("event_type = 'error'").drop("event_type")
+    v = S.avg_over_time(means(spark, sf), 3600, HOURLY, ["event_type"]).where("event_type = 'error'").drop("event_type")
     return out(V.vec_or(v, V.constant(spark, HOURLY, 100.0), on=[]))
 
 
@@ -173,7 +177,7 @@ def t_or_constant(spark, sf):
        SELECT t, node, path, round(value, 6) AS value FROM v JOIN info USING (node)""")
 def t_info_join(spark, sf):
     d = events(spark, sf).select("node", "ts", "event_id", "value")
-    v = S.avg_over_time(S.gauge_rollup(d, 3600, ["node"], tie="event_id"), 3600, HOURLY)
+    v = S.avg_over_time(S.value_rollup(d, 3600, ["node"]), 3600, HOURLY)
     info = table(spark, sf, "nation").select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_name").alias("path"))
     return out(V.info_join(v, info, ["node"], ["path"]))
@@ -182,7 +186,7 @@ def t_info_join(spark, sf):
 @query("t_last_not_null", f"""WITH {EV}, {H_GRID}, v AS ({window_sum('ev', 3600, ['event_type', 'model'], 'avg(i.value)')})
        SELECT event_type, model, max(t) AS t, round(arg_max(value, t), 6) AS value FROM v GROUP BY ALL""")
 def t_last_not_null(spark, sf):
-    return out(V.last_not_null(S.avg_over_time(gauges(spark, sf), 3600, HOURLY)))
+    return out(V.last_not_null(S.avg_over_time(means(spark, sf), 3600, HOURLY)))
 
 
 @query("t_value_heatmap", f"""WITH {EV}, lim AS (SELECT min(value) AS lo, max(value) AS hi FROM ev)

@@ -1,6 +1,8 @@
 """Alert states, routing, grouping and annotations."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from servelens.naming import DEFAULT_NAMING
@@ -26,6 +28,33 @@ def iv(name, start, end, node="n", job="j", sev="warning", state="firing"):
     return (name, sev, job, node, "", state, start, end, 1.0)
 
 
+def test_muted_only_while_the_source_fires(spark):
+    """Ten hours of load against a minute without telemetry: both outer parts stay."""
+    d = intervals(spark, [iv("LoadHigh", 0, 36000), iv("HardwareExporterDown", 10000, 10060), iv("HardwareExporterDown", 10030, 10050),
+                          iv("HardwareExporterDown", 500, 600, state="pending"), iv("HardwareExporterDown", 0, 50, node="m")])
+    got = sorted((r.start_t, r.end_t, r.value) for r in A.inhibit(d).where("alertname = 'LoadHigh'").collect())
+    assert got == [(0, 10000, 1.0), (10060, 36000, 1.0)]
+
+
+intervals_of = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 60), st.integers(0, 40)), max_size=12)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(targets=intervals_of, cover=intervals_of, bucket=st.sampled_from([1, 7, 1000]))
+def test_subtraction_is_that_of_points(spark, targets, cover, bucket):
+    kind = "node string, tag string, start_t bigint, end_t bigint"
+    rows = [(k, "x", lo, lo + n) for k, lo, n in targets]
+    gone = {(k or "", p) for k, lo, n in cover for p in range(lo, lo + n)}
+    want = []
+    for k, tag, lo, hi in rows:
+        left = [p for p in range(lo, hi) if (k or "", p) not in gone]
+        starts = [p for p in left if p - 1 not in left]
+        want += [(k or "", tag, p, min(q + 1 for q in left if q >= p and q + 1 not in left)) for p in starts]
+    src = A.merge_intervals(spark.createDataFrame([(k or "", "y", lo, lo + n) for k, lo, n in cover], kind), ["node"])
+    got = A.subtract_intervals(spark.createDataFrame(rows, kind), src, ["node"], bucket)
+    assert sorted((r.node or "", r.tag, r.start_t, r.end_t) for r in got.collect()) == sorted(want)
+
+
 def test_inhibition_needs_overlap_and_equal_labels(spark):
     d = intervals(spark, [iv("ProxyDown", 100, 200), iv("UpstreamDown", 150, 160), iv("UpstreamDown", 300, 310), iv("ThroughputDrop", 150, 160, job="other"), iv("LoadHigh", 150, 160)])
     left = {(r.alertname, r.start_t, r.job) for r in A.inhibit(d).collect()}

@@ -55,6 +55,7 @@ def test_windows_match_brute_force(spark, rows, w):
     roll = S.gauge_rollup(frame(spark, rows), 60)
     got = {(r.s, r.t): r.value for r in S.instant(roll, GRID, w).collect()}
     assert got == brute_window(rows, w, lambda v: float(max(v, key=lambda x: x[1])[2]))
+    roll = S.value_rollup(frame(spark, rows), 60)
     got = {(r.s, r.t): r.value for r in S.avg_over_time(roll, w, GRID).collect()}
     want = brute_window(rows, w, lambda v: sum(x[2] for x in v) / len(v))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)

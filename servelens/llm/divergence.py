@@ -38,7 +38,7 @@ SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
 PARTIAL = 1 << 19
-CELLS = 1 << 18
+CELLS = 1 << 15
 
 _KEYS = ["lang", "source", "term"]
 _PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])

@@ -5,12 +5,12 @@ apart by a second one, and takes another seed if any do, so phrases, which are t
 
 Three passes count words, pairs, and phrases of three and four.  A phrase can only be frequent if its parts
 are, so a pass skips what a bit map of fixed size (2**BITS bits, filled from the frequent parts found before)
-rules out; a map that fills up costs time and changes no result.
+rules out; a map that fills up costs time and changes no result.  A last pass spells the words of the phrases that are returned.
 
 Inside a task a :class:`HatTrie` counts: a shallow trie over the leading bits of a phrase's first two words, with hash
-containers as leaves.  A container that outgrows ``BURST`` phrases bursts into ``FAN`` containers one level
-down.  A trie of more than ``HELD`` phrases spills its largest subtrees as sorted runs; Spark deals the runs out by prefix
-and sums them there.  Memory is bounded by ``HELD`` whatever a task reads.
+containers as leaves.  A container that outgrows ``BURST`` phrases bursts into ``2**FAN_BITS`` containers one level
+down.  A trie of more than ``HELD`` phrases spills its largest subtrees as sorted runs; Spark deals the runs out by their
+first two words and sums them there.  Memory is bounded by ``HELD`` whatever a task reads.
 
 Defined cases: a null text has no words; a null language is ``und``; phrases don't cross pieces; repeated rows
 count again; ties of cuts go to the shortest first part, ties of phrases to byte order; an empty table gives no
@@ -20,10 +20,10 @@ rows; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,8 @@ BITS = 25
 BURST = 1 << 16
 FAN_BITS = 4
 HELD = 1 << 20
-#: Levels of the trie; its leaves' prefixes have DEPTH * FAN_BITS bits at most, the partitions of the runs always as many.
+CHUNK = 2 << 20
+#: Levels of the trie, and the leading bits of a phrase's number that its first two words decide.
 DEPTH = 3
 PREFIX_BITS = DEPTH * FAN_BITS
 
@@ -153,13 +154,16 @@ def _split(batch: pa.RecordBatch):
     return data, *B.word_spans(data, bounds, _INSIDE)
 
 
+def _lang_numbers(langs: pa.Array, seed: int, other: bool = False) -> np.ndarray:
+    names, bounds = B.texts(langs)
+    return B.mixed(B.span_hashes(B.prefix_sums((_OTHER if other else _SAME)[names]), bounds[:-1], bounds[1:]) + np.uint64(seed * 2 + 1) * _TWO)
+
+
 def _numbers(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, seed: int, other: bool = False) -> np.ndarray:
     """A number of each (language, word), never 0; ``other``: one that is independent of it."""
-    code = _OTHER if other else _SAME
     langs = batch.column("lang").dictionary_encode()
-    names, bounds = B.texts(langs.dictionary)
-    salts = B.mixed(B.span_hashes(B.prefix_sums(code[names]), bounds[:-1], bounds[1:]) + np.uint64(seed * 2 + 1) * _TWO)
-    ids = B.mixed(B.span_hashes(B.prefix_sums(code[data]), starts, ends) ^ salts[langs.indices.to_numpy()][text])
+    salts = _lang_numbers(langs.dictionary, seed, other)
+    ids = B.mixed(B.span_hashes(B.prefix_sums((_OTHER if other else _SAME)[data]), starts, ends) ^ salts[langs.indices.to_numpy()][text])
     ids[ids == 0] = np.uint64(1)
     return ids
 
@@ -171,43 +175,39 @@ def _words(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return _numbers(batch, data, starts, ends, text, seed), (text[1:] == text[:-1]) & (breaks[1:] == breaks[:-1])
 
 
-_WORD_SQL = "id long, lang string, word string, n long"
+def _batch(rows: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(c) for c in np.ascontiguousarray(rows.T).view(np.int64)], pa.array(n, pa.int64())], names=[*names, "n"])
 
 
-def _count_words(seed: int, held: int):
-    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_WORD = ["id", "other", "lang"]
+
 
+def _count_words(seed: int, held: int):
+    """(id, other, lang number, n) of words; id 0 counts all words of a language."""
     def run(batches):
-        found: dict[tuple[int, int], tuple] = {}
-        trie = HatTrie(2, held)  # of both numbers of a word: words that share the first stay apart
-        totals: dict[str, int] = {}
+        trie = HatTrie(3, held)
+        for piece in B.chunks(batches, "text", CHUNK):
+            data, starts, ends, text = _split(piece)
+            langs = _lang_numbers(piece.column("lang"), seed)
+            rows = np.stack([*(_numbers(piece, data, starts, ends, text, seed, other) for other in (False, True)), langs[text]], 1)
+            every = np.stack([np.zeros_like(langs), langs, langs], 1)
+            yield from (_batch(ids, n, _WORD) for _, ids, n in trie.add(rows))
+            yield from (_batch(ids, n, _WORD) for _, ids, n in trie.add(every, np.bincount(text, minlength=len(langs))))
+        yield from (_batch(ids, n, _WORD) for _, ids, n in trie.rest())
+
+    return run
 
-        def out(runs):
-            for _, ids, n in runs:
-                names = [found.pop(k) for k in zip(*ids.T.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].astype(np.int64)), pa.array([x[0] for x in names], pa.string()),
-                                                  pa.array([x[1].decode("utf-8", "replace") for x in names], pa.string()), pa.array(n)], schema=schema)
 
-        for batch in batches:
-            for piece in B.chunks([batch], "text", 4 << 20):
-                data, starts, ends, text = _split(piece)
-                langs = piece.column("lang").to_pylist()
-                for lang, n in zip(langs, np.bincount(text, minlength=len(langs)).tolist(), strict=True):
-                    totals[lang] = totals.get(lang, 0) + n
-                ids = np.stack([_numbers(piece, data, starts, ends, text, seed, other) for other in (False, True)], 1)
-                order = np.argsort(ids[:, 0], kind="stable")
-                ranked = ids[order]
-                new = np.ones(len(ranked), bool)
-                new[1:] = (ranked[1:] != ranked[:-1]).any(1)
-                at = np.flatnonzero(new)
-                for k, i in zip(zip(*ranked[at].T.tolist(), strict=True), order[at].tolist(), strict=True):
-                    if k not in found:
-                        found[k] = langs[text[i]], data[starts[i]:ends[i]].tobytes()
-                yield from out(trie.add(ranked[at], np.diff([*at, len(ranked)])))
-        yield from out(trie.rest())
-        if totals:
-            none = pa.nulls(len(totals))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(list(totals), pa.string()), none.cast(pa.string()), pa.array(list(totals.values()), pa.int64())], schema=schema)
+def _spell(seed: int, wanted: np.ndarray):
+    """(id, word) of words that the bit map may want, once per chunk."""
+    def run(batches):
+        for piece in B.chunks(batches, "text", CHUNK):
+            data, starts, ends, text = _split(piece)
+            ids = _numbers(piece, data, starts, ends, text, seed)
+            at = np.flatnonzero(_has(wanted, ids))
+            once, first = np.unique(ids[at], return_index=True)
+            words = [data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace") for i in at[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(words, pa.string())], ["id", "word"])
 
     return run
 
@@ -227,33 +227,32 @@ def bit_map(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-_PHRASE_SQL = "prefix int, key long, id0 long, id1 long, id2 long, id3 long, n long"
-_PHRASE = pa.schema([("prefix", pa.int32()), ("key", pa.int64()), *[(f"id{j}", pa.int64()) for j in range(LONGEST)], ("n", pa.int64())])
+def _ids(width: int) -> list[str]:
+    return [f"id{j}" for j in range(width)]
 
 
-def _runs(runs):
-    for keys, ids, n in runs:
-        wide = np.zeros((LONGEST, len(keys)), np.int64)
-        wide[: ids.shape[1]] = ids.T.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(64 - PREFIX_BITS)).astype(np.int32)), pa.array(keys.view(np.int64)), *[pa.array(c) for c in wide], pa.array(n)], schema=_PHRASE)
+def _with_key(batches):
+    for batch in batches:
+        key = _tuple_hash(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _ids(2)], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
 
 def _count_pairs(seed: int, held: int, frequent: np.ndarray):
     def run(batches):
         trie = HatTrie(2, held)
-        for piece in B.chunks(batches, "text", 4 << 20):
+        for piece in B.chunks(batches, "text", CHUNK):
             ids, joined = _words(piece, seed)
             ok = _has(frequent, ids)
             at = np.flatnonzero(joined & ok[1:] & ok[:-1]) if len(ids) > 1 else np.zeros(0, np.int64)
-            yield from _runs(trie.add(np.stack([ids[at], ids[at + 1]], 1)))
-        yield from _runs(trie.rest())
+            yield from (_batch(rows, n, _ids(2)) for _, rows, n in trie.add(np.stack([ids[at], ids[at + 1]], 1)))
+        yield from (_batch(rows, n, _ids(2)) for _, rows, n in trie.rest())
     return run
 
 
 def _count_longer(seed: int, held: int, frequent: np.ndarray):
     def run(batches):
         trie = HatTrie(LONGEST, held)
-        for piece in B.chunks(batches, "text", 4 << 20):
+        for piece in B.chunks(batches, "text", CHUNK):
             ids, joined = _words(piece, seed)
             if len(ids) < 3:
                 continue
@@ -267,41 +266,64 @@ def _count_longer(seed: int, held: int, frequent: np.ndarray):
                 rows = np.zeros((len(at), LONGEST), np.uint64)
                 for j in range(m):
                     rows[:, j] = ids[at + j]
-                yield from _runs(trie.add(rows))
-        yield from _runs(trie.rest())
+                yield from (_batch(r, n, _ids(LONGEST)) for _, r, n in trie.add(rows))
+        yield from (_batch(r, n, _ids(LONGEST)) for _, r, n in trie.rest())
     return run
 
 
-_IDS = [f"id{j}" for j in range(LONGEST)]
+def _frequent(texts: DataFrame, count, width: int, least: int, name: str) -> DataFrame:
+    """Sorted runs, merged in the partition of their first two words; frequent phrases stay."""
+    runs = texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*_ids(width), "n"])).repartition(*_ids(2))
+    return saved(runs.groupBy(*_ids(width)).agg(F.sum("n").alias("f")).where(F.col("f") >= least), name)
+
+
+@dataclass(frozen=True)
+class Phrases:
+    """phrases: ids, f (two words and more); words: id, lang_id, f; totals: lang, lang_id, n.  All with f >= least."""
+
+    texts: DataFrame
+    seed: int
+    phrases: DataFrame
+    words: DataFrame
+    totals: DataFrame
 
+    def spelled(self, ids: DataFrame) -> DataFrame:
+        """id, word for a column ``id`` of word numbers."""
+        found = self.texts.mapInArrow(_spell(self.seed, bit_map(ids.select(F.col("id").alias("key")))), "id long, word string")
+        return found.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("word").alias("word"))
+
+
+def _languages(texts: DataFrame, seed: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            number = pa.array(_lang_numbers(batch.column("lang"), seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), number], ["lang", "lang_id"])
 
-def _frequent(texts: DataFrame, count, least: int, name: str) -> DataFrame:
-    """Sorted runs, merged in the partition of their prefix; frequent phrases stay."""
-    runs = texts.mapInArrow(count, _PHRASE_SQL).repartition("prefix")
-    return saved(runs.groupBy("prefix", "key", *_IDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least), name)
+    return texts.select("lang").distinct().mapInArrow(run, "lang string, lang_id long")
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, held: int = HELD, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(phrases: ids, f; words: id, lang, word, f; totals: lang, n), all phrases of 1 to 4 words with f >= least."""
+def frequent_phrases(docs: DataFrame, least: int = LEAST, held: int = HELD, seed: int = 0) -> Phrases:
+    """All phrases of one to four words that occur ``least`` times in their language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     while True:
-        who = F.struct("lang", "word")
-        all_words = texts.mapInArrow(_count_words(seed, held), _WORD_SQL).groupBy("id", F.when(F.col("id").isNull(), F.col("lang")).alias("of")).agg(
-            F.sum("n").alias("f"), F.min(who).alias("who"), F.max(who).alias("other"))
-        clash = F.col("id").isNotNull() & (F.col("who") != F.col("other"))
-        rows = saved(all_words.withColumn("clash", clash).where(F.col("id").isNull() | clash | (F.col("f") >= least)), "phrase-words")
-        if not rows.where("clash").limit(1).count():
+        counted = texts.mapInArrow(_count_words(seed, held), "id long, other long, lang long, n long")
+        per = counted.groupBy("id", F.when(F.col("id") == 0, F.col("lang")).alias("of")).agg(
+            F.sum("n").alias("f"), F.min("lang").alias("lang_id"), F.min("other").alias("other"), F.max("other").alias("another"))
+        clash = (F.col("id") != 0) & (F.col("other") != F.col("another"))
+        rows = saved(per.withColumn("clash", clash).where((F.col("id") == 0) | clash | (F.col("f") >= least)).drop("of", "other", "another"), "phrase-words")
+        langs = saved(_languages(texts, seed), "phrase-langs")
+        if not rows.where("clash").limit(1).count() and not langs.groupBy("lang_id").count().where("count > 1").limit(1).count():
             break
         seed += 1
-    totals = rows.where("id is null and f > 0").select(F.col("of").alias("lang"), F.col("f").alias("n"))
-    words = rows.where("id is not null").select("id", "who.lang", "who.word", "f")
-    pairs = _frequent(texts, _count_pairs(seed, held, bit_map(words.select(F.col("id").alias("key")))), least, "phrase-pairs")
-    longer = _frequent(texts, _count_longer(seed, held, bit_map(pairs.select("key"))), least, "phrase-longer")
+    totals = rows.where("id = 0 and f > 0").select("lang_id", F.col("f").alias("n")).join(langs, "lang_id")
+    words = rows.where("id <> 0").select("id", "lang_id", "f")
+    pairs = _frequent(texts, _count_pairs(seed, held, bit_map(words.select(F.col("id").alias("key")))), 2, least, "phrase-pairs")
+    longer = _frequent(texts, _count_longer(seed, held, bit_map(pairs.mapInArrow(_with_key, "key long"))), LONGEST, least, "phrase-longer")
 
-    def ids(df):
-        return df.select(F.filter(F.array(*_IDS), lambda x: x != 0).alias("ids"), "f")
+    def ids(df, width):
+        return df.select(F.filter(F.array(*_ids(width)), lambda x: x != 0).alias("ids"), "f")
 
-    return ids(pairs).unionByName(ids(longer)), words, totals
+    return Phrases(texts, seed, ids(pairs, 2).unionByName(ids(longer, LONGEST)), words, totals)
 
 
 def _score(a: Column, parts: Column) -> Column:
@@ -333,15 +355,16 @@ def not_covered(phrases: DataFrame, cover: int = COVER) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, held: int = HELD, seed: int = 0) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of every language."""
-    phrases, words, totals = frequent_phrases(docs, least, held, seed)
-    kept = scored_cuts(phrases, words).join(not_covered(phrases, cover), "ids")
-    lang = words.select(F.col("id").alias("first"), "lang")
+    found = frequent_phrases(docs, least, held, seed)
+    kept = scored_cuts(found.phrases, found.words).join(not_covered(found.phrases, cover), "ids")
+    lang = found.words.select(F.col("id").alias("first"), "lang_id")
     kept = kept.withColumn("first", F.col("ids")[0]).join(lang, "first").drop("first")
-    # Words are fetched for those alone that may be among the first; ties at the end stay in.
-    near = kept.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top).drop("place")
+    # Words are spelled for those alone that may be among the first; ties at the end stay in.
+    near = kept.withColumn("place", F.rank().over(Window.partitionBy("lang_id").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top).drop("place")
     near = saved(near, "phrase-near")
-    spelled = (near.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id")
-               .groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    return (near.join(spelled, "ids").withColumn("rank", rank).where(F.col("rank") <= top).join(totals, "lang")
+    places = near.select("ids", F.posexplode("ids").alias("at", "id"))
+    spelled = (places.join(found.spelled(places), "id").groupBy("ids")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase")))
+    rank = F.row_number().over(Window.partitionBy("lang_id").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    return (near.join(spelled, "ids").withColumn("rank", rank).where(F.col("rank") <= top).join(found.totals, "lang_id")
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
 from .slices import carry_forward, join_on, micros, previous_row, running_total
 
 # Ordered line patterns; the first match decides.
@@ -88,62 +89,110 @@ def line_counts(classified: DataFrame, step: int) -> DataFrame:
 
 
 class TokenBucket:
-    """Refill/consume over arrays of arrival times; state is (tokens, updated)."""
+    """Token bucket over arrival times in whole nanoseconds.
 
-    def __init__(self, rate: float, tokens: float | None = None, updated: float | None = None):
+    Its state is one number, the time at which it would be full again: taking a token moves that
+    on by the cost of a token, and a line is accepted while a token is left.  Integers keep it
+    exact, so that a bucket carried over a cut equals one that was never cut.
+    """
+
+    def __init__(self, rate: float, full_at: int | None = None):
         self.rate = max(rate, 0.0)
-        self.capacity = max(self.rate, BUCKET_CAPACITY)
-        self.tokens = self.capacity if tokens is None else tokens
-        self.updated = updated
-
-    def take(self, seconds: np.ndarray) -> np.ndarray:
-        if self.rate == 0.0:
-            return np.ones(len(seconds), dtype=bool)
-        ok = np.zeros(len(seconds), dtype=bool)
-        tokens, last = self.tokens, self.updated
-        for i, now in enumerate(seconds.tolist()):
-            if last is not None:
-                tokens = min(self.capacity, tokens + (now - last) * self.rate)
-            last = now
-            if tokens >= 1.0:
-                tokens -= 1.0
-                ok[i] = True
-        self.tokens, self.updated = tokens, last
+        self.cost = round(1e9 / self.rate) if self.rate else 0
+        #: How far ahead the bucket may be from full and still hold a token.
+        self.slack = round((max(self.rate, BUCKET_CAPACITY) - 1) * self.cost)
+        self.full_at = full_at
+        self.last_full = None
+
+    @property
+    def refill(self) -> int:
+        """Nanoseconds after which the bucket is full, whatever its state."""
+        return self.slack + self.cost
+
+    def take(self, nanos: np.ndarray) -> np.ndarray:
+        """Which lines are accepted; ``last_full`` is the last arrival that found the bucket full."""
+        ok = np.ones(len(nanos), dtype=bool)
+        if not self.rate or not len(nanos):
+            return ok
+        full_at, cost, slack = self.full_at, self.cost, self.slack
+        if full_at is None:
+            full_at = int(nanos[0])
+        for i, now in enumerate(nanos.tolist()):
+            if full_at <= now:
+                self.last_full = now
+                full_at = now + cost
+            elif full_at - now <= slack:
+                full_at += cost
+            else:
+                ok[i] = False
+        self.full_at = full_at
         return ok
 
 
 def rate_limit(df: DataFrame, rate: float, slice_seconds: int = 3600) -> DataFrame:
     """Token bucket per source: adds ``accepted``; ``rate`` 0 accepts everything.
 
-    A pause of ``capacity / rate`` seconds refills the bucket whatever its
-    state, so each source is cut at such pauses and the pieces run in parallel.
-    Only ``(source, ts, seq)`` goes to Python, in sorted Arrow batches of bounded
-    size; a piece is streamed, never held.  Decisions are joined back by
-    ``(source, seq)``.
+    A source is cut into time slices that run at the same time, each from a guessed
+    bucket.  The first guess is an empty bucket; after that it is what the slice before left, brought into
+    step with the last arrival that found the bucket full, since a busy bucket keeps
+    that arrival's time modulo the cost of a token.  Slices whose guess was wrong run again until all agree
+    with their neighbours: two or three rounds in practice, one per slice at worst, and the
+    result is that of one bucket per source.  Only ``(source, seq, us)`` goes to Python, in sorted batches; a
+    slice is streamed, never held.  Rows without a source share one bucket.
     """
     if rate <= 0:
         return df.withColumn("accepted", F.lit(True))
-    refill = max(rate, BUCKET_CAPACITY) / rate
-    slim = df.select("source", "seq", micros("ts").alias("us"))
-    rank, pos, length = F.struct("us", "seq"), F.col("us"), slice_seconds * 1_000_000
-    d = previous_row(slim, ["source"], ["us", "seq"], {"before": "us"}, pos, length, rank)
-    d = d.withColumn("fresh", F.when(F.col("before").isNull()
-                                     | (F.col("us") - F.col("before") >= refill * 1e6), F.col("us")))
-    d = carry_forward(d, ["source"], ["us", "seq"], {"piece": "fresh"}, pos, length, rank)
+    made = TokenBucket(rate)
+    key = ["source", "slice"]
+    slim = df.select("source", "seq", micros("ts").alias("us")).withColumn("slice", F.floor(F.col("us") / (slice_seconds * 1_000_000)).cast("bigint"))
+    slim = saved(slim, "bucket-lines")
+    seq = Window.partitionBy("source").orderBy("slice")
+    first = slim.groupBy(*key).agg(F.min("us").alias("us"))
+    empty = F.col("us") * 1000 + made.refill
+    todo = first.select(*key, F.when(F.row_number().over(seq) > 1, empty).alias("start"))
+    known = None
+    while True:
+        ran = _bucket_slices(slim, todo, rate, False)
+        if known is not None:
+            ran = ran.unionByName(known.where("not again").select(*key, "start", "end", "full"))
+        ran = saved(ran, "bucket-slices")
+        before = F.lag("end").over(seq)
+        full = F.last("full", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, -1))
+        fits = before - F.coalesce(F.pmod(before - full, F.lit(made.cost)), F.lit(0))
+        known = ran.withColumns({"before": before, "fits": fits}).withColumn("again", F.coalesce(F.col("before") != F.col("start"), F.lit(False)))
+        known = saved(known.withColumn("want", F.when(F.col("fits") != F.col("start"), F.col("fits")).otherwise(F.col("before"))), "bucket-slices")
+        if not known.where("again").limit(1).count():
+            break
+        todo = known.where("again").select(*key, F.col("want").alias("start"))
+    decided = _bucket_slices(slim, known.select(*key, "start"), rate, True)
+    return join_on(df, decided, ["source", "seq"])
 
+
+def _bucket_slices(lines: DataFrame, starts: DataFrame, rate: float, decide: bool) -> DataFrame:
+    """Buckets run over slices from their starts: decisions, or (source, slice, start, end, full) in nanoseconds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, last = TokenBucket(rate), None
+        bucket, last, head = None, None, None
         for b in batches:
             us = b["us"].to_numpy()
-            if len(us) and ((last is not None and us[0] < last) or (np.diff(us) < 0).any()):
+            if not len(us):
+                continue
+            if (last is not None and us[0] < last) or (np.diff(us) < 0).any():
                 raise ValueError("lines of a source must arrive in time order")
-            last = us[-1] if len(us) else last
-            yield pd.DataFrame({"source": b["source"], "seq": b["seq"], "accepted": bucket.take(us / 1e6)})
-
-    ordered = d.select("source", "piece", "us", "seq").repartition("source", "piece").sortWithinPartitions(
-        "source", "piece", "us", "seq")
-    decided = ordered.groupBy("source", "piece").applyInPandas(run, "source string, seq bigint, accepted boolean")
-    return join_on(df, decided, ["source", "seq"])
+            last = us[-1]
+            if bucket is None:
+                head = b.iloc[0]
+                bucket = TokenBucket(rate, None if pd.isna(head["start"]) else int(head["start"]))
+            ok = bucket.take(us * 1000)
+            if decide:
+                yield pd.DataFrame({"source": b["source"], "seq": b["seq"], "accepted": ok})
+        if bucket is not None and not decide:
+            numbers = {"start": None if pd.isna(head["start"]) else int(head["start"]), "end": bucket.full_at, "full": bucket.last_full}
+            yield pd.DataFrame({"source": [head["source"]], "slice": [head["slice"]], **{k: pd.array([v], "Int64") for k, v in numbers.items()}})
+
+    d = join_on(lines, starts, ["source", "slice"])
+    ordered = d.select("source", "slice", "us", "seq", F.col("start").cast("string").alias("start")).repartition("source", "slice").sortWithinPartitions("source", "slice", "us", "seq")
+    kind = "source string, seq bigint, accepted boolean" if decide else "source string, slice bigint, start bigint, end bigint, full bigint"
+    return ordered.groupBy("source", "slice").applyInPandas(run, kind)
 
 
 def kv_cache_blocks(lines: DataFrame) -> DataFrame:

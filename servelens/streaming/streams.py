@@ -1,11 +1,14 @@
 """Streaming forms of the batch operators.
 
 State is kept per key and bounded: a few numbers per series, an open request,
-or an alert's clock.  A micro-batch is sorted inside the key before it is folded
-in, and rows older than the state are skipped as late.  The caller chooses
-sources, sinks, triggers and checkpoint folders.
+or an alert's clock.  Every key has an event-time timer: once the watermark has passed
+the time after which its state can no longer change a result (or, for a counter, ``idle``), the state goes, so
+what a stream keeps follows the keys that are alive.  Rows older than the watermark (``late``) are
+dropped, a micro-batch is sorted inside the key before it is folded in, and rows older than
+the state are skipped.  The caller chooses sources, sinks, triggers and checkpoint folders.
 """
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,63 +48,93 @@ def _seconds(col: pd.Series) -> pd.Series:
     return col.astype("datetime64[us]").astype("int64") / 1e6
 
 
-def rate_limited(lines: DataFrame, rate: float) -> DataFrame:
-    """Token bucket per source with the bucket as state: ``(source, seq, ts, line, accepted)``."""
+def _until(state: GroupState, seconds: float) -> None:
+    """Let the key's state end once the watermark passes a time."""
+    state.setTimeoutTimestamp(max(math.ceil(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limited(lines: DataFrame, rate: float, late: str = "10 minutes") -> DataFrame:
+    """Token bucket per source with the bucket as state: ``(source, seq, ts, line, accepted)``.
+
+    A source that rests until its bucket is full again is forgotten: a new bucket is as full.
+    """
     def fold(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         d = _ordered(pdfs, ["ts", "seq"])
         if d.empty:
             return
-        bucket = TokenBucket(rate, *(state.get if state.exists else (None, None)))
-        sec = _seconds(d["ts"]).to_numpy()
-        if bucket.updated is not None:
+        full_at, last = state.get if state.exists else (None, None)
+        bucket = TokenBucket(rate, full_at)
+        nanos = d["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000
+        if last is not None:
             # a late line cannot move the clock back
-            sec = sec.clip(min=bucket.updated)
-        ok = bucket.take(sec)
-        state.update((float(bucket.tokens), float(bucket.updated if bucket.updated is not None else sec[-1])))
+            nanos = nanos.clip(min=last)
+        ok = bucket.take(nanos)
+        full_at = bucket.full_at if bucket.full_at is not None else int(nanos[-1])
+        state.update((int(full_at), int(nanos[-1])))
+        _until(state, full_at / 1e9)
         yield d[["source", "seq", "ts", "line"]].assign(accepted=ok)
 
-    return lines.select("source", "seq", "ts", "line").groupBy("source").applyInPandasWithState(
-        fold, "source string, seq bigint, ts timestamp, line string, accepted boolean", "tokens double, updated double",
-        "append", GroupStateTimeout.NoTimeout)
+    return lines.select("source", "seq", "ts", "line").withWatermark("ts", late).groupBy("source").applyInPandasWithState(
+        fold, "source string, seq bigint, ts timestamp, line string, accepted boolean", "full_at bigint, last bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def counter_increments(samples: DataFrame, keys: list[str], late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """Reset-aware increments with the last value per series as state: ``(keys.., ts, inc)``.
 
-def counter_increments(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Reset-aware increments with the last value per series as state: ``(keys.., ts, inc)``."""
+    A series that is silent for ``idle`` is forgotten and starts anew, with an increment of 0.
+    """
     schema = samples.select(*keys).schema
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "ts timestamp", "inc double"])
+    rest = pd.Timedelta(idle).total_seconds()
 
     def fold(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         d = _ordered(pdfs, ["ts"]).dropna(subset=["value"])
         last, seen = state.get if state.exists else (None, None)
         if seen is not None:
             d = d[_seconds(d["ts"]) > seen]
         if d.empty:
+            if state.exists:
+                _until(state, seen + rest)
             return
         prev = d["value"].shift()
         prev.iloc[0] = d["value"].iloc[0] if last is None else last
         inc = (d["value"] - prev).where(d["value"] >= prev, d["value"])
-        state.update((float(d["value"].iloc[-1]), float(_seconds(d["ts"]).iloc[-1])))
+        seen = float(_seconds(d["ts"]).iloc[-1])
+        state.update((float(d["value"].iloc[-1]), seen))
+        _until(state, seen + rest)
         yield d[[*keys, "ts"]].assign(inc=inc.astype(float))
 
-    return samples.select(*keys, "ts", "value").groupBy(*keys).applyInPandasWithState(
-        fold, out, "last double, seen double", "append", GroupStateTimeout.NoTimeout)
+    return samples.select(*keys, "ts", "value").withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(
+        fold, out, "last double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alert_states(cond: DataFrame, keys: list[str], hold: int, interval: int) -> DataFrame:
+def alert_states(cond: DataFrame, keys: list[str], hold: int, interval: int, late: str = "5 minutes") -> DataFrame:
     """Hold-time state machine over condition rows ``(keys.., t, value)``.
 
-    A row exists where the condition is true; a gap ends the run.  Rows of a key
-    must not arrive out of order across micro-batches (the grid evaluation
-    emits them in time order).
+    A row exists where the condition is true; a gap ends the run, and with it
+    the alert's state.  Rows of a key must not arrive out of order across
+    micro-batches (the grid evaluation emits them in time order).
     """
     out = ", ".join([*(f"`{k}` string" for k in keys), "t bigint", "value double", "active_since bigint", "state string"])
 
     def fold(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         d = _ordered(pdfs, ["t"])
         since, last = state.get if state.exists else (None, None)
         if last is not None:
             d = d[d["t"] > last]
         if d.empty:
+            if state.exists:
+                _until(state, last + interval)
             return
         starts, states = [], []
         for t in d["t"].tolist():
@@ -110,49 +143,75 @@ def alert_states(cond: DataFrame, keys: list[str], hold: int, interval: int) ->
             starts.append(since)
             states.append("firing" if t - since >= hold else "pending")
         state.update((int(since), int(last)))
+        _until(state, last + interval)
         yield d[[*keys, "t", "value"]].assign(active_since=starts, state=states)
 
-    return cond.select(*keys, "t", "value").groupBy(*keys).applyInPandasWithState(
-        fold, out, "since bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = cond.select(*keys, "t", "value").withColumn("_ts", F.timestamp_seconds("t")).withWatermark("_ts", late)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        fold, out, "since bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assemble_streams(chunks: DataFrame, late: str = "5 minutes") -> DataFrame:
-    """Complete requests from streamed chunks: ``(request_id, chunks ARRAY)``.
+    """Complete requests from streamed chunks: ``(request_id, chunks ARRAY)``, one row per request.
 
     A request is emitted on its ``[DONE]`` line, or when the watermark passes
-    its last chunk by ``late``.  Feed :func:`exploded_chunks` of the result to
-    ``requests.assemble_stream`` in ``foreachBatch``.
+    its last chunk by ``late``.  After that a tombstone stays until the watermark passes the last chunk by
+    ``late``, so that a chunk that comes after the end is dropped instead of opening the request again.
+    Feed :func:`exploded_chunks` of the result to ``requests.assemble_stream`` in ``foreachBatch``,
+    or see :func:`follow_request_facts`.
     """
     item = "array<struct<seq: bigint, recv_ts: timestamp, payload: string>>"
-    wait_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+    wait = pd.Timedelta(late).total_seconds()
 
     def fold(key, pdfs, state: GroupState):
-        seqs, times, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
+        seqs, times, texts, closed = state.get if state.exists else ([], [], [], False)
+        seqs, times, texts = list(seqs), list(times), list(texts)
         if state.hasTimedOut:
             state.remove()
-            done = True
+            done = not closed
         else:
             d = _ordered(pdfs, ["seq"])
-            seqs += d["seq"].tolist()
-            times += (_seconds(d["recv_ts"]) * 1e6).astype("int64").tolist()
-            texts += d["payload"].tolist()
-            done = any(t.strip().endswith("[DONE]") for t in texts)
-            if done:
-                if state.exists:
-                    state.remove()
+            fresh = (_seconds(d["recv_ts"]) * 1e6).astype("int64").tolist()
+            if closed:
+                times, done = [max(times + fresh)], False
             else:
-                state.update((seqs, times, texts))
-                state.setTimeoutTimestamp(max(max(times) // 1000 + wait_ms, state.getCurrentWatermarkMs() + 1))
+                seqs += d["seq"].tolist()
+                times += fresh
+                texts += d["payload"].tolist()
+                done = any(t is not None and t.strip().endswith("[DONE]") for t in texts)
+            if closed or done:
+                state.update(([], [max(times)], [], True))
+            else:
+                state.update((seqs, times, texts, False))
+            _until(state, max(times) / 1e6 + wait)
         if done and seqs:
             order = sorted(range(len(seqs)), key=seqs.__getitem__)
             rows = [{"seq": seqs[i], "recv_ts": pd.Timestamp(times[i], unit="us"), "payload": texts[i]} for i in order]
             yield pd.DataFrame({"request_id": [key[0]], "chunks": [rows]})
 
     return chunks.withWatermark("recv_ts", late).select("request_id", "seq", "recv_ts", "payload").groupBy("request_id").applyInPandasWithState(
-        fold, f"request_id string, chunks {item}", "seqs array<bigint>, times array<bigint>, texts array<string>", "append",
+        fold, f"request_id string, chunks {item}", "seqs array<bigint>, times array<bigint>, texts array<string>, closed boolean", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
+CHUNK_LINES = "request_id STRING, seq BIGINT, recv_ts TIMESTAMP, payload STRING"
+
+
+def follow_chunks(spark, path: str, max_files: int | None = None) -> DataFrame:
+    """Stream of recorded completion chunks (JSON lines) from a folder."""
+    reader = spark.readStream.schema(CHUNK_LINES).format("json")
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
+
+
+def follow_request_facts(chunks: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, late: str = "5 minutes", once: bool = False):
+    """Chunks -> assembled requests -> content, tokens and finish reason of each, handed to ``write`` per micro-batch."""
+    def facts(batch: DataFrame, epoch: int) -> None:
+        write(R.stream_completion_tokens(streamed_requests(batch)), epoch)
+
+    w = assemble_streams(chunks, late).writeStream.foreachBatch(facts).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
 def exploded_chunks(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.explode("chunks").alias("c")).select("request_id", "c.*")
 

@@ -94,9 +94,10 @@ def test_rate_limit_across_batches(spark, tmp_path):
 
 
 def test_alert_states_across_batches(spark, tmp_path):
-    rows = [("a", t, 1.0) for t in (0, 30, 60, 90, 150, 180, 240)]
+    base = 1_704_067_200
+    rows = [("a", base + t, 1.0) for t in (0, 30, 60, 90, 150, 180, 240)]
     d = spark.createDataFrame(rows, "node string, t bigint, value double")
-    got = run(spark, d, lambda x: W.alert_states(x, ["node"], 60, 30), str(tmp_path), ["t < 60", "t between 60 and 150", "t > 150"])
+    got = run(spark, d, lambda x: W.alert_states(x, ["node"], 60, 30), str(tmp_path), [f"t < {base + 60}", f"t between {base + 60} and {base + 150}", f"t > {base + 150}"])
     want = A.alert_states(d, 60, 30)
     assert sorted((r.t, r.state, r.active_since) for r in got.collect()) == sorted((r.t, r.state, r.active_since) for r in want.collect())
 
@@ -110,6 +111,45 @@ def test_stream_assembly_waits_for_the_end(spark, tmp_path):
     assert {r.request_id: r.content for r in W.streamed_requests(got).collect()} == {"a": "xy", "b": "lost", "c": "late"}
 
 
+def test_a_chunk_after_the_end_gives_no_second_row(spark, tmp_path):
+    rows = [("a", 0, ts(0), "data: {}"), ("a", 1, ts(1), "data: [DONE]"), ("a", 2, ts(2), "data: [DONE]"), ("a", 3, ts(70), "data: {}"),
+            ("b", 0, ts(40), "data: {}"), ("z", 0, ts(100000), "data: {}")]
+    d = spark.createDataFrame(rows, "request_id string, seq bigint, recv_ts timestamp, payload string")
+    got = run(spark, d, lambda x: W.assemble_streams(x, "1 minute"), str(tmp_path), ["seq < 2 and request_id = 'a'", "seq = 2", "request_id = 'b'", "seq = 3", "request_id = 'z'"])
+    assert sorted((r.request_id, len(r.chunks)) for r in got.where("request_id < 'z'").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_facts_follow_from_files(spark, tmp_path):
+    lines = [{"request_id": "r", "seq": i, "recv_ts": "2024-01-01T00:00:0%d" % i, "payload": p} for i, p in enumerate(
+        ['data: {"choices": [{"delta": {"content": "two "}}]}', 'data: {"choices": [{"delta": {"content": "words"}, "finish_reason": "stop"}]}', "data: [DONE]"])]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "c.json").write_text("\n".join(json.dumps(x) for x in lines))
+    W.follow_request_facts(W.follow_chunks(spark, str(tmp_path / "in")), lambda b, e: b.select("request_id", "content", "completion_tokens", "finish_reason").write.mode("append").parquet(str(tmp_path / "out")),
+                           str(tmp_path / "ck"), once=True).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r", "two words", 2, "stop")]
+
+
+def kept_state(spark, df, build, folder, splits):
+    """Rows of state after the last micro-batch."""
+    for cond in splits:
+        df.where(cond).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        q = (build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")).writeStream.outputMode("append").format("noop")
+             .option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+@pytest.mark.parametrize("kind", ["bucket", "counter", "alert", "chunks"])
+def test_idle_keys_leave_no_state(spark, tmp_path, kind):
+    """A hundred keys come and go; once time has passed them, one far later key is all that is kept."""
+    rows = [(f"k{i}", i, ts(i), i, 1.0, "data: [DONE]") for i in range(100)] + [("far", 1000, ts(10**6), 10**6, 1.0, "data: {}")]
+    d = spark.createDataFrame(rows, "source string, seq bigint, ts timestamp, sec bigint, value double, line string")
+    build = {"bucket": lambda x: W.rate_limited(x, 10.0), "counter": lambda x: W.counter_increments(x, ["source"], idle="1 hour"),
+             "alert": lambda x: W.alert_states(x.withColumnRenamed("sec", "t"), ["source"], 60, 30),
+             "chunks": lambda x: W.assemble_streams(x.select(F.col("source").alias("request_id"), "seq", F.col("ts").alias("recv_ts"), F.col("line").alias("payload")))}[kind]
+    assert kept_state(spark, d, build, str(tmp_path), ["seq < 50", "seq < 100 and seq >= 50", "seq = 1000"]) == 1
+
+
 def test_notifications_across_batches(spark, tmp_path):
     d = spark.createDataFrame([("g", ts(0), 1), ("g", ts(1000), -1), ("z", ts(20000), 1), ("z", ts(40000), 1)], "node string, ts timestamp, delta int")
     got = run(spark, d, lambda x: W.group_notifications(x, ["node"], "0 seconds"), str(tmp_path), [F.col("ts") < ts(500), F.col("ts") == ts(1000), F.col("ts") == ts(20000), F.col("ts") > ts(30000)])

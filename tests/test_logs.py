@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,44 @@ def test_rate_limit_matches_a_single_bucket(spark, rate):
     assert len(got) == 600 and sum(got[i] != want[i] for i in want) == 0
 
 
+def sequential(rows, rate):
+    """One bucket per source over all its lines, in whole nanoseconds."""
+    cost, slack, full, out = round(1e9 / rate), round((max(rate, 50.0) - 1) * round(1e9 / rate)), {}, {}
+    for s, i, us in sorted(rows, key=lambda r: (r[2], r[1])):
+        at = full.get(s, 0)
+        if max(at, us * 1000) - us * 1000 <= slack:
+            full[s] = max(at, us * 1000) + cost
+            out[i] = True
+        else:
+            out[i] = False
+    return out
+
+
+@pytest.mark.parametrize(("rate", "gap"), [(7.0, 60_000), (3.0, 333_000), (20.0, 50_000), (20.0, 49_000), (13.0, 90_000)])
+def test_a_source_without_pauses_is_cut(spark, rate, gap):
+    """A third of all lines in one source that never rests: many slices, few rounds, one bucket's result."""
+    rnd = random.Random(int(rate * gap))
+    rows, us = [], 0
+    for i in range(3000):
+        us += rnd.randint(0, 2 * gap)
+        rows.append(("hot" if i % 3 else f"s{i % 30}", i, us))
+    d = spark.createDataFrame(rows, "source string, seq bigint, us bigint").withColumn("ts", F.timestamp_micros("us")).drop("us").repartition(5)
+    got = {r.seq: r.accepted for r in G.rate_limit(d, rate, 5).collect()}
+    assert got == sequential(rows, rate)
+
+
+def test_hot_source_uses_many_tasks(spark):
+    d = spark.range(4000).select(F.lit("hot").alias("source"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 10_000).alias("ts"))
+    starts = spark.range(8).select(F.lit("hot").alias("source"), F.col("id").alias("slice"), F.lit(None).cast("bigint").alias("start"))
+    lines = d.select("source", "seq", F.unix_micros("ts").alias("us"), F.floor(F.unix_micros("ts") / 5_000_000).alias("slice"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few enough for one task
+    try:
+        parts = G._bucket_slices(lines, starts, 50.0, True).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1
+
+
 def test_rate_zero_accepts_all(spark):
     d = spark.createDataFrame([("s", i, ts(0), "x") for i in range(200)], "source string, seq bigint, ts timestamp, line string")
     assert G.rate_limit(d, 0).where("accepted").count() == 200
@@ -136,10 +175,49 @@ def test_field_diff_paths(spark):
 
 
 def test_secrets_show_digests_only(spark):
-    d = D.normalize_resources(res(spark, "a", [("Secret", "x", {"data": {"p": "c2VjcmV0"}})])).first()
+    d = D.documents(D.normalize_resources(res(spark, "a", [("Secret", "x", {"data": {"p": "c2VjcmV0"}})]))).first()
     assert json.loads(d.doc)["data"]["p"] == D.digest_text("secret") and "c2VjcmV0" not in d.doc
     assert D.secret_values(res(spark, "a", [("Secret", "x", {"data": {"p": "c2VjcmV0"}})])).first().value == "secret"
 
 
 def test_binary_config_data_is_decoded(spark):
     assert diff(spark, {"binaryData": {"k": "dg=="}}, {"data": {"k": "v"}}) == ("OK", [])
+
+
+@pytest.mark.parametrize("kind", ["Secret", "ConfigMap"])
+@pytest.mark.parametrize("data", [{"data": None}, {"data": {}}, {"data": None, "binaryData": None}])
+def test_null_data_counts_as_none(spark, kind, data):
+    if kind == "Secret":
+        data.pop("binaryData", None)
+    assert diff(spark, data, {}, kind) == ("OK", [])
+
+
+def test_keys_and_values_with_control_characters(spark):
+    odd = {"a\x01b": {"\x02": ["x\x01\x02", "\x03", {"\x03\x032": 1}]}, "\x031": "\x00"}
+    assert diff(spark, {"spec": odd}, {"spec": odd}, "Deployment") == ("OK", [])
+    d = D.documents(D.normalize_resources(res(spark, "a", [("Deployment", "x", {"spec": odd})]))).first()
+    assert json.loads(d.doc) == {"spec": odd}
+    other = json.loads(json.dumps(odd))
+    other["a\x01b"]["\x02"][1] = "y"
+    assert diff(spark, {"spec": odd}, {"spec": other}, "Deployment") == ("DIFF", [("spec.a\x01b.\x02[1]", "\x03", "y")])
+
+
+def test_annotations_that_become_empty_go_and_others_stay(spark):
+    note = {"kubectl.kubernetes.io/last-applied-configuration": "x"}
+    assert diff(spark, {"metadata": {"annotations": note, "n": 1}}, {"metadata": {"n": 1}})[0] == "OK"
+    assert diff(spark, {"metadata": {"annotations": {**note, "k": {}}}}, {"metadata": {"annotations": {"k": {}}}})[0] == "OK"
+    assert diff(spark, {"metadata": {"annotations": {**note, "k": "v"}}}, {"metadata": {}})[0] == "DIFF"
+
+
+def test_a_large_document_takes_linear_time(spark):
+    big = {"spec": {f"k{i}": {"annotations": {}, "v": i} for i in range(20000)}}
+    t = time.perf_counter()
+    assert len(D._entries("deployments", json.dumps(big))) == 40002
+    assert time.perf_counter() - t < 5
+
+
+def test_equal_documents_are_never_spelled(spark):
+    """One Python pass a side; the digests alone are compared."""
+    a, b = (D.normalize_resources(res(spark, s, [("ConfigMap", "x", {"data": {"k": s}})])) for s in "ab")
+    plan = D.compare_states(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "PythonUDF" not in plan

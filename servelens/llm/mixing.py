@@ -6,9 +6,10 @@ by pair, word mass moves from one document to the other until one of the two is
 integral.  Each move keeps the pair's expected words, and each document's
 expected copies, exact.  Blocks of a few dozen documents are rounded at a time;
 what is left of each (at most one document) goes to the next level, until one
-document per source is left, which goes to the nearer whole number.  Blocks run from large to
-small documents, so that what is left tends to be small: a source's words
-miss the target by half a document at most, mostly one of the smallest.
+document per source is left, which goes to the nearer whole number.  A move makes the smaller of two documents
+integral first, so that last one may be large; the words by which it misses the target are
+made up by :func:`_settled`, which sends a few of the source's rounded documents, from large to small, to
+their other neighbouring whole number.  What then misses is less than the smallest documents it had to choose from.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null
 source is a source of its own, last; rows equal in id, source and text are
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import WORD, saved, text_or_empty, unit_interval
 
 BLOCK = 48
+#: Documents of a size class that may settle what a source misses.
+CHOICE = 4
 MOST = 3
 KEY = ("source", "doc_id", "crc", "size")
 
@@ -91,7 +94,7 @@ def _round_block(units: Column, kind: str) -> Column:
         moved = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda m: F.array(_with_x(acc["held"], m["x"]), _with_x(new, m["y"]))).getItem(0)
         pair = F.when(acc["held"].isNull() | ~_fraction(new), F.filter(F.array(acc["held"], new), lambda q: q.isNotNull())).otherwise(moved)
         return F.transform(F.array(pair), lambda p: F.struct(
-            F.filter(p, _fraction).getItem(0).alias("held"), F.concat(acc["done"], F.filter(p, lambda q: ~_fraction(q))).alias("done"))).getItem(0)
+            F.get(F.filter(p, _fraction), F.lit(0)).alias("held"), F.concat(acc["done"], F.filter(p, lambda q: ~_fraction(q))).alias("done"))).getItem(0)
 
     return F.aggregate(units, start, step)
 
@@ -129,7 +132,48 @@ def copies(rows: DataFrame, targets: DataFrame, seed: int = 17, block: int = BLO
             break
     if rounded is None:
         rounded = todo
-    return rounded.select("source", "unit.doc_id", "unit.crc", "unit.size", "unit.nth", (F.col("unit.base") + F.col("unit.x").cast("int")).cast("long").alias("copies"))
+    done = rounded.select("source", "unit.doc_id", "unit.crc", "unit.size", "unit.nth", F.col("unit.base").cast("long").alias("base"),
+                          (F.col("unit.base") + F.col("unit.x").cast("int")).cast("long").alias("copies"))
+    return _settled(saved(done, "mix-rounded"), targets, seed)
+
+
+def _settled(done: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Copies after a source's missing or surplus words went to some of its documents.
+
+    Of each source, size class (a power of two) and direction, at most ``CHOICE`` documents are looked at, so
+    a source's list is bounded.  From large to small, one moves whenever that brings the source nearer to its target,
+    at first or after one of them overshot; the nearest end counts.  Copies stay the whole number below or above the wanted fraction.
+    """
+    who = ["source", "doc_id", "crc", "size", "nth"]
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    aims = targets.select(F.col("source").alias("s"), "target", (ratio > F.floor(ratio)).alias("between"))
+    mass = done.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    mass = mass.where("between").select(F.col("source").alias("s"), (F.col("target") - F.col("taken")).alias("missing"))
+    order = F.xxhash64(*who, F.lit(f"{seed} settle"))
+    one = F.struct((-F.col("size")).alias("o"), order.alias("h"), F.when(F.col("copies") > F.col("base"), -1).otherwise(1).alias("move"), F.struct(*who).alias("who"))
+    few = (done.where("size > 0").groupBy("source", F.floor(F.log2("size")).alias("class"), (F.col("copies") > F.col("base")).alias("up"), F.pmod(order, F.lit(CHOICE)).alias("k"))
+           .agg(F.min(one).alias("c")).select("source", F.col("c").withField("first", F.col("k") == 0).alias("c")).groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("c")))
+    # The state's list holds the moves made; a document's words are -o.
+    who_kind = few.schema["c"].dataType.elementType["who"].dataType.simpleString()
+    kind = f"struct<missing:double,moves:array<struct<move:int,who:{who_kind}>>>"
+
+    def moved(state, c):
+        return F.struct((state["missing"] + c["o"] * c["move"]).alias("missing"), F.concat(state["moves"], F.array(F.struct(c["move"].alias("move"), c["who"].alias("who")))).alias("moves")).cast(kind)
+
+    def greedy(state, but):
+        def step(have, c):
+            nearer = F.abs(have["missing"] + c["o"] * c["move"]) < F.abs(have["missing"])
+            return F.when(nearer & (but.isNull() | (c["who"] != but["who"])), moved(have, c)).otherwise(have)
+        return F.aggregate("c", state, step)
+
+    start = F.struct(F.col("missing").cast("double").alias("missing"), F.array().alias("moves")).cast(kind)
+    # Also tried: one move, of each class and direction, that overshoots first.
+    tries = F.concat(F.array(greedy(start, F.lit(None).cast(f"struct<who:{who_kind}>"))),
+                     F.transform(F.filter("c", lambda c: c["first"]), lambda c: greedy(moved(start, c), c)))
+    best = F.array_min(F.transform(tries, lambda t: F.struct(F.abs(t["missing"]).alias("off"), F.size(t["moves"]).alias("n"), t["moves"].alias("moves"))))
+    moves = few.join(mass, F.col("source").eqNullSafe(F.col("s"))).select(F.explode(best["moves"]).alias("m")).select("m.who", "m.move")
+    out = done.withColumn("who", F.struct(*who)).join(moves, "who", "left")
+    return out.select(*who, (F.col("copies") + F.coalesce("move", F.lit(0))).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:

@@ -121,15 +121,13 @@ def _confirm(k: int, percent: int):
 
 
 def _differences(k: int, percent: int):
-    """Rows (leader, e, node, as_x, as_y, f, g, na, nb): some of each node's differences from its leader.
+    """Rows (leader, node, e, n, f, g, long_x, long_y): every difference e of each node from its leader.
 
     Of a node's set x and its leader's set b let A be what x lacks and B what it adds, and f = (1 - s) |A| + s |B|
     with s = p / (1 + p) for the similarity p.  x and b are alike exactly if f(x) <= g = (1 - 2 s) |b|.  Two
     sets x and y are alike exactly if they share at least f(x) + f(y) - g differences.  If x isn't alike b, that is
-    more than f(y), and at least f(x) - g: so in any common order of differences, x among its first |D| - (f(x) - g) + 1
-    and y among its first |D| - f(y) must have one in common.  Added shingles come first, as they are the rarer ones.
-    What both beginnings share is counted; beyond the end of the one that ends first (px, py: where x and y
-    as such end) only the rest of that node (rx, ry: how many) can be shared.
+    more than f(y), and at least f(x) - g: so in any common order of differences, x among its first
+    long_x = n - (f(x) - g) + 1 and y among its first long_y = n - f(y) must have one in common, n being its number of differences.
     """
     p = percent / 100
     s = p / (1 + p)
@@ -146,32 +144,27 @@ def _differences(k: int, percent: int):
                 twin = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
                 alone = ~(np.append(twin, False) | np.insert(twin, 0, False)) if len(h) else np.zeros(0, bool)
                 h, o, lacks = h[alone], o[alone], lacks[alone]
-                order = np.lexsort((h, lacks, o))
-                h, o, lacks = h[order], o[order], lacks[order]
                 n = np.bincount(o, minlength=part.num_rows)
                 na = np.bincount(o[lacks], minlength=part.num_rows)
                 f = (1 - s) * na + s * (n - na)
                 g = (1 - 2 * s) * np.bincount(ob, minlength=part.num_rows)
-                first = np.cumsum(n) - n
-                nth = np.arange(len(o)) - first[o]
-                place = np.where(lacks, np.int64(1) << 62, np.int64(0)) + (h >> np.uint64(2)).astype(np.int64)
-                long = {"x": n - np.maximum(1, np.ceil(f - g - 1e-6)) + 1, "y": n - np.floor(f - 1e-6)}
-                long = {c: np.clip(v, 0, n).astype(np.int64) for c, v in long.items()}
-                ends = {c: np.where(v > 0, place[np.maximum(first + v - 1, 0)] if len(o) else -1, -1) for c, v in long.items()}
-                as_x, as_y = nth < long["x"][o], nth < long["y"][o]
-                take = np.flatnonzero(as_x | as_y)
-                of = o[take]
-                rows = pa.array(o[take])
-                e = h[take] ^ np.where(lacks[take], np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+                long_x = np.clip(n - np.maximum(1, np.ceil(f - g - 1e-6)) + 1, 0, n).astype(np.int64)
+                long_y = np.clip(n - np.floor(f - 1e-6), 0, n).astype(np.int64)
+                rows = pa.array(o)
+                e = h ^ np.where(lacks, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("leader").take(rows), pa.array(e.astype(np.int64)), part.column("node").take(rows), pa.array(as_x[take]), pa.array(as_y[take]),
-                    pa.array(f[of]), pa.array(g[of]), pa.array(na[of]), pa.array((n - na)[of]),
-                    pa.array(ends["x"][of]), pa.array(ends["y"][of]), pa.array((n - long["x"])[of]), pa.array((n - long["y"])[of])],
-                    ["leader", "e", "node", "as_x", "as_y", "f", "g", "na", "nb", "px", "py", "rx", "ry"])
+                    part.column("leader").take(rows), part.column("node").take(rows), pa.array(e.astype(np.int64)), pa.array(n[o]),
+                    pa.array(f[o]), pa.array(g[o]), pa.array(long_x[o]), pa.array(long_y[o])], ["leader", "node", "e", "n", "f", "g", "long_x", "long_y"])
     return run
 
 
 def _left_over(k: int, percent: int):
+    """Pairs of one leader's nodes that share as many differences from it as likeness demands.
+
+    Differences are ordered by how many of the leader's nodes have them, rarest first; those that one node
+    alone has come before all others and can't be shared.  So edits that most variants of a text
+    have in common stand last, where only nodes with hardly any differences of their own look.
+    """
     def within(asked: DataFrame, payload: DataFrame, roots: DataFrame | None) -> DataFrame:
         placed = rooted(rooted(asked, roots, "node", "root"), roots, "leader", "lead_root")
         placed = saved(placed.withColumn("open", F.col("root") != F.col("lead_root")), "asked")
@@ -180,15 +173,25 @@ def _left_over(k: int, percent: int):
         both = (placed.join(leaders, "leader").join(texts.withColumnRenamed("text", "ta"), F.col("node") == F.col("n")).drop("n")
                 .join(texts.withColumnRenamed("text", "tb"), F.col("leader") == F.col("n")).drop("n"))
         rows = saved(both.select("leader", "node", "ta", "tb").mapInArrow(
-            _differences(k, percent), "leader long, e long, node long, as_x boolean, as_y boolean, f double, g double, na long, nb long, px long, py long, rx long, ry long"), "differences")
-        roots_of = placed.select("leader", "node", "root", "open")
-        rows = rows.join(roots_of, ["leader", "node"])
-        x = rows.where("as_x AND open").select("leader", "e", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "f", "g", "na", "nb")], "px", "rx")
-        y = rows.where("as_y").select("leader", "e", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "f", "na", "nb")], "py", "ry")
+            _differences(k, percent), "leader long, node long, e long, n long, f double, g double, long_x long, long_y long"), "differences")
+        common = rows.groupBy("leader", "e").agg(F.count("*").alias("c")).where("c > 1")
+        mine = Window.partitionBy("leader", "node")
+        rows = rows.join(common, ["leader", "e"])
+        rows = rows.withColumns({"held": F.count("*").over(mine), "pos": F.row_number().over(mine.orderBy("c", "e"))})
+        nth = F.col("n") - F.col("held") + F.col("pos")
+        rows = rows.withColumns({"as_x": nth <= F.col("long_x"), "as_y": nth <= F.col("long_y"), "after": F.col("held") - F.col("pos")})
+        # Where a beginning ends, and how many come after it.
+        ends = {f"{c}_{v}": f.over(mine) for v in "xy" for c, f in (("end", F.max(F.when(F.col(f"as_{v}"), F.struct("c", "e")))), ("rest", F.count_if(~F.col(f"as_{v}"))))}
+        rows = rows.withColumns(ends).where("as_x OR as_y").join(placed.select("leader", "node", "root", "open"), ["leader", "node"])
+        names = ("node", "root", "f", "pos", "after")
+        x = rows.where("as_x AND open").select("leader", "e", "g", "end_x", "rest_x", *[F.col(c).alias(f"x_{c}") for c in names])
+        y = rows.where("as_y").select("leader", "e", "end_y", "rest_y", *[F.col(c).alias(f"y_{c}") for c in names])
+        # What can be shared: as many as stand up to this one on either side, and as many as come after.
         met = x.join(y, ["leader", "e"]).where(
-            "x_root <> y_root AND x_f + y_f - x_g <= least(x_na, y_na) + least(x_nb, y_nb) + 1e-6")
-        rest = F.when(F.col("px") < F.col("py"), F.col("rx")).when(F.col("px") > F.col("py"), F.col("ry")).otherwise(F.greatest("rx", "ry"))
-        met = (met.withColumn("short", F.col("x_f") + F.col("y_f") - F.col("x_g") - rest).groupBy("leader", "x_node", "y_node")
+            "x_root <> y_root AND x_f + y_f - g <= least(x_pos, y_pos) + least(x_after, y_after) + 1e-6")
+        # What both beginnings share is counted; beyond the end of the one that ends first only the rest of that node can be shared.
+        rest = F.when(F.col("end_x") < F.col("end_y"), F.col("rest_x")).when(F.col("end_x") > F.col("end_y"), F.col("rest_y")).otherwise(F.greatest("rest_x", "rest_y"))
+        met = (met.withColumn("short", F.col("x_f") + F.col("y_f") - F.col("g") - rest).groupBy("leader", "x_node", "y_node")
                .agg(F.count("*").alias("met"), F.first("short").alias("short")).where("met >= short - 1e-6"))
         return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return within

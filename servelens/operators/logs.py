@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .slices import carry_forward, join_on, micros, previous_row, running_total
+from .slices import across, carry_forward, join_on, micros, previous_row, sliced
 
 # Ordered line patterns; the first match decides.
 CLASSIFIERS = (
@@ -308,20 +308,39 @@ def serving_states(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     A spawn starts (2); a good probe of a live process means running (1); a bad
     probe degrades a running one (2); the first exit restarts at once, later
     ones back off (3); stop is idle (0).
+
+    Inside a time slice an event's effect depends on what came before the slice in two points only:
+    whether there was an exit, and whether the process was alive.  So every event gets its effect for the four
+    cases, a slice's summary keeps the last one of each, and the summaries decide which case holds: events are read twice.
     """
-    e = F.col("event")
-    d = events.withColumns({
-        "us": micros("ts"), "_exit": F.when(e == "exit", 1).otherwise(0),
-        "_life": F.when(e == "spawn", 1).when(e.isin("exit", "stop"), 0)})
-    order, rank, pos, n = ["us", "seq"], F.struct("us", "seq"), F.col("us"), slice_seconds * 1_000_000
-    d = running_total(d, ["source"], order, {"_exits": F.col("_exit")}, pos, n)
-    d = carry_forward(d, ["source"], order, {"_alive": "_life"}, pos, n, rank)
-    d = d.withColumns({
-        "_set": F.when(e == "spawn", 2).when(e == "stop", 0).when((e == "exit") & (F.col("_exits") > 1), 3)
-        .when((e == "ok") & (F.col("_alive") == 1), 1)})
-    d = d.withColumns({"_set": F.when(F.col("_set").isNotNull(), F.struct(F.col("us"), F.col("seq"), F.col("_set").alias("v"))),
-                       "_bad": F.when(e == "fail", F.struct("us", "seq"))})
-    d = carry_forward(d, ["source"], order, {"_at": "_set", "_fail": "_bad"}, pos, n, rank)
+    e, n = F.col("event"), slice_seconds * 1_000_000
+    order = ["us", "seq"]
+    d = sliced(events.withColumn("us", micros("ts")), ["source"], F.col("us"), n)
+    inner = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    life = F.when(e == "spawn", 1).when(e.isin("exit", "stop"), 0)
+    d = d.withColumns({"_exits": F.sum(F.when(e == "exit", 1).otherwise(0)).over(inner), "_alive": F.last(life, ignorenulls=True).over(inner), "_life": life})
+
+    def effect(exited: int, alive: int) -> Column:
+        return (F.when(e == "spawn", 2).when(e == "stop", 0).when((e == "exit") & (F.col("_exits") + exited > 1), 3)
+                .when((e == "ok") & (F.coalesce("_alive", F.lit(alive)) == 1), 1))
+
+    cases = [f"_case{i}" for i in range(4)]
+    d = d.withColumns({c: F.when(effect(i // 2, i % 2).isNotNull(), F.struct("us", "seq", effect(i // 2, i % 2).alias("v"))) for i, c in enumerate(cases)})
+    d = d.withColumn("_bad", F.when(e == "fail", F.struct("us", "seq")))
+    latest = F.struct("us", "seq")
+    per = d.groupBy("_key").agg(
+        F.max("_exits").alias("_exits"), F.max_by("_life", F.when(F.col("_life").isNotNull(), latest)).alias("_life"),
+        *[F.max(c).alias(c) for c in cases], F.max("_bad").alias("_bad"))
+    prior = across(["source"]).rowsBetween(Window.unboundedPreceding, -1)
+    exited = F.coalesce(F.sum("_exits").over(prior), F.lit(0)) > 0
+    alive = F.coalesce(F.last("_life", ignorenulls=True).over(prior), F.lit(0))
+    per = per.withColumn("_i", (exited.cast("int") * 2 + alive).cast("int"))
+    chosen = F.get(F.array(*cases), F.col("_i"))
+    carry = per.withColumn("_set", chosen).select(
+        "_key", "_i", F.last("_set", ignorenulls=True).over(prior).alias("_set0"), F.last("_bad", ignorenulls=True).over(prior).alias("_bad0"))
+    d = d.join(carry, "_key")
+    d = d.withColumns({"_at": F.coalesce(F.last(chosen, ignorenulls=True).over(inner), F.col("_set0")),
+                       "_fail": F.coalesce(F.last("_bad", ignorenulls=True).over(inner), F.col("_bad0"))})
     degraded = (F.col("_at.v") == 1) & (F.col("_fail") > F.struct(F.col("_at.us").alias("us"), F.col("_at.seq").alias("seq")))
     return d.select("source", "ts", "seq", "event",
                     F.when(F.coalesce(degraded, F.lit(False)), 2).otherwise(F.coalesce("_at.v", F.lit(0))).alias("state"))

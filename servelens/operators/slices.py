@@ -23,12 +23,12 @@ def with_slice(df: DataFrame, position: Column, length: int) -> DataFrame:
     return df.withColumn(SLICE, F.floor(position / F.lit(length)).cast("bigint"))
 
 
-def _keyed(df: DataFrame, keys: list[str], position: Column, length: int) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], position: Column, length: int) -> DataFrame:
     """Add ``_key``, a struct of keys and slice: null keys are equal in it, so they meet their summary again."""
     return with_slice(df, position, length).withColumn("_key", F.struct(*keys, SLICE)).drop(SLICE)
 
 
-def _across(keys: list[str]) -> WindowSpec:
+def across(keys: list[str]) -> WindowSpec:
     """The slices of a key in order."""
     return Window.partitionBy(*[F.col("_key")[k] for k in keys]).orderBy(F.col("_key")[SLICE])
 
@@ -49,9 +49,9 @@ def running_total(df: DataFrame, keys: list[str], order: list, amounts: dict[str
     must be non-decreasing in ``order``.
     """
     tmp = {f"_a_{n}": e for n, e in amounts.items()}
-    d = _keyed(df.withColumns(tmp), keys, position, length)
+    d = sliced(df.withColumns(tmp), keys, position, length)
     per = d.groupBy("_key").agg(*[F.sum(t).alias(t) for t in tmp])
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select("_key", *[
         F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_c{t}") for t in tmp])
     inner = (Window.partitionBy("_key").orderBy(*order)
@@ -69,12 +69,12 @@ def carry_forward(df: DataFrame, keys: list[str], order: list, values: dict[str,
     orderable expression equivalent to ``order`` (used to pick the last value of
     a slice with a partial aggregate instead of a sort).
     """
-    d = _keyed(df, keys, position, length)
+    d = sliced(df, keys, position, length)
     per = d.groupBy("_key").agg(*[
         F.max_by(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))),
                  F.when(F.col(c).isNotNull(), rank)).alias(f"_l_{n}")
         for n, c in values.items()])
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select("_key", *[
         F.last(f"_l_{n}", ignorenulls=True).over(before)["v"].alias(f"_c_{n}") for n in values])
     inner = (Window.partitionBy("_key").orderBy(*order)
@@ -88,10 +88,10 @@ def carry_forward(df: DataFrame, keys: list[str], order: list, values: dict[str,
 def previous_row(df: DataFrame, keys: list[str], order: list, values: dict[str, str],
                  position: Column, length: int, rank: Column) -> DataFrame:
     """Value of the preceding row of the same key (``lag``), across slices."""
-    d = _keyed(df, keys, position, length)
+    d = sliced(df, keys, position, length)
     per = d.groupBy("_key").agg(
         F.max_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), rank).alias("_l"))
-    seq = _across(keys)
+    seq = across(keys)
     carry = per.select("_key", F.lag("_l").over(seq).alias("_c"))
     inner = Window.partitionBy("_key").orderBy(*order)
     d = d.join(carry, "_key").withColumn("_first", F.row_number().over(inner) == 1)

@@ -1,16 +1,18 @@
 """Exact order statistics without sorting a group in one task.
 
-:func:`order_statistics` selects values by rank in three counting passes.  Each
+:func:`order_statistics` selects values by rank in counting passes.  Each
 pass is a partial aggregate over bins, so a group that holds a third of all
-rows costs the same as many small ones: (1) logarithmic bins, (2) linear
-sub-bins inside the bin that holds the rank, (3) distinct values inside that
-sub-bin.  The result is exact for any distribution; the bins only decide how
-much data reaches the last pass.
+rows costs the same as many small ones: (1) logarithmic bins, (2) distinct values, by linear
+sub-bin, inside the bins that hold a rank.  Both counts are written, so the input is read
+twice for any number of groups, measures and ranks; what follows reads the counts alone.
+The result is exact for any distribution; the bins only decide how
+much data reaches the second count.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
 from .slices import join_on
 
 SUB_BINS = 4096
@@ -39,8 +41,8 @@ def _octave_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, mag + 1).otherwise(-mag - 1)
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> DataFrame:
-    """Values at given ranks per group: ``(by.., one column per rank)``.
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict, count: str | None = None) -> DataFrame:
+    """Values at given ranks per group: ``(by.., one column per rank, [count])``, ``count`` naming a column for the group's size.
 
     ``ranks`` maps a column name to a function from the group count to a
     zero-based rank (ascending).  Nulls and NaN are ignored; a group without
@@ -52,7 +54,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> D
     group = ["_group" for _ in by[:1]]  # one struct: null groups equal themselves in the joins below
 
     # pass 1: coarse bins
-    bins = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    bins = saved(d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "rank-bins")
     seq = Window.partitionBy(*group).orderBy("_b")
     bins = bins.withColumns({
         "before": F.coalesce(F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -61,33 +63,31 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict) -> D
                                for name, fn in ranks.items()]))
     goal = (bins.withColumn("w", want)
             .where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c"))))
-    goal = goal.select(*group, "_b", "lo", "hi", F.col("w.name").alias("name"),
+    goal = goal.select(*group, "_b", "lo", "hi", "n", F.col("w.name").alias("name"),
                        (F.col("w.rank") - F.col("before")).alias("rank"))
     picked = goal.groupBy(*group, "_b").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
-    # pass 2: linear sub-bins of the picked bins
+    # pass 2: distinct values of the picked bins, by linear sub-bin
     width = F.col("hi") - F.col("lo")
     sub = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(SUB_BINS)) / width)),
                                     F.lit(SUB_BINS - 1))).otherwise(F.lit(0)).cast("int")
-    inside = d.join(picked, [*group, "_b"]).withColumn("_s", sub)
-    subs = inside.groupBy(*group, "_b", "_s").agg(F.count(F.lit(1)).alias("c"))
+    values = saved(d.join(picked, [*group, "_b"]).withColumn("_s", sub).groupBy(*group, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("c")), "rank-values")
+    subs = values.groupBy(*group, "_b", "_s").agg(F.sum("c").alias("c"))
     seq = Window.partitionBy(*group, "_b").orderBy("_s")
     subs = subs.withColumn("before", F.coalesce(
         F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     goal = goal.join(subs, [*group, "_b"]).where((F.col("rank") >= F.col("before"))
                                               & (F.col("rank") < F.col("before") + F.col("c")))
-    goal = goal.select(*group, "_b", "_s", "name", (F.col("rank") - F.col("before")).alias("rank"))
-
-    # pass 3: distinct values of the picked sub-bins
-    last = inside.join(goal.select(*group, "_b", "_s").distinct(), [*group, "_b", "_s"], "left_semi")
-    vals = last.groupBy(*group, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("c"))
+    goal = goal.select(*group, "_b", "_s", "n", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    vals = values.join(goal.select(*group, "_b", "_s").distinct(), [*group, "_b", "_s"], "left_semi")
     seq = Window.partitionBy(*group, "_b", "_s").orderBy("_v")
     vals = vals.withColumn("before", F.coalesce(
         F.sum("c").over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     hit = goal.join(vals, [*group, "_b", "_s"]).where((F.col("rank") >= F.col("before"))
                                                    & (F.col("rank") < F.col("before") + F.col("c")))
-    out = hit.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks])
-    return out.select("_group.*", *ranks) if by else out
+    size = [F.first("n").alias(count)] if count else []
+    out = hit.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks], *size)
+    return out.select("_group.*", *ranks, *([count] if count else [])) if by else out
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
@@ -106,9 +106,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float])
     for name, q in qs.items():
         ranks[f"{name}_lo"] = lambda n, q=q: F.floor(F.lit(q) * (n - 1)).cast("bigint")
         ranks[f"{name}_hi"] = lambda n, q=q: F.ceil(F.lit(q) * (n - 1)).cast("bigint")
-    stats = order_statistics(df, by, value, ranks)
-    sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    j = join_on(stats, sizes, by) if by else stats.withColumn("_n", sizes.select("_n").scalar())
+    j = order_statistics(df, by, value, ranks, count="_n")
     out = {}
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("_n") - 1)

@@ -1,6 +1,6 @@
 """Readers: text, JSON and log stores -> the engine's schemas."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import requests as R
@@ -53,16 +53,26 @@ def read_exposition(spark: SparkSession, path: str) -> DataFrame:
     return parse_exposition(d, F.col("_t"))
 
 
-def read_log_lines(spark: SparkSession, path: str, tail: int | None = None) -> DataFrame:
-    """Log files as ``(source, seq, line)`` without blanks and carriage returns.
+def read_log_lines(spark: SparkSession, path: str, tail: int | None = None, ts: Column | None = None) -> DataFrame:
+    """Log files as ``(source, seq, byte_offset, ts, line)`` without blanks and carriage returns.
 
-    Order inside a file is (block start, position in the block).  ``tail`` keeps
-    the last N lines per file.
+    ``byte_offset`` is where a line starts in its file, and ``seq`` the same number: lines are in order by it.
+    It comes from the bytes of the lines before it: a split of a file sums its own, and the splits' sums, one row
+    each, add up along the file; a file of any size is read by as many tasks as it has splits, twice.
+    ``ts`` is an expression over ``line``, the file's time by default.  ``tail`` keeps the last N lines per file.
+    Lines end with a line feed; bytes that aren't UTF-8 count as they are.
     """
-    d = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        (F.col("_metadata.file_block_start") * F.lit(2 ** 12) + F.monotonically_increasing_id() % F.lit(2 ** 33)).alias("seq"),
-        F.regexp_replace("value", r"\r+$", "").alias("line")).where("line <> ''")
+    # A split is read by one task, in order; a task may read several.
+    d = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_modification_time").alias("_time"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    size = F.octet_length("line").cast("bigint") + 1
+    along = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("source", "_block").agg(F.sum(size).alias("_n")).select("source", "_block", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_from"))
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("source", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_in", before).join(starts, ["source", "_block"]).withColumn("byte_offset", F.col("_from") + F.col("_in"))
+    d = d.withColumn("line", F.regexp_replace("line", r"\r+$", "")).where("line <> ''")
+    d = d.select("source", F.col("byte_offset").alias("seq"), "byte_offset", (F.col("_time") if ts is None else ts).alias("ts"), "line")
     return d if tail is None else last_lines(d, tail)
 
 
@@ -72,7 +82,6 @@ def last_lines(lines: DataFrame, n: int) -> DataFrame:
     Each slice of a source first keeps its own last ``n`` (map-side bounded),
     so the final ranking of a source sees at most ``n`` lines per slice.
     """
-    from pyspark.sql import Window
     salted = lines.withColumn("_s", F.pmod(F.xxhash64("seq"), F.lit(64)))
     w = Window.partitionBy("source", "_s").orderBy(F.desc("seq"))
     few = salted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)

@@ -271,13 +271,20 @@ def judge_batches(traces: DataFrame, scorer: Callable[[list[str]], list[str]], p
                   checkpoint: str, once: bool = False):
     """Periodic judge pass: pending traces of each micro-batch -> scores appended to ``path``.
 
-    Scores written earlier are read back, so a replayed batch does not score a
-    trace twice.
+    Scores lie by the day of their trace.  A micro-batch reads back those of its own days and no
+    others, so a replayed batch does not score a trace twice and history costs nothing; traces without a start lie apart.
     """
+    day = F.coalesce(F.to_date("start_time").cast("string"), F.lit("none"))
+
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prior = spark.read.schema("id string, name string").json(path) if _exists(spark, path) else None
-        E.judge_once(batch, prior, scorer, project, reason).write.mode("append").json(path)
+        days = [r.day for r in batch.select(day.alias("day")).distinct().collect()]
+        prior = None
+        if days and _exists(spark, path):
+            prior = spark.read.schema("id string, name string, day string").json(path).where(F.col("day").isin(days)).select("id", "name")
+        scores = E.judge_once(batch, prior, scorer, project, reason)
+        of = batch.select("id", day.alias("day")).dropDuplicates(["id"])
+        scores.join(of, "id").write.mode("append").partitionBy("day").json(path)
 
     w = traces.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

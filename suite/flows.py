@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from servelens.operators import logs as G
 from servelens.operators import requests as R
 from servelens.operators import samples as S
 from servelens.sources import readers as RD
@@ -16,7 +17,7 @@ from .adapters import CTR, EV, counter, events, table
 from .calls import chunks
 from .logs import CLASSIFIED, lines
 from .registry import ORACLES, query
-from .scoring import traces
+from .scoring import JUDGED, TRACES, TRIM, traces
 
 
 def scratch(spark) -> str:
@@ -60,13 +61,51 @@ def s_read_exposition(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.nanvl("value", F.lit(0.0))).alias("total"))
 
 
-@query("s_read_log_lines", f"""WITH {EV} SELECT node, count(*) AS n FROM ev WHERE k % 12 <> 10 GROUP BY 1""")
-def s_read_log_lines(spark, sf):
+def log_files(spark, sf, squeeze=1, whole=False):
+    """Lines as files, a folder per source, each line behind its time in microseconds; read back with their positions."""
     folder = scratch(spark)
-    d = lines(spark, sf).select("source", "line")
-    d.write.partitionBy("source").text(f"{folder}/logs")
-    got = RD.read_log_lines(spark, f"{folder}/logs")
-    return got.groupBy(F.regexp_extract("source", "source=([^/]+)", 1).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    d = lines(spark, sf).withColumn("at", F.floor(F.col("us") / squeeze).cast("bigint"))
+    text = F.when(F.col("line") == "", "").otherwise(F.concat_ws(" ", F.col("at").cast("string"), "line"))
+    (d.select("source", "seq", text.alias("value")).repartition("source").sortWithinPartitions("source", "seq").select("source", "value")
+     .write.partitionBy("source").text(f"{folder}/logs"))
+    got = RD.read_log_lines(spark, f"{folder}/logs", ts=F.timestamp_micros(F.substring_index("line", " ", 1).cast("bigint")))
+    got = got.withColumn("source", F.regexp_extract("source", "source=([^/]+)", 1))
+    return got if whole else got.withColumn("line", F.expr("substring(line, instr(line, ' ') + 1)"))
+
+
+FILED = CLASSIFIED + """, fl AS (SELECT *, CAST(sum(n + 1) OVER (PARTITION BY source ORDER BY seq) - n - 1 AS BIGINT) AS at_byte FROM (
+       SELECT source, seq, us, k, event_type, line, CASE WHEN line = '' THEN 0 ELSE length(line) + length(us::VARCHAR) + 1 END AS n FROM ln))"""
+
+
+@query("s_read_log_lines", f"WITH {FILED} SELECT source, at_byte AS byte_offset, us, line FROM fl WHERE line <> ''")
+def s_read_log_lines(spark, sf):
+    return log_files(spark, sf).select("source", "byte_offset", F.unix_micros("ts").alias("us"), "line")
+
+
+@query("s_files_line_counts", CLASSIFIED.join(["WITH ", " SELECT (us // 86400000000) * 86400 AS t, split_part(c, '/', 1) AS severity, split_part(c, '/', 2) AS category, count(*) AS n FROM cl GROUP BY ALL"]))
+def s_files_line_counts(spark, sf):
+    """From files to counts: positions and times read, lines classified."""
+    return G.line_counts(G.classify_lines(G.clean_lines(log_files(spark, sf))), 86400)
+
+
+@query("s_files_rate_limit", ORACLES["g_rate_limit"])
+def s_files_rate_limit(spark, sf):
+    return G.rate_limit(log_files(spark, sf, 20000), 20.0, 60).groupBy("source", "accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s_files_crash_reason", f"""WITH {FILED}, fu AS (SELECT *, us || ' ' || line AS whole FROM fl WHERE line <> ''),
+       tl AS (SELECT e.source, e.seq AS exit_id, min(CASE WHEN regexp_matches(x, '\\[METAL\\].*(Command buffer execution failed|GPU errors)', 'i') THEN 0
+         WHEN regexp_matches(x, '\\b(out of memory|OOM|allocation failed)\\b', 'i') THEN 2
+         WHEN regexp_matches(x, '\\b(traceback|killed|segmentation fault|SIGABRT)\\b', 'i') THEN 3 ELSE 9 END) AS p
+       FROM fu e LEFT JOIN LATERAL (SELECT substr(whole, CAST(greatest(e.at_byte - 200 - at_byte, 0) + 1 AS BIGINT)) AS x FROM fu l
+         WHERE l.source = e.source AND l.at_byte < e.at_byte AND l.at_byte + length(l.whole) > e.at_byte - 200) l ON TRUE WHERE e.event_type = 'error' GROUP BY ALL)
+       SELECT source, exit_id, CASE p WHEN 0 THEN 'metal_gpu_error' WHEN 2 THEN 'oom' WHEN 3 THEN 'python_error' ELSE 'exit' END AS reason FROM tl""")
+def s_files_crash_reason(spark, sf):
+    """From files to reasons: every logged error is an exit, its reason sought in the 200 bytes of the file before its line."""
+    got = log_files(spark, sf, whole=True)
+    exits = lines(spark, sf).where("event_type = 'error' and line <> ''").select("source", F.col("seq").alias("exit_id"), "us")
+    exits = exits.join(got.select("source", F.unix_micros("ts").alias("us"), "byte_offset"), ["source", "us"])
+    return G.crash_reason(exits, got.select("source", "byte_offset", "line"), 200).select("source", "exit_id", "reason")
 
 
 @query("s_last_lines", f"WITH {EV} SELECT node AS source, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY event_id DESC) AS r FROM ev WHERE k % 12 <> 10) WHERE r <= 25")
@@ -76,7 +115,6 @@ def s_last_lines(spark, sf):
 
 @query("s_read_otlp_logs", f"""WITH {CLASSIFIED} SELECT split_part(c, '/', 1) AS severity, split_part(c, '/', 2) AS category, count(*) AS n, sum(us)::BIGINT AS us FROM cl GROUP BY ALL""")
 def s_read_otlp_logs(spark, sf):
-    from servelens.operators import logs as G
     d = G.classify_lines(G.clean_lines(lines(spark, sf)))
 
     def attr(k, v):
@@ -100,7 +138,6 @@ def s_write_samples(spark, sf):
 
 @query("s_write_log_jsonl", CLASSIFIED.join(["WITH ", " SELECT split_part(c, '/', 2) AS category, count(*) AS n, sum(length(line))::BIGINT AS chars FROM cl GROUP BY 1"]))
 def s_write_log_jsonl(spark, sf):
-    from servelens.operators import logs as G
     folder = scratch(spark)
     WR.write_log_jsonl(G.classify_lines(G.clean_lines(lines(spark, sf))).select("source", "seq", "ts", "line", "severity", "category"), f"{folder}/log")
     d = spark.read.schema("category string, line string").json(f"{folder}/log")
@@ -175,12 +212,15 @@ def fixed_judge(prompts):
     return [f'ok {{"correctness": {len(p) % 10 / 10}, "helpfulness": 0.5, "hallucination_free": 1.5}}' if len(p) % 3 else "no idea" for p in prompts]
 
 
-@query("w_judge_batches")
+@query("w_judge_batches", f"""WITH {TRACES}, p AS (SELECT id, {JUDGED} AS prompt FROM tr WHERE a IS NOT NULL AND q IS NOT NULL AND {TRIM.format(c='a')} <> '' AND conv_id % 4 <> 3),
+       s AS (SELECT id, length(prompt) AS n FROM p WHERE length(prompt) % 3 <> 0)
+       SELECT id, name, value::DOUBLE AS value, 'judge' AS category_name, 'sdk' AS source FROM (SELECT id, 'correctness' AS name, n % 10 / 10 AS value FROM s
+       UNION ALL SELECT id, 'helpfulness', 0.5 FROM s UNION ALL SELECT id, 'hallucination_free', 1.0 FROM s)""")
 def w_judge_batches(spark, sf):
     folder = scratch(spark)
     s = staged(spark, traces(spark, sf), folder)
     W.judge_batches(s, fixed_judge, "proj", "judge", f"{folder}/scores", f"{folder}/ck", once=True).awaitTermination()
-    return spark.read.schema("id string, name string, value double, category_name string, source string").json(f"{folder}/scores")
+    return spark.read.schema("id string, name string, value double, category_name string, source string").json(f"{folder}/scores").select("id", "name", "value", "category_name", "source")
 
 
 @query("w_backfill", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -64,7 +64,11 @@ def e_pending_by_table(spark, sf):
     return E.pending_traces(traces(spark, sf), s).select("id")
 
 
-@query("e_judge_prompt", f"WITH {TRACES} SELECT id, '{E.JUDGE_PROMPT.split('{question}')[0]}' || {TRIM.format(c='q')} || '\n\nAssistant answer: ' || {TRIM.format(c='a')} || '{E.JUDGE_PROMPT.split('{answer}')[1]}' AS prompt FROM tr WHERE a IS NOT NULL AND q IS NOT NULL".replace("assistant's", "assistant''s").replace("user's", "user''s"))
+JUDGED = (f"'{E.JUDGE_PROMPT.split('{question}')[0]}' || {TRIM.format(c='q')} || '\n\nAssistant answer: ' || {TRIM.format(c='a')} || '{E.JUDGE_PROMPT.split('{answer}')[1]}'"
+          .replace("assistant's", "assistant''s").replace("user's", "user''s"))
+
+
+@query("e_judge_prompt", f"WITH {TRACES} SELECT id, {JUDGED} AS prompt FROM tr WHERE a IS NOT NULL AND q IS NOT NULL")
 def e_judge_prompt(spark, sf):
     q = E.question_answer(traces(spark, sf)).where("answer is not null and question <> ''")
     return q.select("id", E.judge_prompt(F.col("question"), F.col("answer")).alias("prompt"))

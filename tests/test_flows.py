@@ -51,6 +51,31 @@ def test_log_files(spark, tmp_path):
     assert sorted(r.line for r in RD.read_log_lines(spark, str(tmp_path), tail=2).collect()) == ["three", "two", "x"]
 
 
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_lines_know_where_they_start(spark, tmp_path, split):
+    """Offsets are exact however the file is split, with blank lines, carriage returns and bytes that aren't UTF-8."""
+    rnd = random.Random(split)
+    raw = b"".join((rnd.choice([b"", b"short", b"\xc3\xa9\xff line", b"x" * 150, b"tab\there"]) + rnd.choice([b"", b"", b"\r"])) + b"\n" for _ in range(200)) + b"last one"
+    (tmp_path / "a.log").write_bytes(raw)
+    want, at = [], 0
+    for line in raw.split(b"\n"):
+        text = line.rstrip(b"\r")
+        if text:
+            want.append((at, text.decode("utf-8", "replace")))
+        at += len(line) + 1
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = RD.read_log_lines(spark, str(tmp_path))
+        got = sorted((r.byte_offset, r.line) for r in d.select("byte_offset", F.make_valid_utf8("line").alias("line")).collect())
+        assert got == want and d.where("seq <> byte_offset or ts is null").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_requests_reports_and_dumps(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"request_id": "1", "method": "POST", "path": "/v1/chat/completions", "body": '{"model": "m"}', "response": "{}"}))
     assert RD.read_requests(spark, str(tmp_path / "r.json")).first().model == "m"
@@ -179,6 +204,7 @@ def test_judge_pass(spark, tmp_path):
         src = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
         W.judge_batches(src, fixed(), "p", "why", str(tmp_path / "scores"), str(tmp_path / "ck"), once=True).awaitTermination()
     assert spark.read.json(str(tmp_path / "scores")).count() == 3
+    assert [p.name for p in (tmp_path / "scores").iterdir() if p.is_dir()] == ["day=2024-01-01"]  # what a batch reads back
 
 
 @pytest.mark.parametrize("reply,ok", [("no json", False), ('x {"correctness": 1, "helpfulness": 1} y', False), ('{"correctness": "a", "helpfulness": 1, "hallucination_free": 1}', False),

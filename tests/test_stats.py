@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from servelens.operators import benchruns as B
+from servelens.operators import logs as LG
 from servelens.operators import slices as SL
 from servelens.operators import stats as ST
 
@@ -120,3 +121,24 @@ def test_null_groups_keep_their_rows(spark):
     assert [(r.g, r.t, r.s) for r in sums] == [("a", 1, 1.0), ("a", 2, 4.0), (None, 1, 5.0), (None, 900, 12.0)]
     before = SL.previous_row(df, ["g"], ["t"], {"p": "v"}, F.col("t"), 10, F.col("t")).collect()
     assert {(r.g, r.t): r.p for r in before} == {("a", 1): None, ("a", 2): 1.0, (None, 1): None, (None, 900): 5.0}
+
+
+def test_the_input_is_read_twice(spark, tmp_path):
+    """Two counts of the input, whatever the number of ranks; the rest reads what they wrote."""
+    spark.range(500).select((F.col("id") % 3).alias("g"), F.rand(2).alias("v")).write.parquet(str(tmp_path / "in"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    d = spark.read.parquet(str(tmp_path / "in")).coalesce(1).mapInArrow(counted, "g long, v double")
+    got = ST.percentiles(d, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.999})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 3 and reads.value == 2 and "MapInArrow" not in plan
+
+
+def test_serving_states_read_events_twice(spark):
+    d = spark.range(50).select(F.lit("s").alias("source"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.lit("ok").alias("event")).mapInArrow(lambda b: b, "source string, ts timestamp, seq long, event string")
+    plan = LG.serving_states(d, 10)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Window") <= 8

@@ -30,10 +30,11 @@ def agent_status(latest: DataFrame, at: Column, silent_after: int = NO_DATA_SECO
 
 
 def status_kpis(agents: DataFrame) -> DataFrame:
-    """Counts by status, nodes online, distinct models, share up, needing action."""
+    """Counts by status, nodes online, models served by agents that are online, share up, needing action."""
     n = {s: F.sum(F.when(F.col("status") == s, 1).otherwise(0)) for s in RANK}
     live = F.when(F.col("status").isin("up", "degraded"), F.col("node"))
     return agents.agg(*[v.alias(s) for s, v in n.items()], F.count_distinct(live).alias("nodes_online"),
+                      F.count_distinct(F.when(F.col("status").isin("up", "degraded"), F.col("model"))).alias("models"),
                       F.bround(100.0 * n["up"] / F.count(F.lit(1)), 0).alias("percent_up"),
                       (n["down"] + n["degraded"] + n["unknown"]).alias("needs_action"))
 
@@ -75,3 +76,20 @@ def open_problems(states: DataFrame, step: int, at: int) -> DataFrame:
     d = bad.withColumns({"_good": good_before, "_first": first}).where((F.col("t") == at) & F.col("_bad"))
     since = F.coalesce(F.col("_good") + step, F.col("_first"))
     return d.select("node", "role", "status", (F.lit(at) - since).cast("bigint").alias("outage_seconds"))
+
+
+def problem_kpis(problems: DataFrame, restarts: DataFrame, at: int, window: int = 3600) -> DataFrame:
+    """Figures above the list of open problems, in one row.
+
+    ``problems`` as of :func:`open_problems`; ``restarts`` is ``(node, ts)``.  Agents that need action, restarts in the
+    ``window`` seconds before ``at`` and on how many nodes, and the oldest outage with its agent (ties by name; null without any).
+    """
+    us = F.unix_micros("ts")
+    recent = restarts.where((us > (at - window) * 1_000_000) & (us <= at * 1_000_000)).agg(
+        F.count(F.lit(1)).alias("restarts"), F.count_distinct("node").alias("nodes_restarted"))
+    old = F.min(F.struct((-F.col("outage_seconds")).alias("s"), "node", "role"))
+    now = problems.agg(F.count(F.lit(1)).alias("needs_action"), old.alias("o"))
+    # two tables of one row each
+    both = now.withColumn("_r", recent.select(F.struct("restarts", "nodes_restarted")).scalar())
+    return both.select("needs_action", "_r.restarts", "_r.nodes_restarted", (-F.col("o.s")).alias("oldest_outage_seconds"),
+                       F.col("o.node").alias("oldest_node"), F.col("o.role").alias("oldest_role"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved
 from .slices import across, carry_forward, join_on, micros, previous_row, sliced
+from .stats import zero_fill
 
 # Ordered line patterns; the first match decides.
 CLASSIFIERS = (
@@ -280,7 +281,7 @@ def crash_ledger(reasoned: DataFrame) -> DataFrame:
     facts = reasoned.groupBy(hour.alias("hour"), "reason").agg(F.count(F.lit(1)).alias("crashes"))
     dim = reasoned.select(hour.alias("hour")).distinct().withColumn(
         "reason", F.explode(F.array(*[F.lit(r) for r in CRASH_REASONS])))
-    return dim.join(facts, ["hour", "reason"], "left").na.fill(0, ["crashes"])
+    return zero_fill(dim, facts, ["hour", "reason"], ["crashes"])
 
 
 def restarts_per_hour(reasoned: DataFrame) -> DataFrame:

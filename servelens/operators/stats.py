@@ -129,6 +129,11 @@ def distinct_counts(df: DataFrame, by: list[str], cols: list[str], approximate:
     return df.groupBy(*by).agg(*[f(F.col(c)).alias(f"n_{c}") for c in cols])
 
 
+def zero_fill(dim: DataFrame, facts: DataFrame, on: list[str], counts: list[str]) -> DataFrame:
+    """Every row of ``dim`` with the ``counts`` of its facts, 0 where there are none; a null key meets a null key."""
+    return join_on(dim, facts.select(*on, *counts), on, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
 def worst_first(df: DataFrame, status: str = "status", then: str = "node") -> DataFrame:
     """Order by down, unknown, degraded, up and then by node."""
     order = F.array_position(F.array(*[F.lit(x) for x in ("down", "unknown", "degraded", "up")]), F.col(status))

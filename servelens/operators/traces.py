@@ -135,6 +135,12 @@ def trace_trends(traces: DataFrame, step: int, price_per_token: float, by: list[
         F.avg(F.when(F.col("error_info").isNotNull(), 1.0).otherwise(0.0)).alias("error_rate"))
 
 
+def spans_by_model(traces: DataFrame, step: int, by: list[str] = ()) -> DataFrame:
+    """Calls per time bucket and model: ``(t, by.., model, spans)``; a trace without a model counts under ''."""
+    t = (F.floor(micros("start_time") / (step * 1_000_000)) * step).cast("bigint").alias("t")
+    return traces.groupBy(t, *by, F.coalesce(F.col("input.model"), F.lit("")).alias("model")).agg(F.count(F.lit(1)).alias("spans"))
+
+
 def heuristic_vs_judge(scores: DataFrame, heuristic: str = "hallucination_quality",
                        judged: str = "hallucination_free") -> DataFrame:
     """Both scores side by side per trace and their difference."""

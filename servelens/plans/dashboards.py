@@ -5,14 +5,17 @@ the boards are data.  ``PANELS[board][panel]`` takes ``(source, variables)``;
 variables become regex matchers (:func:`samples.bind_variables`).
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import samples as S
 from ..operators import slo as L
 from ..operators import vector as V
 from ..operators.histograms import bucket_fraction
+from .rollups import RolledUp, needs, roll_up
 from .source import Source
 
 MIN, HOUR, DAY = 60, 3600, 86400
@@ -80,7 +83,7 @@ def ratio(top: str, bottom: str, by=(), window: int = 5 * MIN, times: float = 1.
 
 def quantile(q: float, metric: str, window: int = 30 * MIN, eq=None, use=()) -> Panel:
     def panel(s, v):
-        return s.quantile(q, metric, window, (), {**(eq or {}), **{n: v[n] for n in use if v.get(n)}} or None)
+        return s.quantile(q, metric, window, (), eq, _pick(v, use))
     return panel
 
 
@@ -262,6 +265,27 @@ def panel(board: str, name: str, source: Source, variables: dict | None = None)
     return PANELS[board][name](source, variables or {})
 
 
+def roll_up_for(source: Source, boards: Iterable[str] | None = None) -> RolledUp:
+    """Each metric that the panels of some boards read, reduced once; panels on the result scan no raw samples."""
+    return roll_up(source, needs(source, [lambda s, p=p: p(s, {}) for b in (boards or PANELS) for p in PANELS[b].values()]))
+
+
+#: Labels that any panel shows.
+PANEL_LABELS = ("kind", "streaming", "reason", "tool", "type", "model", "node", "status", "severity", "category", "attr", "arch", "dtype", "job")
+
+
+def board(name: str, source: Source, variables: dict | None = None) -> DataFrame:
+    """All panels of a board stacked: ``(panel, labels.., t, value)``, labels that a panel lacks being ''.
+
+    On a source of :func:`roll_up_for` the panels share one roll-up per metric.
+    """
+    parts = []
+    for title, read in PANELS[name].items():
+        d = read(source, variables or {})
+        parts.append(d.select(F.lit(title).alias("panel"), *[(F.col(c) if c in d.columns else F.lit("")).alias(c) for c in PANEL_LABELS], "t", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def heatmap(source: Source, metric: str = "hw_gpu_utilization_percent", step: int = 60, bins: int = 24, node: str | None = None) -> DataFrame:
     """Value heat map of a node gauge."""
     d = source._series(metric, ["node"], {"node": node} if node else None, None, False)

@@ -63,8 +63,8 @@ class Source:
     def rate(self, metric: str, window: int, by=(), eq=None, re=None) -> DataFrame:
         return S.rate(self.counter(metric, by, eq, re), window, self.grid, list(by))
 
-    def quantile(self, q: float, metric: str, window: int, by=(), eq=None) -> DataFrame:
-        return H.histogram_quantile(q, self.rate(metric + "_bucket", window, ["le", *by], eq))
+    def quantile(self, q: float, metric: str, window: int, by=(), eq=None, re=None) -> DataFrame:
+        return H.histogram_quantile(q, self.rate(metric + "_bucket", window, ["le", *by], eq, re))
 
     def offset(self, seconds: int, read) -> DataFrame:
         """``read(source)`` as it was ``seconds`` earlier."""

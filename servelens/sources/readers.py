@@ -128,27 +128,29 @@ def read_bench_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "results": d.select(*head, F.explode("results").alias("r")).select("report", "model", "recorded_at", "r.*")}
 
 
-def read_resources(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_resources(spark: SparkSession, path: str, source: str, per_line: bool = False) -> DataFrame:
     """Cluster dumps -> ``(source, kind, ns, name, doc)``.
 
-    Takes a list dump (``items``) or a saved snapshot (``state``: kind ->
-    ``ns/name`` -> document).  A dump is one JSON document per file; its items
-    become rows at once.
+    Takes list dumps (``items``) and saved snapshots (``state``: kind -> ``ns/name`` -> document; also without
+    the ``state`` around it), mixed as they come, in one scan.  A dump is a file, or with ``per_line`` a line, so that
+    many dumps of a file are read by as many tasks as it has splits.  Items without a name are dropped.
     """
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json(F.get_json_object("value", "$.items"), "ARRAY<STRING>")
-    meta = F.get_json_object("doc", "$.metadata")
-    live = (whole.select(F.explode(items).alias("doc")).select(
-        F.get_json_object("doc", "$.kind").alias("kind"), F.coalesce(F.get_json_object(meta, "$.namespace"), F.lit("")).alias("ns"),
-        F.get_json_object(meta, "$.name").alias("name"), "doc"))
+    whole = spark.read.text(path, wholetext=not per_line)
+    meta = "get_json_object(doc, '$.metadata')"
+    items = F.transform(F.from_json(F.get_json_object("value", "$.items"), "ARRAY<STRING>"), lambda d: F.struct(
+        F.get_json_object(d, "$.kind").alias("kind"), F.lit(None).cast("string").alias("key"), d.alias("doc")))
     state = F.coalesce(F.get_json_object("value", "$.state"), F.col("value"))
-    saved = None
-    for kind in KINDS.values():
-        part = whole.select(F.lit(kind).alias("kind"), F.explode(F.from_json(
-            F.get_json_object(state, f"$.{kind}"), "MAP<STRING, STRING>")).alias("key", "doc"))
-        saved = part if saved is None else saved.unionByName(part)
-    saved = saved.select("kind", F.substring_index("key", "/", 1).alias("ns"), F.expr("substring(key, instr(key, '/') + 1)").alias("name"), "doc")
-    return live.unionByName(saved).where("name is not null and name <> ''").select(F.lit(source).alias("source"), "kind", "ns", "name", "doc")
+
+    def saved(kind: str) -> Column:
+        entries = F.map_entries(F.from_json(F.get_json_object(state, f"$.{kind}"), "MAP<STRING, STRING>"))
+        return F.transform(entries, lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("doc")))
+
+    none = F.array().cast("array<struct<kind:string,key:string,doc:string>>")
+    found = F.concat(*[F.coalesce(c, none) for c in (items, *map(saved, KINDS.values()))])
+    d = whole.select(F.explode(found).alias("r")).select("r.*")
+    ns = F.when(F.col("key").isNull(), F.coalesce(F.get_json_object(F.expr(meta), "$.namespace"), F.lit(""))).otherwise(F.substring_index("key", "/", 1))
+    name = F.when(F.col("key").isNull(), F.get_json_object(F.expr(meta), "$.name")).otherwise(F.expr("substring(key, instr(key, '/') + 1)"))
+    return d.select(F.lit(source).alias("source"), "kind", ns.alias("ns"), name.alias("name"), "doc").where("name is not null and name <> ''")
 
 
 OTLP_SCHEMA = ("resourceLogs ARRAY<STRUCT<scopeLogs ARRAY<STRUCT<logRecords ARRAY<STRUCT<timeUnixNano STRING, severityText STRING, "

@@ -195,7 +195,25 @@ def alert_inhibition(spark, sf):
     return A.inhibit(two_rules(spark, sf), prefix=N.alert).select("alertname", "node", "state", "start_t", "end_t")
 
 
-@query("alert_notifications")
+LOAD = node_rule_sql(N.a("LoadHigh"), "warning", "i.value / 20", "> 8", 600)
+KEYS = "alertname, node, model"
+NOTIFIED = f"""WITH {FAST_EV}, {G}, {ERR}, {BASE_STATES}, fire AS (
+       SELECT '{N.a('HighErrorRate')}' AS alertname, '' AS node, model, min(t) AS s, max(t) + {STEP} AS e FROM st WHERE state = 'firing' GROUP BY model, status, active_since
+       UNION ALL SELECT alertname, node, '', start_t, end_t FROM ({LOAD}) WHERE state = 'firing'),
+       opened AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {KEYS} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 300 THEN NULL ELSE s END AS o FROM fire),
+       ses AS (SELECT *, last_value(o IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS session FROM opened),
+       flush AS (SELECT {KEYS}, session, unnest(range(session + 30, max(e) + 331, 300)) AS t FROM ses GROUP BY ALL),
+       seen AS (SELECT f.alertname, f.node, f.model, f.session, f.t, count(*) FILTER (x.s <= f.t) - count(*) FILTER (x.e <= f.t) AS n_firing,
+         count(*) FILTER (x.e <= f.t AND (x.e > f.t - 300 OR f.t = f.session + 30)) AS n_resolved,
+         count(*) FILTER (x.s <= f.t AND (x.s > f.t - 300 OR f.t = f.session + 30)) AS n_new
+         FROM flush f JOIN ses x ON x.alertname = f.alertname AND x.node = f.node AND x.model = f.model AND x.session = f.session GROUP BY ALL),
+       told AS (SELECT *, n_new + n_resolved > 0 AS changed, max(CASE WHEN n_new + n_resolved > 0 THEN t END) OVER (PARTITION BY {KEYS}, session ORDER BY t) AS since FROM seen)
+       SELECT {KEYS}, t::BIGINT AS t, n_firing::BIGINT AS n_firing, n_resolved::BIGINT AS n_resolved,
+       CASE WHEN changed AND n_firing = 0 THEN 'resolved' WHEN changed THEN 'changed' ELSE 'repeat' END AS reason
+       FROM told WHERE changed OR n_firing > 0 AND (t - since) % 14400 = 0"""
+
+
+@query("alert_notifications", NOTIFIED)
 def alert_notifications(spark, sf):
     d = A.alert_intervals(R.evaluate(source(spark, sf), ["HighErrorRate", "LoadHigh"]), STEP)
     return A.group_notifications(d)

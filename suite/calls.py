@@ -48,8 +48,8 @@ FACTS = EV + """, rq AS (SELECT *, CASE WHEN k % 10 != 0 THEN model ELSE 'defaul
        FROM ev WHERE event_type <> 'view')"""
 
 
-def facts(spark, sf):
-    d = R.parse_responses(R.parse_requests(request_rows(spark, sf))).drop("logprobs")
+def facts(spark, sf, parsed=None):
+    d = (R.parse_responses(R.parse_requests(request_rows(spark, sf))) if parsed is None else parsed).drop("logprobs")
     models = table(spark, sf, "nation").select(
         F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("model"), (F.col("n_nationkey") * 40 + 20).alias("max_context"))
     return R.request_facts(d, models)
@@ -66,8 +66,8 @@ def facts(spark, sf):
        round(least(1, 0.4 * least(2 / 5.0, 1) + 0.7 * CASE WHEN k % 3 = 0 AND k % 6 != 0 THEN 1 ELSE 0 END), 6) AS risk,
        round(CASE WHEN mdl <> 'default' THEN least(1.0, (prompt_tokens + completion_tokens) / (substr(mdl, 2)::INTEGER * 40 + 20)) END, 6) AS context_utilization
        FROM rq""")
-def r_request_facts(spark, sf):
-    d = facts(spark, sf)
+def r_request_facts(spark, sf, parsed=None):
+    d = facts(spark, sf, parsed)
     return d.select(
         "request_id", "model", "kind", "streaming", F.round("temperature", 6).alias("temperature"), "prompt_tokens", "completion_tokens",
         "cached_tokens", F.round("cache_ratio", 6).alias("cache_ratio"), F.round("gen_seconds", 4).alias("gen_seconds"),

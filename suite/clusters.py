@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from servelens.operators import drift as D
 from servelens.operators import fleet as FL
 from servelens.operators import stats as ST
+from servelens.scratch import fresh_folder
+from servelens.sources import readers as RD
 
 from .adapters import EV, T0, events, table
 from .registry import query
@@ -96,19 +98,20 @@ def j_full_outer_compare(spark, sf):
 
 # ---- fleet ----
 
-AT = T0 + 20 * 86400
+AT = T0 + 30 * 86400  # the end of the events
+LAST_DAY = AT - 86400
 
 
 def agents(spark, sf):
-    """One agent per (user group, event type): its last sample before the chosen moment."""
-    d = events(spark, sf).where(F.col("us") <= AT * 1_000_000).withColumns({
+    """One agent per (user group, event type): its last sample."""
+    d = events(spark, sf).withColumns({
         "node": F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")), "role": F.col("event_type")})
     return d.groupBy("node", "role").agg(F.max("ts").alias("last_ts"), F.max_by("k", "us").alias("k"), F.max_by("model", "us").alias("model")).withColumns(
         {"up": F.when(F.col("k") > 10, 1.0).otherwise(0.0), "healthy": F.when(F.col("k") > 25, 1.0).otherwise(0.0)})
 
 
 AGENTS = EV + f""", ag AS (SELECT 'n' || (user_id % 40) AS node, event_type AS role, max(us) AS last, arg_max(k, us) AS k, arg_max(model, us) AS model FROM ev
-       WHERE us <= {AT}000000 GROUP BY ALL), f AS (SELECT *, {AT}000000 - last < 36000000000 AS fresh FROM ag), s AS (SELECT *, CASE WHEN NOT fresh AND NOT bool_or(fresh) OVER (PARTITION BY node) THEN 'unknown'
+       GROUP BY ALL), f AS (SELECT *, {AT}000000 - last < 36000000000 AS fresh FROM ag), s AS (SELECT *, CASE WHEN NOT fresh AND NOT bool_or(fresh) OVER (PARTITION BY node) THEN 'unknown'
        WHEN NOT fresh THEN 'down' WHEN k <= 10 THEN 'down' WHEN k <= 25 THEN 'degraded' ELSE 'up' END AS status FROM f)"""
 
 
@@ -122,7 +125,7 @@ def f_agent_status(spark, sf):
 
 
 @query("f_status_kpis", f"""WITH {AGENTS} SELECT sum((status = 'up')::INT)::BIGINT AS up, sum((status = 'degraded')::INT)::BIGINT AS degraded, sum((status = 'unknown')::INT)::BIGINT AS unknown,
-       sum((status = 'down')::INT)::BIGINT AS down, count(DISTINCT node) FILTER (status IN ('up', 'degraded')) AS nodes_online,
+       sum((status = 'down')::INT)::BIGINT AS down, count(DISTINCT node) FILTER (status IN ('up', 'degraded')) AS nodes_online, count(DISTINCT model) FILTER (status IN ('up', 'degraded')) AS models,
        round(100.0 * sum((status = 'up')::INT) / count(*), 0)::DOUBLE AS percent_up, sum((status <> 'up')::INT)::BIGINT AS needs_action FROM s""")
 def f_status_kpis(spark, sf):
     return FL.status_kpis(fleet(spark, sf))
@@ -133,9 +136,12 @@ def f_role_matrix(spark, sf):
     return FL.role_matrix(fleet(spark, sf))
 
 
-@query("f_role_pivot", f"""WITH {AGENTS} SELECT role, max(status) FILTER (node = 'n1') AS n1, max(status) FILTER (node = 'n2') AS n2, max(status) FILTER (node = 'n3') AS n3 FROM s GROUP BY 1""")
+NODES = [f"n{i}" for i in range(40)]
+
+
+@query("f_role_pivot", f"WITH {AGENTS} SELECT role, " + ", ".join(f"max(status) FILTER (node = '{n}') AS {n}" for n in NODES) + " FROM s GROUP BY 1")
 def f_role_pivot(spark, sf):
-    return FL.role_pivot(fleet(spark, sf), ["n1", "n2", "n3"])
+    return FL.role_pivot(fleet(spark, sf), NODES)
 
 
 @query("o_worst_first", f"WITH {AGENTS} SELECT node, role, status FROM s ORDER BY list_position(['down', 'unknown', 'degraded', 'up'], status), node")
@@ -164,13 +170,59 @@ def f_minutes_impacted(spark, sf):
     return FL.minutes_impacted(FL.status_heatmap(history(spark, sf), 3600))
 
 
-@query("f_open_problems", f"""WITH {HIST}, r AS (SELECT node, role, (t // 86400) * 86400 AS t, ['up', 'degraded', 'unknown', 'down'][max(list_position(['up', 'degraded', 'unknown', 'down'], status))] AS status FROM hs GROUP BY ALL),
-       x AS (SELECT *, coalesce(max(CASE WHEN status = 'up' THEN t END) OVER (PARTITION BY node, role ORDER BY t) + 86400, min(t) OVER (PARTITION BY node, role)) AS since FROM r WHERE t <= {AT})
-       SELECT node, role, status, {AT} - since AS outage_seconds FROM x WHERE t = {AT} AND status <> 'up'""")
-def f_open_problems(spark, sf):
+def daily(spark, sf):
+    """Worst state per agent and day."""
     h = history(spark, sf)
-    daily = h.groupBy("node", "role", (F.floor(F.col("t") / 86400) * 86400).cast("bigint").alias("t")).agg(
+    return h.groupBy("node", "role", (F.floor(F.col("t") / 86400) * 86400).cast("bigint").alias("t")).agg(
         F.max_by("status", FL.status_rank(F.col("status"))).alias("status"))
-    return FL.open_problems(daily, 86400, AT)
 
 
+@query("f_open_problems", f"""WITH {HIST}, r AS (SELECT node, role, (t // 86400) * 86400 AS t, ['up', 'degraded', 'unknown', 'down'][max(list_position(['up', 'degraded', 'unknown', 'down'], status))] AS status FROM hs GROUP BY ALL),
+       x AS (SELECT *, coalesce(max(CASE WHEN status = 'up' THEN t END) OVER (PARTITION BY node, role ORDER BY t) + 86400, min(t) OVER (PARTITION BY node, role)) AS since FROM r WHERE t <= {LAST_DAY})
+       SELECT node, role, status, {LAST_DAY} - since AS outage_seconds FROM x WHERE t = {LAST_DAY} AND status <> 'up'""")
+def f_open_problems(spark, sf):
+    return FL.open_problems(daily(spark, sf), 86400, LAST_DAY)
+
+
+@query("f_problem_kpis", f"""WITH {HIST}, r AS (SELECT node, role, (t // 86400) * 86400 AS t, ['up', 'degraded', 'unknown', 'down'][max(list_position(['up', 'degraded', 'unknown', 'down'], status))] AS status FROM hs GROUP BY ALL),
+       x AS (SELECT *, coalesce(max(CASE WHEN status = 'up' THEN t END) OVER (PARTITION BY node, role ORDER BY t) + 86400, min(t) OVER (PARTITION BY node, role)) AS since FROM r),
+       o AS (SELECT node, role, {LAST_DAY} - since AS s FROM x WHERE t = {LAST_DAY} AND status <> 'up'),
+       e AS (SELECT node FROM ev WHERE event_type = 'error' AND us > {AT - 86400}000000 AND us <= {AT}000000)
+       SELECT (SELECT count(*) FROM o) AS needs_action, (SELECT count(*) FROM e) AS restarts, (SELECT count(DISTINCT node) FROM e) AS nodes_restarted, max(s) AS oldest_outage_seconds,
+       (SELECT node FROM o ORDER BY s DESC, node, role LIMIT 1) AS oldest_node, (SELECT role FROM o ORDER BY s DESC, node, role LIMIT 1) AS oldest_role FROM o""")
+def f_problem_kpis(spark, sf):
+    restarts = events(spark, sf).where("event_type = 'error'").select("node", "ts")
+    return FL.problem_kpis(FL.open_problems(daily(spark, sf), 86400, LAST_DAY), restarts, AT, 86400)
+
+
+@query("d_snapshot_state", f"WITH {AB} SELECT kind, ns, name, status FROM cmp")
+def d_snapshot_state(spark, sf):
+    """Two states kept in one snapshot table and compared by the time they were saved at."""
+    folder = fresh_folder(spark, "snapshots")
+    for state, at in zip(states(spark, sf), ("2024-01-01 00:00:00", "2024-01-02 00:00:00"), strict=True):
+        D.snapshot_state(state, at).write.mode("append").partitionBy("saved_at").parquet(folder)
+    table_ = spark.read.parquet(folder)
+    a, b = (table_.where(F.col("saved_at") == F.to_timestamp(F.lit(at))) for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"))
+    return D.compare_states(a, b).select("kind", "ns", "name", "status")
+
+
+@query("s_read_resources", f"""SELECT {PLURAL} AS kind, p_brand AS ns, p_name || '-' || p_partkey AS name, p_size::BIGINT AS size FROM part
+       UNION ALL SELECT {PLURAL}, p_brand, p_name || '-' || p_partkey, p_size + 1 FROM part WHERE p_partkey % 4 > 1""")
+def s_read_resources(spark, sf):
+    """Dumps of both forms, read from files: a list of items per brand, and one snapshot of configs and secrets per brand."""
+    folder = fresh_folder(spark, "dumps")
+    p = table(spark, sf, "part")
+    name = F.concat_ws("-", "p_name", F.col("p_partkey").cast("string"))
+
+    def doc(size):
+        return F.to_json(F.struct(F.expr(KINDS).alias("kind"), F.struct(name.alias("name"), F.col("p_brand").alias("namespace")).alias("metadata"), F.struct(size.alias("size")).alias("spec")))
+
+    items = p.groupBy("p_brand").agg(F.concat(F.lit('{"kind": "List", "items": ['), F.array_join(F.collect_list(doc(F.col("p_size"))), ", "), F.lit("]}")).alias("value"))
+    entry = F.concat(F.lit('"'), F.concat_ws("/", "p_brand", name), F.lit('": '), doc(F.col("p_size") + 1))
+    kept = p.where("p_partkey % 4 > 1").select("p_brand", F.expr(PLURAL).alias("kind"), entry.alias("e"))
+    per = kept.groupBy("p_brand", "kind").agg(F.array_join(F.collect_list("e"), ", ").alias("v"))
+    saved_ = per.groupBy("p_brand").agg(F.concat(F.lit('{"saved_at": "x", "state": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("kind"), F.lit('": {'), F.col("v"), F.lit("}"))), ", "), F.lit("}}")).alias("value"))
+    items.unionByName(saved_).select("value").repartition(8, "value").write.text(f"{folder}/all", lineSep="\n")
+    got = RD.read_resources(spark, f"{folder}/all", "x", per_line=True)
+    kind = F.when(F.lower("kind").isin(*D.KINDS.values()), F.lower("kind")).otherwise(F.create_map(*[F.lit(x) for kv in D.KINDS.items() for x in kv])[F.lower("kind")])
+    return got.select(kind.alias("kind"), "ns", "name", F.get_json_object("doc", "$.spec.size").cast("bigint").alias("size"))

@@ -1,32 +1,28 @@
 """Text sources, sinks and streaming twins.  Streams drain files written to a scratch folder."""
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from servelens.operators import logs as G
 from servelens.operators import requests as R
 from servelens.operators import samples as S
+from servelens.operators import stats as ST
+from servelens.scratch import fresh_folder
 from servelens.sources import readers as RD
 from servelens.sources import writers as WR
 from servelens.streaming import streams as W
 
 from . import alerting as AL
 from .adapters import CTR, EV, counter, events, table
-from .calls import chunks
+from .calls import chunks, r_request_facts, request_rows
 from .logs import CLASSIFIED, lines
 from .registry import ORACLES, query
 from .scoring import JUDGED, TRACES, TRIM, traces
 
 
 def scratch(spark) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one in tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="servelens-")
-    stamp = spark.sql("select uuid()").first()[0]
-    return f"{shared}/servelens-{stamp}"
+    """A fresh folder below the one that driver and executors share."""
+    return fresh_folder(spark, "flows")
 
 
 def staged(spark, df, folder):
@@ -146,11 +142,16 @@ def s_write_log_jsonl(spark, sf):
 
 # ---- streams ----
 
-@query("w_line_counts", CLASSIFIED.join(["WITH ", " SELECT (us // 3600000000) * 3600 AS t, split_part(c, '/', 1) AS severity, split_part(c, '/', 2) AS category, count(*) AS n FROM cl GROUP BY ALL"]))
+# Windows are told once the watermark, two minutes behind the last row, has passed their end; the newest ones stay open.
+CLOSED = "{end} * 1000 <= (SELECT max(us) // 1000 - 120000 FROM {src})"
+
+
+@query("w_line_counts", CLASSIFIED.join(["WITH ", " SELECT * FROM (SELECT (us // 3600000000) * 3600 AS t, split_part(c, '/', 1) AS severity, split_part(c, '/', 2) AS category, count(*) AS n FROM cl GROUP BY ALL) WHERE "
+                                         + CLOSED.format(end="(t + 3600)", src="cl")]))
 def w_line_counts(spark, sf):
     folder = scratch(spark)
     s = W.line_counts(staged(spark, lines(spark, sf).select("source", "ts", "line"), folder), "1 hour")
-    return drained(spark, s, folder, "complete").select(F.unix_seconds("start").alias("t"), "severity", "category", "n")
+    return drained(spark, s, folder).select(F.unix_seconds("start").alias("t"), "severity", "category", "n")
 
 
 @query("w_counter_increments", f"""WITH {CTR} SELECT event_type, "user", round(sum(inc), 6) AS total, count(*) AS n FROM inc GROUP BY ALL""")
@@ -162,13 +163,13 @@ def w_counter_increments(spark, sf):
 
 
 @query("w_sliding_sums", f"""WITH {CTR}, w AS (SELECT event_type, inc, us, unnest(range((us // 1800000000) * 1800 + 1800, (us // 1800000000) * 1800 + 7200 + 1, 1800)) AS t FROM inc)
-       SELECT t, event_type, round(sum(inc), 6) AS value FROM w WHERE us >= (t - 7200) * 1000000 AND us < t * 1000000 GROUP BY ALL""")
+       SELECT t, event_type, round(sum(inc), 6) AS value FROM w WHERE us >= (t - 7200) * 1000000 AND us < t * 1000000 AND {CLOSED.format(end="t", src="inc")} GROUP BY ALL""")
 def w_sliding_sums(spark, sf):
     folder = scratch(spark)
     prev = F.lag("value").over(Window.partitionBy("event_type", "user").orderBy("us", "event_id"))
     d = counter(spark, sf).withColumn("inc", S.step_increment(F.col("value"), prev)).select("event_type", "ts", "inc")
     s = W.sliding_sums(staged(spark, d, folder), ["event_type"], "2 hours", "30 minutes")
-    return drained(spark, s, folder, "complete").select(F.unix_seconds("t").alias("t"), "event_type", F.round("value", 6).alias("value"))
+    return drained(spark, s, folder).select(F.unix_seconds("t").alias("t"), "event_type", F.round("value", 6).alias("value"))
 
 
 @query("w_alert_states", ORACLES["alert_high_error_rate"])
@@ -201,7 +202,7 @@ def w_assemble_streams(spark, sf):
 @query("w_group_notifications")
 def w_group_notifications(spark, sf):
     folder = scratch(spark)
-    d = events(spark, sf).where("event_type = 'error' and k > 50").select(
+    d = events(spark, sf).where("event_type = 'error'").select(
         "node", F.explode(F.array(F.struct(F.col("ts").alias("ts"), F.lit(1).alias("delta")),
                                   F.struct(F.timestamp_micros(F.col("us") + F.col("cents") * 100000).alias("ts"), F.lit(-1).alias("delta")))).alias("e")).select("node", "e.*")
     return drained(spark, W.group_notifications(staged(spark, d, folder), ["node"]), folder)
@@ -233,8 +234,27 @@ def w_backfill(spark, sf):
 
 @query("j_zero_fill", """SELECT n_name AS name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1""")
 def j_zero_fill(spark, sf):
-    facts = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    dim = table(spark, sf, "nation")
-    return dim.join(facts, dim["n_nationkey"] == facts["s_nationkey"], "left").select(F.col("n_name").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    facts = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    dim = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    return ST.zero_fill(dim, facts, ["key"], ["n"]).select("name", "n")
 
 
+@query("s_read_requests", ORACLES["r_request_facts"])
+def s_read_requests(spark, sf):
+    """Recorded calls written as JSON lines, read back, and their facts."""
+    folder = scratch(spark)
+    request_rows(spark, sf).write.json(f"{folder}/calls")
+    return r_request_facts(spark, sf, RD.read_requests(spark, f"{folder}/calls"))
+
+
+@query("s_read_bench_reports", """SELECT 'r' || l_linenumber AS report, l_returnflag AS label, count(*) AS requests, round(max(l_extendedprice), 4)::DOUBLE AS wall_s FROM lineitem GROUP BY ALL""")
+def s_read_bench_reports(spark, sf):
+    """A report file per level with a run per flag, read back as runs."""
+    folder = scratch(spark)
+    runs = table(spark, sf, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.count(F.lit(1)).alias("requests"), F.max("l_extendedprice").cast("double").alias("wall_s"))
+    run_ = F.struct(F.col("l_returnflag").alias("label"), "requests", "wall_s")
+    reports = runs.groupBy("l_linenumber").agg(F.collect_list(run_).alias("runs")).select(
+        "l_linenumber", F.to_json(F.struct(F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("label"), "runs"), {"pretty": "true"}).alias("value"))
+    reports.write.partitionBy("l_linenumber").text(f"{folder}/reports")
+    got = RD.read_bench_reports(spark, f"{folder}/reports")["runs"]
+    return got.select("report", "label", "requests", F.round("wall_s", 4).alias("wall_s"))

@@ -105,12 +105,12 @@ def g_kv_utilization(spark, sf):
 
 
 def exits(spark, sf):
-    return lines(spark, sf).where("event_type = 'error' and k > 90").select(
+    return lines(spark, sf).where("event_type = 'error'").select(
         "source", "ts", F.col("seq").alias("exit_id"), "byte_offset", F.col("source").alias("node"),
         F.when(F.col("k") % 2 == 0, -15).otherwise(255).alias("exit_code"))
 
 
-REASON = LINES + """, ex AS (SELECT source, us, seq AS exit_id, byte_offset, k FROM ln WHERE event_type = 'error' AND k > 90),
+REASON = LINES + """, ex AS (SELECT source, us, seq AS exit_id, byte_offset, k FROM ln WHERE event_type = 'error'),
        tl AS (SELECT e.source, e.exit_id, any_value(e.us) AS us, min(CASE
          WHEN l.k IS NULL THEN 9 WHEN regexp_matches(x, '\\[METAL\\].*(Command buffer execution failed|GPU errors)', 'i') THEN 0
          WHEN regexp_matches(x, '\\b(out of memory|OOM|allocation failed)\\b', 'i') THEN 2
@@ -171,7 +171,7 @@ def g_serving_states(spark, sf):
     return G.serving_states(e, 21600).select("source", "seq", "event", "state")
 
 
-@query("g_cascade_origin", f"""WITH {EV}, x AS (SELECT node, event_id, us, CASE WHEN k % 2 = 0 THEN -15 ELSE 255 END AS code FROM ev WHERE event_type = 'error' AND k > 90),
+@query("g_cascade_origin", f"""WITH {EV}, x AS (SELECT node, event_id, us, CASE WHEN k % 2 = 0 THEN -15 ELSE 255 END AS code FROM ev WHERE event_type = 'error'),
        i AS (SELECT *, sum(b) OVER (ORDER BY us, event_id) AS c FROM (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, event_id) <= 7200000000 THEN 0 ELSE 1 END AS b FROM x))
        SELECT min(us) AS cluster_start, arg_min(node, (us, event_id)) AS first_node, arg_min(code, (us, event_id)) AS first_code, count(*) AS exits,
        count(DISTINCT node) AS nodes FROM i GROUP BY c""")

@@ -28,3 +28,4 @@ from . import scoring  # noqa: E402,F401
 from . import clusters  # noqa: E402,F401
 from . import flows  # noqa: E402,F401
 from . import panels  # noqa: E402,F401
+from . import boards  # noqa: E402,F401

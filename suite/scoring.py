@@ -3,17 +3,19 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from servelens.naming import DEFAULT_NAMING as N
+from servelens.naming import BOUNDS, DEFAULT_NAMING as N
 from servelens.operators import benchruns as B
 from servelens.operators import stats as ST
 from servelens.operators import traces as E
+from servelens.operators.histograms import le_text
+from servelens.scratch import saved
 
-from .adapters import EV, call_increments, events, grid_cte, instant_of, out, table, window_sum
+from .adapters import EV, bucket_increments, call_increments, events, grid_cte, instant_of, out, quantile_sql, table, window_sum
 from .registry import query
-from .serving import FAST_EV, GRID, samples_by_metric
+from .serving import FAST_EV, GRID, _sample, calls
 
 NAMES = E.JUDGE_NAMES
 
@@ -32,7 +34,7 @@ def traces(spark, sf):
     return g.select(
         F.col("conv_id").cast("string").alias("id"), F.col("conv_id"), F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")).alias("project"),
         F.timestamp_micros(start).alias("start_time"), F.timestamp_micros(start + F.col("chars") * 1000).alias("end_time"),
-        F.struct(F.lit("m").alias("model"), F.col("messages")).alias("input"), F.when(F.col("answer").isNotNull(), F.struct(F.col("answer").alias("content"))).alias("output"),
+        F.struct(F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string"))).alias("model"), F.col("messages")).alias("input"), F.when(F.col("answer").isNotNull(), F.struct(F.col("answer").alias("content"))).alias("output"),
         F.struct(F.col("chars").alias("total_tokens")).alias("usage"), F.when(F.col("conv_id") % 7 == 0, F.struct(F.lit("X").alias("exception_type"))).alias("error_info"),
         F.transform(have, lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value"))).alias("feedback_scores"))
 
@@ -119,6 +121,12 @@ def e_trace_trends(spark, sf):
     return out(d.withColumn("cost", F.round("cost", 4)))
 
 
+@query("e_spans_by_model", f"""WITH {TRACES} SELECT ((1704067200 + conv_id * 600) // 3600) * 3600 AS t, CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'm' || (conv_id % 5) END AS model, count(*) AS spans
+       FROM tr GROUP BY ALL""")
+def e_spans_by_model(spark, sf):
+    return E.spans_by_model(traces(spark, sf), 3600)
+
+
 @query("e_heuristic_vs_judge", """WITH d AS (SELECT doc_id AS i FROM documents) SELECT i::VARCHAR AS id, round(i % 10 / 10.0, 6)::DOUBLE AS heuristic, round(i % 7 / 7.0, 6)::DOUBLE AS judged,
        round(i % 10 / 10.0 - i % 7 / 7.0, 6)::DOUBLE AS difference FROM d WHERE i % 4 <> 0""")
 def e_heuristic_vs_judge(spark, sf):
@@ -279,10 +287,10 @@ def b_snapshot_stats(spark, sf):
 
 
 @query("j_crash_request_join", f"""WITH {EV} SELECT c.event_id AS crash_id, r.event_id AS request_id FROM ev c JOIN ev r
-       ON c.us >= r.us AND c.us <= r.us + r.cents * 100000 + 60000000 WHERE c.event_type = 'error' AND c.k > 90""")
+       ON c.us >= r.us AND c.us <= r.us + r.cents * 100000 + 60000000 WHERE c.event_type = 'error'""")
 def j_crash_request_join(spark, sf):
     d = events(spark, sf)
-    c = d.where("event_type = 'error' and k > 90").select(F.col("event_id").alias("crash_id"), F.col("ts").alias("crash_ts"))
+    c = d.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("ts").alias("crash_ts"))
     r = d.select(F.col("event_id").alias("request_id"), F.col("ts").alias("start_ts"), F.timestamp_micros(F.col("us") + F.col("cents") * 100000).alias("end_ts"))
     return B.crash_request_join(c, r, 60, 1200).select("crash_id", "request_id")
 
@@ -297,16 +305,54 @@ def o_lowest_k(spark, sf):
     return ST.lowest_k(events(spark, sf).select("event_id", "value"), "value", 8, ["event_id"])
 
 
-ENG = f"""WITH {FAST_EV}, {grid_cte(GRID)}, {call_increments('tok', ['model', 'kind'], 'k')}, {call_increments('er', ['model', 'status', 'kind'], 'k', 'status >= 400')},
-       fl AS (SELECT g.t AS t, i.model, arg_max(i.k % 12, i.us) AS v FROM grid g JOIN ev i ON i.us > (g.t - 300) * 1000000 AND i.us <= g.t * 1000000 GROUP BY ALL)"""
+PROVIDERS = {"m0": "own", "m1": "vllm", "m2": "sglang"}
+
+
+def engine_samples(spark, sf):
+    """Each model is served by an engine of its own, which reports under its own metric names and a provider label."""
+    d, parts = calls(spark, sf), []
+    for i, (model, provider) in enumerate(PROVIDERS.items()):
+        x = d.where(F.col("model") == model)
+
+        def add(record, labels, value, rows, i=i, provider=provider):
+            if record == "up" or i < len(B.ENGINE_METRICS[record]):
+                name, ours = ("up", False) if record == "up" else B.ENGINE_METRICS[record][i]
+                parts.append(_sample(rows, N.m(name) if ours else name, {**labels, "provider": provider}, value, own=False)[1])
+
+        def running(rows, amount, by=()):
+            return F.sum(amount).over(Window.partitionBy(*by, "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+
+        le = [F.struct(F.lit(le_text(b)).alias("le"), (F.col("ttft") <= float(b)).cast("int").alias("hit")) for b in BOUNDS["ttft_seconds"]]
+        seen = x.select("*", F.explode(F.array(*le, F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("hit")))).alias("b")).select("*", "b.*")
+        add("tokens_generated_rate1m", {}, F.col("v"), x.withColumn("v", running(x, F.col("k"))))
+        add("ttft_p95", {"le": F.col("le")}, F.col("v"), seen.withColumn("v", running(seen, F.col("hit"), ["le"])))
+        add("requests_running", {}, F.col("k") % 12, x)
+        add("kv_cache_usage_ratio", {}, F.col("k") / 100, x)
+        # Only calls that were broken off count as errors, where the metric tells.
+        bad = x.withColumn("why", F.when(F.col("status") >= 400, "abort").otherwise("stop"))
+        bad = bad if i else bad.where("why = 'abort'")
+        add("errors_rate5m", {"finished_reason": F.col("why")} if i else {}, F.col("v"), bad.withColumn("v", running(bad, F.lit(1), ["why"])))
+        add("up", {"job": provider}, F.when(F.col("k") > 5, 1).otherwise(0), x)
+    return reduce(DataFrame.unionByName, parts)
+
+
+PROVIDER = "CASE model WHEN 'm0' THEN 'own' WHEN 'm1' THEN 'vllm' ELSE 'sglang' END AS provider"
+
+
+def _gauge_sql(value: str, ago: int = 300) -> str:
+    return f"SELECT g.t AS t, i.model AS model, arg_max({value}, i.us) AS value FROM grid g JOIN ev i ON i.us > (g.t - {ago}) * 1000000 AND i.us <= g.t * 1000000 GROUP BY ALL"
+
+
+ENGINES = " UNION ALL ".join(f"SELECT '{record}' AS record, t, {PROVIDER}, round(value, 6)::DOUBLE AS value FROM ({sql})" for record, sql in {
+    "tokens_generated_rate1m": f"SELECT t, model, value / 60.0 AS value FROM ({window_sum('tk', 60, ['model'])})",
+    "ttft_p95": quantile_sql(0.95, f"({window_sum('bk', 300, ['model', 'le', 'bound'])})", ["model"]),
+    "requests_running": _gauge_sql("i.k % 12"), "kv_cache_usage_ratio": _gauge_sql("i.k / 100"),
+    "errors_rate5m": f"SELECT t, model, value / 300.0 AS value FROM ({window_sum('br', 300, ['model'])}) WHERE model <> 'm2'",
+    "up": _gauge_sql("CASE WHEN i.k > 5 THEN 1 ELSE 0 END")}.items())
 
 
-@query("n_normalize_engines", f"""{ENG} SELECT 'tokens_generated_rate1m' AS record, t, '' AS provider, round(value / 60.0, 6) AS value FROM ({window_sum('tok', 60, [])})
-       UNION ALL SELECT 'errors_rate5m', t, '', round(value / 300.0, 6) FROM ({window_sum('er', 300, [])})
-       UNION ALL SELECT 'requests_running', t, '', sum(v)::DOUBLE FROM fl GROUP BY t""")
+@query("n_normalize_engines", f"""WITH {FAST_EV}, {grid_cte(GRID)}, {call_increments('tk', ['model'], 'k')}, {call_increments('br', ['model'], '1', 'status >= 400')},
+       {bucket_increments('bk', 'ttft', BOUNDS['ttft_seconds'], ['model'])} SELECT * FROM ({ENGINES}) WHERE value IS NOT NULL""")
 def n_normalize_engines(spark, sf):
-    records = ["tokens_generated_rate1m", "errors_rate5m", "requests_running"]
-    own = [N.m(n) for r in records for n, ours in B.ENGINE_METRICS[r] if ours]
-    parts = samples_by_metric(spark, sf)
-    mine = reduce(DataFrame.unionByName, [p for n in own for p in parts[n]])
-    return out(B.normalize_engines(mine, GRID, N.metric, records=records))
+    samples = saved(engine_samples(spark, sf).repartition("metric"), "engines", ("metric",))  # each record prunes to its metrics
+    return out(B.normalize_engines(samples, GRID, N.metric))

@@ -1,4 +1,7 @@
-"""Alert states, routing, grouping and annotations."""
+"""Alert states, routing, grouping, annotations; rules and boards on shared roll-ups."""
+
+import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,6 +13,7 @@ from servelens.operators import alerts as A
 from servelens.operators import samples as S
 from servelens.plans import dashboards as DB
 from servelens.plans import rules as R
+from servelens.plans.rollups import needs
 from servelens.plans.source import Source
 
 
@@ -153,3 +157,60 @@ def test_strict_reading_never_fires_across_labels(spark):
     s = Source(d, S.Grid(0, 600, 60))
     assert R.evaluate(s, ["ModelNotLoaded"]).count() == 5
     assert R.evaluate(s, ["ModelNotLoaded"], strict=True).count() == 0
+
+
+@pytest.fixture(scope="module")
+def busy(spark):
+    """Samples of every kind: counters, gauges, buckets, with labels that several rules and panels share."""
+    rnd = random.Random(6)
+    rows, totals = [], {}
+    for t in range(0, 3600, 15):
+        at = dt.datetime.fromtimestamp(1_704_067_200 + t, dt.timezone.utc).replace(tzinfo=None)
+        for m in ("a", "b"):
+            for metric, extra in (("mlx_requests_total", {}), ("mlx_error_total", {"status": "5xx"}), ("mlx_tokens_completion_total", {}), ("mlx_ttft_seconds_bucket", {"le": "10"}),
+                                  ("mlx_ttft_seconds_bucket", {"le": "+Inf"}), ("mlx_ttft_seconds_count", {})):
+                key = (metric, m, *extra.values())
+                totals[key] = totals.get(key, 0) + rnd.randint(0, 9)
+                rows.append((metric, {"job": "mlx-proxy", "model": m, **extra}, at, float(totals[key])))
+            rows.append(("mlx_hallucination_risk", {"job": "mlx-proxy", "model": m, "kind": "chat"}, at, rnd.random()))
+            rows.append(("mlx_heuristic_repetition", {"job": "mlx-proxy", "model": m}, at, rnd.random()))
+            rows.append(("mlx_in_flight", {"job": "mlx-proxy", "model": m}, at, float(rnd.randint(0, 12))))
+        rows.append(("mlx_hw_load1", {"job": "mlx-hw", "node": "n"}, at, rnd.random() * 16))
+        rows.append(("mlx_hw_cpu_count", {"job": "mlx-hw", "node": "n"}, at, 8.0))
+    d = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp, value double").repartition(4).cache()
+    return Source(d, S.Grid(1_704_067_200, 1_704_067_200 + 3600, 60))
+
+
+RULED = ["HallucinationRiskElevated", "HighRepetition", "InFlightBacklog", "LoadHigh", "SLOAvailabilityFastBurn", "SLOLatencySlowBurn", "HighErrorRate", "ErrorSpike"]
+
+
+def test_rules_on_a_shared_roll_up(busy):
+    rolled = R.roll_up_for(busy, RULED)
+    got, want = (sorted(map(tuple, R.evaluate(s, RULED).collect())) for s in (rolled, busy))
+    assert got == want and len(got) > 100
+    plan = R.evaluate(rolled, RULED)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "LogicalRDD" not in plan  # the raw samples
+
+
+def test_each_metric_is_rolled_up_once(busy):
+    rolled = R.roll_up_for(busy)
+    assert set(rolled.tables) == {"counter", "last", "sum"}
+    read = needs(busy, [lambda s, r=r: r.when(s, False) for r in R.CATALOGUE])
+    assert len(read) == len({m for _, m in read})  # no metric of two kinds: one scan each
+
+
+def test_a_board_stacks_its_panels(busy):
+    rolled = DB.roll_up_for(busy, ["http"])
+    got = DB.board("http", rolled)
+    assert got.columns == ["panel", *DB.PANEL_LABELS, "t", "value"]
+    per = {r["panel"]: r["n"] for r in got.groupBy("panel").agg(F.count("*").alias("n")).collect()}
+    assert per["requests by kind"] > 0 and set(per) <= set(DB.PANELS["http"])
+    one = DB.panel("http", "in flight", busy)
+    assert sorted((r.t, r.value) for r in got.where("panel = 'in flight'").collect()) == sorted((r.t, r.value) for r in one.collect())
+    only = DB.board("http", rolled, {"model": ["a"]}).where("panel = 'prompt cache ratio' or model = 'b'")
+    assert only.count() == 0
+
+
+def test_quantile_panels_take_lists_and_all(busy):
+    every, some = (DB.panel("node", "ttft p95", busy, {"node": v}) for v in ("All", ["x", "y"]))
+    assert every.count() > 0 and some.count() == 0

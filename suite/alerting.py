@@ -202,7 +202,7 @@ NOTIFIED = f"""WITH {FAST_EV}, {G}, {ERR}, {BASE_STATES}, fire AS (
        UNION ALL SELECT alertname, node, '', start_t, end_t FROM ({LOAD}) WHERE state = 'firing'),
        opened AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {KEYS} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 300 THEN NULL ELSE s END AS o FROM fire),
        ses AS (SELECT *, last_value(o IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS session FROM opened),
-       flush AS (SELECT {KEYS}, session, unnest(range(session + 30, max(e) + 331, 300)) AS t FROM ses GROUP BY ALL),
+       flush AS (SELECT {KEYS}, session, unnest(range(session + 30, last + 331, 300)) AS t FROM (SELECT {KEYS}, session, max(e) AS last FROM ses GROUP BY ALL)),
        seen AS (SELECT f.alertname, f.node, f.model, f.session, f.t, count(*) FILTER (x.s <= f.t) - count(*) FILTER (x.e <= f.t) AS n_firing,
          count(*) FILTER (x.e <= f.t AND (x.e > f.t - 300 OR f.t = f.session + 30)) AS n_resolved,
          count(*) FILTER (x.s <= f.t AND (x.s > f.t - 300 OR f.t = f.session + 30)) AS n_new

@@ -207,8 +207,8 @@ BOARDS = {
 }
 
 
-#: Interpolated quantiles of the tenths of a time end on half a millionth, where two orders of arithmetic may round apart.
-DIGITS = {"http": 5}
+#: Interpolated quantiles often end on half a millionth, where two orders of arithmetic round apart; both sides add this before rounding.
+NUDGE = {"http": 1e-9}
 
 
 def board_sql(name: str) -> str:
@@ -218,14 +218,15 @@ def board_sql(name: str) -> str:
     none = ", ".join(f"''::VARCHAR AS {c}" for c in ("panel", *DB.PANEL_LABELS))
     parts = [f"SELECT {none}, 0::BIGINT AS t, 0::DOUBLE AS value WHERE FALSE", *[f"SELECT '{title}' AS panel, * FROM ({sql})" for title, sql in BOARDS[name].items()]]
     show = ", ".join(f"coalesce({c}::VARCHAR, '') AS {c}" for c in DB.PANEL_LABELS)
-    return f"WITH {', '.join(ctes)} SELECT panel, {show}, t::BIGINT AS t, round(value::DOUBLE, {DIGITS.get(name, 6)}) AS value FROM ({' UNION ALL BY NAME '.join(parts)})"
+    return f"WITH {', '.join(ctes)} SELECT panel, {show}, t::BIGINT AS t, round(value::DOUBLE + {NUDGE.get(name, 0.0)}, 6) AS value FROM ({' UNION ALL BY NAME '.join(parts)})"
 
 
 def _register(name: str) -> None:
     @query(f"board_{name.replace('-', '_')}", board_sql(name))
     def show(spark, sf):
         s = source(spark, sf)
-        return out(DB.board(name, DB.roll_up_for(s, [name])), DIGITS.get(name, 6))
+        d = DB.board(name, DB.roll_up_for(s, [name]))
+        return out(d.withColumn("value", d["value"] + NUDGE.get(name, 0.0)))
 
 
 for _name in DB.PANELS:

@@ -174,6 +174,14 @@ def test_field_diff_paths(spark):
         ("new", None, "x"), ("spec.n", "1", "2"), ("spec.gone", '{"deep": [1]}', None), ("spec.c[1].v", "1", "9"), ("spec.l[1]", "2", "5"), ("spec.l[2]", "3", None)])
 
 
+def test_field_diff_never_broadcasts_entries(spark):
+    a = D.normalize_resources(res(spark, "a", [("ConfigMap", f"x{i}", {"spec": {"v": i}}) for i in range(20)]))
+    b = D.normalize_resources(res(spark, "b", [("ConfigMap", f"x{i}", {"spec": {"v": i % 10}}) for i in range(20)]))
+    got = D.field_diff(D.compare_states(a, b), a, b)
+    assert sorted((r.name, r.path, r.a, r.b) for r in got.collect()) == sorted((f"x{i}", "spec.v", str(i), str(i - 10)) for i in range(10, 20))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_secrets_show_digests_only(spark):
     d = D.documents(D.normalize_resources(res(spark, "a", [("Secret", "x", {"data": {"p": "c2VjcmV0"}})]))).first()
     assert json.loads(d.doc)["data"]["p"] == D.digest_text("secret") and "c2VjcmV0" not in d.doc

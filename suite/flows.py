@@ -7,7 +7,7 @@ from servelens.operators import logs as G
 from servelens.operators import requests as R
 from servelens.operators import samples as S
 from servelens.operators import stats as ST
-from servelens.scratch import fresh_folder
+from servelens.scratch import fresh_folder, saved
 from servelens.sources import readers as RD
 from servelens.sources import writers as WR
 from servelens.streaming import streams as W
@@ -120,7 +120,14 @@ def s_read_otlp_logs(spark, sf):
                    F.array(attr("category", F.col("category")), attr("source", F.col("source"))).alias("attributes"))
     doc = d.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(rec).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))).alias("j"))
     o = RD.parse_otlp(doc.select(F.from_json("j", RD.OTLP_SCHEMA).alias("x")).select("x.*"))
-    return o.groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.unix_micros("ts")).alias("us"))
+    exact = F.sum(F.unix_micros("ts").cast("decimal(20,0)")).cast("decimal(38,0)")
+    return narrowed(saved(o.groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n"), exact.alias("us")), "otlp-totals"), "us")
+
+
+def narrowed(totals, column):
+    """Exact totals as BIGINT where all of them fit one, else as they are: five thousand times in microseconds add up to more."""
+    beyond = totals.where(~F.col(column).between(-(1 << 63), (1 << 63) - 1)).limit(1).count()
+    return totals if beyond else totals.withColumn(column, F.col(column).cast("bigint"))
 
 
 @query("s_write_samples", """SELECT event_type AS metric, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-02-11' GROUP BY 1""")

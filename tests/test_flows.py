@@ -14,6 +14,7 @@ from servelens.operators import traces as E
 from servelens.sources import readers as RD
 from servelens.sources import writers as WR
 from servelens.streaming import streams as W
+from suite.registry import flows as FL
 
 
 def ts(s):
@@ -214,6 +215,20 @@ def test_judge_replies(spark, reply, ok):
     assert (tuple(r) == (0.4, 1.0, 0.0)) if ok else r is None
 
 
+@pytest.mark.parametrize("times,kind", [([1 << 62, 1 << 61], "bigint"), ([1 << 62] * 3, "decimal(38,0)")])
+def test_log_times_add_up_beyond_a_long(spark, times, kind):
+    d = spark.createDataFrame([(t,) for t in times], "us bigint").agg(F.sum(F.col("us").cast("decimal(20,0)")).cast("decimal(38,0)").alias("us"))
+    got = FL.narrowed(d, "us")
+    assert dict(got.dtypes)["us"] == kind and int(got.first().us) == sum(times)
+
+
+def test_otlp_logs_of_many_lines(spark, tmp_path):
+    spark.range(12000).select(F.col("id").alias("event_id"), F.lit(ts(0)).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"),
+                              F.lit(1.0).alias("value"), F.lit('{"k": 7}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = FL.s_read_otlp_logs(spark, str(tmp_path)).collect()
+    assert got.n == 12000 and int(got.us) == 12000 * 1704067200 * 10**6
+
+
 def test_windowed_counts(spark, tmp_path):
     d = spark.createDataFrame([(ts(i), "error" if i % 5 == 0 else "plain") for i in range(180)], "ts timestamp, line string")
     got = run(spark, d, lambda x: W.line_counts(x), str(tmp_path), ["1 = 1"], "complete")

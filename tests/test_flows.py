@@ -229,6 +229,15 @@ def test_otlp_logs_of_many_lines(spark, tmp_path):
     assert got.n == 12000 and int(got.us) == 12000 * 1704067200 * 10**6
 
 
+def test_windows_open_at_the_end_are_told(spark, tmp_path):
+    schema = "source string, ts timestamp, line string"
+    for i, seconds in enumerate(([0, 10, 3500], [3550, 3700], [3710, 3720])):
+        spark.createDataFrame([("s", ts(x), "GET /") for x in seconds], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = FL.drained(spark, W.line_counts(stream, "1 hour"), str(tmp_path), ["start", "severity", "category"])
+    assert sorted((r.start, r.category, r.n) for r in got.collect()) == [(ts(0), "http", 4), (ts(3600), "http", 3)]
+
+
 def test_windowed_counts(spark, tmp_path):
     d = spark.createDataFrame([(ts(i), "error" if i % 5 == 0 else "plain") for i in range(180)], "ts timestamp, line string")
     got = run(spark, d, lambda x: W.line_counts(x), str(tmp_path), ["1 = 1"], "complete")

@@ -157,10 +157,6 @@ def s_write_log_jsonl(spark, sf):
 
 # ---- streams ----
 
-# Windows are told once the watermark, two minutes behind the last row, has passed their end; the newest ones stay open.
-CLOSED = "{end} * 1000 <= (SELECT max(us) // 1000 - 120000 FROM {src})"
-
-
 @query("w_line_counts", CLASSIFIED.join(["WITH ", " SELECT (us // 3600000000) * 3600 AS t, split_part(c, '/', 1) AS severity, split_part(c, '/', 2) AS category, count(*) AS n FROM cl GROUP BY ALL"]))
 def w_line_counts(spark, sf):
     folder = scratch(spark)
@@ -177,13 +173,13 @@ def w_counter_increments(spark, sf):
 
 
 @query("w_sliding_sums", f"""WITH {CTR}, w AS (SELECT event_type, inc, us, unnest(range((us // 1800000000) * 1800 + 1800, (us // 1800000000) * 1800 + 7200 + 1, 1800)) AS t FROM inc)
-       SELECT t, event_type, round(sum(inc), 6) AS value FROM w WHERE us >= (t - 7200) * 1000000 AND us < t * 1000000 AND {CLOSED.format(end="t", src="inc")} GROUP BY ALL""")
+       SELECT t, event_type, round(sum(inc), 6) AS value FROM w WHERE us >= (t - 7200) * 1000000 AND us < t * 1000000 GROUP BY ALL""")
 def w_sliding_sums(spark, sf):
     folder = scratch(spark)
     prev = F.lag("value").over(Window.partitionBy("event_type", "user").orderBy("us", "event_id"))
     d = counter(spark, sf).withColumn("inc", S.step_increment(F.col("value"), prev)).select("event_type", "ts", "inc")
     s = W.sliding_sums(staged(spark, d, folder), ["event_type"], "2 hours", "30 minutes")
-    return drained(spark, s, folder).select(F.unix_seconds("t").alias("t"), "event_type", F.round("value", 6).alias("value"))
+    return drained(spark, s, folder, ["t", "event_type"]).select(F.unix_seconds("t").alias("t"), "event_type", F.round("value", 6).alias("value"))
 
 
 @query("w_alert_states", ORACLES["alert_high_error_rate"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exactsum as X
-from .slices import micros
+from .slices import dealt, micros
 
 SERIES = "series"
 
@@ -134,7 +134,7 @@ def counter_increments(df: DataFrame, res: int, series: list[str] | None = None,
     keys = _keys(df, series)
     keys = [k for k in keys if k != tie]
     order = ["ts"] + ([tie] if tie else [])
-    d = df.where(~F.isnan("value")).withColumn("t", bucket_end("ts", res))
+    d = dealt(df.where(~F.isnan("value")).withColumn("t", bucket_end("ts", res)), *keys, "t")
     here = Window.partitionBy(*keys, "t")
     d = d.withColumn("_prev", F.lag("value").over(here.orderBy(*order)))
     later = F.when(F.col("_prev").isNotNull(), step_increment(F.col("value"), F.col("_prev")))

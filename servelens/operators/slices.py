@@ -41,6 +41,21 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.withColumn("_key", F.struct(*keys)).join(right, "_key", how).drop("_key")
 
 
+# Estimated bytes of input per task of a shuffle whose rows are sorted.
+PER_TASK, MOST_TASKS = 256 * 1024, 4096
+
+
+def dealt(df: DataFrame, *keys) -> DataFrame:
+    """``df`` hashed by ``keys`` over a number of tasks that grows with its estimated size, before a sort by them.
+
+    Rows of samples pack so well that what adaptive execution merges to one task's worth of shuffled bytes fills gigabytes
+    when sorted; a number that is asked for is not merged.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, min(MOST_TASKS, -(-size // PER_TASK))), *keys)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list, amounts: dict[str, Column],
                   position: Column, length: int) -> DataFrame:
     """Running sums per key, inclusive of the row, in ``order``.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from servelens.naming import BOUNDS
 from servelens.operators.histograms import le_text
 from servelens.operators.samples import Grid
+from servelens.operators.slices import dealt
 
 T0 = 1704067200          # 2024-01-01T00:00:00Z
 DAY = 86400
@@ -124,15 +125,19 @@ def window_sum(src: str, window: int, by: list[str], value: str = "sum(i.inc)",
             f"ON i.us > (g.t - {shift} - {window}) * 1000000 AND i.us <= (g.t - {shift}) * 1000000 GROUP BY g.t{grp}")
 
 
+def bucket_counts(d: DataFrame, col: str, bounds, labels: list[str]) -> DataFrame:
+    """Running counts of the day (labels, le, ts, value) per bound: summed side by side, one row per event, and unfolded after."""
+    w = Window.partitionBy(*labels, "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    hits = [(le_text(b), (F.col(col) <= float(b)).cast("int")) for b in bounds] + [("+Inf", F.lit(1))]
+    d = d.select(*labels, "day", "us", "event_id", "ts", *[h.alias(f"_h{i}") for i, (_, h) in enumerate(hits)])
+    d = dealt(d, *labels, "day").select(*labels, "ts", *[F.sum(f"_h{i}").over(w).cast("double").alias(f"_h{i}") for i in range(len(hits))])
+    rows = [F.struct(F.lit(le).alias("le"), F.col(f"_h{i}").alias("value")) for i, (le, _) in enumerate(hits)]
+    return d.select(*labels, "ts", F.explode(F.array(*rows)).alias("b")).select(*labels, "b.le", "ts", "b.value")
+
+
 def bucket_samples(spark: SparkSession, sf: str, col: str, bounds, labels: list[str]) -> DataFrame:
     """Histogram bucket counters ``le`` (restarting daily) for an observed column."""
-    d = events(spark, sf)
-    rows = [F.struct(F.lit(le_text(b)).alias("le"), (F.col(col) <= float(b)).cast("int").alias("hit")) for b in bounds]
-    rows.append(F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("hit")))
-    d = d.select(*labels, "day", "us", "event_id", "ts", F.explode(F.array(*rows)).alias("b")).select(
-        *labels, "day", "us", "event_id", "ts", "b.*")
-    w = Window.partitionBy(*labels, "le", "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(*labels, "le", "ts", F.sum("hit").over(w).cast("double").alias("value"))
+    return bucket_counts(events(spark, sf), col, bounds, labels)
 
 
 def bucket_increments(name: str, col: str, bounds, labels: list[str]) -> str:

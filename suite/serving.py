@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servelens.naming import BOUNDS, DEFAULT_NAMING
-from servelens.operators.histograms import le_text
 from servelens.operators import samples as S
 from servelens.operators.samples import Grid
 from servelens.plans.source import Source
 
-from .adapters import EV, T0, events
+from .adapters import EV, T0, bucket_counts, events
 
 FAST = 60
 GRID = Grid(T0, T0 + 43200, 60)
@@ -46,11 +45,9 @@ def _counter(d: DataFrame, metric: str, labels: list[str], amount: Column, job:
 
 
 def _histogram(d: DataFrame, metric: str, col: str):
-    rows = [F.struct(F.lit(le_text(b)).alias("le"), (F.col(col) <= float(b)).cast("int").alias("hit")) for b in BOUNDS[metric]]
-    rows.append(F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("hit")))
-    b = d.select("model", "day", "us", "event_id", "ts", F.explode(F.array(*rows)).alias("b")).select(
-        "model", "day", "us", "event_id", "ts", "b.*")
-    return [_counter(b, metric + "_bucket", ["model", "le"], F.col("hit")), _counter(d, metric + "_count", ["model"], F.lit(1))]
+    b = bucket_counts(d, col, BOUNDS[metric], ["model"])
+    labels = {"model": F.col("model"), "le": F.col("le"), "job": DEFAULT_NAMING.j("proxy")}
+    return [_sample(b, metric + "_bucket", labels, F.col("value")), _counter(d, metric + "_count", ["model"], F.lit(1))]
 
 
 def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]]:

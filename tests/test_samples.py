@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from servelens.operators import histograms as H
 from servelens.operators import samples as S
 from servelens.operators import vector as V
+from servelens.operators.slices import dealt
+from suite.adapters import bucket_counts
 
 BASE = 1_704_067_200
 GRID = S.Grid(BASE, BASE + 1800, 60)
@@ -125,3 +127,20 @@ def test_histogram_covers_every_bound(spark):
 
 def test_bind_variables_escapes():
     assert S.bind_variables({"m": "a.b", "n": None, "t": ["x", "y+"]}) == {"m": r"a\.b", "n": ".*", "t": r"x|y\+"}
+
+
+def test_sorted_shuffles_grow_with_their_input(spark):
+    small, large = (spark.range(n).select("id", (F.col("id") % 50).alias("k")) for n in (10, 1_000_000))
+    assert dealt(small, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt(large, "k").rdd.getNumPartitions() > 10 * spark.sparkContext.defaultParallelism
+
+
+def test_bucket_counts_sort_a_row_per_event(spark):
+    rows = [(i, i % 2, i // 7, dt.datetime(2024, 1, 1, 0, 0, i), i * 13 % 10) for i in range(20)]
+    d = spark.createDataFrame(rows, "event_id bigint, model bigint, day bigint, ts timestamp, x bigint").withColumn("us", F.unix_micros("ts"))
+    got = bucket_counts(d, "x", (2.0, 5.0), ["model"])
+    want = sorted((m, le, at, float(sum(1 for r in rows if r[1:3] == (m, day) and r[0] <= e and r[4] <= b)))
+                  for e, m, day, at, _ in rows for le, b in (("2", 2), ("5", 5), ("+Inf", 99)))
+    assert sorted((r.model, r.le, r.ts, r.value) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # unfolded above the window

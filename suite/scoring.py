@@ -10,10 +10,10 @@ from servelens.naming import BOUNDS, DEFAULT_NAMING as N
 from servelens.operators import benchruns as B
 from servelens.operators import stats as ST
 from servelens.operators import traces as E
-from servelens.operators.histograms import le_text
+from servelens.operators.slices import dealt
 from servelens.scratch import saved
 
-from .adapters import EV, bucket_increments, call_increments, events, grid_cte, instant_of, out, quantile_sql, table, window_sum
+from .adapters import EV, bucket_counts, bucket_increments, call_increments, events, grid_cte, instant_of, out, quantile_sql, table, window_sum
 from .registry import query
 from .serving import FAST_EV, GRID, _sample, calls
 
@@ -322,10 +322,8 @@ def engine_samples(spark, sf):
         def running(rows, amount, by=()):
             return F.sum(amount).over(Window.partitionBy(*by, "day").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0))
 
-        le = [F.struct(F.lit(le_text(b)).alias("le"), (F.col("ttft") <= float(b)).cast("int").alias("hit")) for b in BOUNDS["ttft_seconds"]]
-        seen = x.select("*", F.explode(F.array(*le, F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("hit")))).alias("b")).select("*", "b.*")
         add("tokens_generated_rate1m", {}, F.col("v"), x.withColumn("v", running(x, F.col("k"))))
-        add("ttft_p95", {"le": F.col("le")}, F.col("v"), seen.withColumn("v", running(seen, F.col("hit"), ["le"])))
+        add("ttft_p95", {"le": F.col("le")}, F.col("value"), bucket_counts(x, "ttft", BOUNDS["ttft_seconds"], []))
         add("requests_running", {}, F.col("k") % 12, x)
         add("kv_cache_usage_ratio", {}, F.col("k") / 100, x)
         # Only calls that were broken off count as errors, where the metric tells.
@@ -354,5 +352,6 @@ ENGINES = " UNION ALL ".join(f"SELECT '{record}' AS record, t, {PROVIDER}, round
 @query("n_normalize_engines", f"""WITH {FAST_EV}, {grid_cte(GRID)}, {call_increments('tk', ['model'], 'k')}, {call_increments('br', ['model'], '1', 'status >= 400')},
        {bucket_increments('bk', 'ttft', BOUNDS['ttft_seconds'], ['model'])} SELECT * FROM ({ENGINES}) WHERE value IS NOT NULL""")
 def n_normalize_engines(spark, sf):
-    samples = saved(engine_samples(spark, sf).repartition("metric"), "engines", ("metric",))  # each record prunes to its metrics
+    dealt_ = dealt(engine_samples(spark, sf), "metric", F.pmod(F.xxhash64("ts"), F.lit(64)))
+    samples = saved(dealt_, "engines", ("metric",))  # each record prunes to its metrics
     return out(B.normalize_engines(samples, GRID, N.metric))

@@ -310,3 +310,45 @@ def test_span_hashes_know_only_content():
     keys = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     for w in (1, 2, 7, 300):
         assert bytesops.sliding_min(keys, w).tolist() == [keys[i:i + w].min() for i in range(301 - w)]
+
+
+def test_lines_lose_no_link(spark):
+    """Short lines whose SimHashes lie far apart, at the least similarity that counts, and runs of one word."""
+    rng = random.Random(5)
+    lexicon = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    made = []
+    for _ in range(60):
+        w = rng.choices(lexicon, k=rng.choice([3, 4, 5, 9, 10, 11, 14, 24, 40]))
+        made.append(w)
+        for _ in range(2):
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 4))):
+                at, how = rng.randrange(len(v)), rng.random()
+                v[at:at + 1] = [rng.choice(lexicon)] if how < 0.5 else [] if how < 0.75 and len(v) > 1 else [v[at], rng.choice(lexicon)]
+            made.append(v)
+    made += [["ab"] * k for k in (4, 5, 6, 8, 10, 12, 15)] + [["a", "b", "c", "d"], ["a", "b", "x", "c", "d"]]
+    rng.shuffle(made)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    parent = list(range(len(made)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def distance(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+
+    for i, a in enumerate(made):
+        for j in range(i):
+            if 5 * distance(a, made[j]) <= max(len(a), len(made[j])):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.removed for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), every_link=True).collect()}
+    assert got == {i: [0] if find(i) != i else [] for i in range(len(made))}
+    assert sum(map(len, got.values())) > 60

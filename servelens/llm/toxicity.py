@@ -9,12 +9,14 @@ visited by falling bound until no bound can reach the neighbours found.
 Votes weighted by the cosine's square, smoothed by the share of toxic examples, give
 the score; the neighbours are its evidence.
 
-Examples are at most ``EXAMPLES`` labelled rows, drawn by a hash of the id; that bounds the index.
-Examples with equal vectors are one point with counts.
+Every labelled row that may teach is an example, and every term that matters counts.  Examples with equal vectors are one point with
+counts.  Points lie in order of their heaviest terms in shards of about ``SHARD``, each with an index of its own; a text's vector is asked of all
+shards, once for all texts that share it, and the nearest of what the shards find are its neighbours.  The driver
+holds the terms that matter and how many documents have each, nothing that grows with the rows.
 
 Defined cases: a text without any of the words (empty or null too) has no neighbour and gets
 the toxic share of such examples; labels that are null or belong to no document teach
-nothing; several labels of one id count each; equal cosines go by the point's number; without
+nothing; several labels of one id count each; equal cosines go by the point's place in that order, then by its least id; without
 examples every score is 0; equal rows are scored each; other columns are never read.
 """
 
@@ -24,6 +26,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import bucket_of_id, saved, text_or_empty
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 256, 15, 64
+NEIGHBOURS, BLOCK = 15, 64
+#: Points of a shard, vectors asked of a shard in one task, counted words that a task holds.
+SHARD, ASKED, HELD = 8_192, 4_096, 300_000
 #: A term matters if its log odds, less two standard errors, exceed this, and in at least so many toxic examples.
 CLEAR, LEAST = 1.5, 3
 PREFIXES = (4, 5)
@@ -69,25 +74,20 @@ class _Numbered(dict):
 
 
 def _example_terms(batches):
-    for batch in B.chunks(batches, "text"):
-        toxic = batch.column("toxic").to_pylist()
-        found = Counter()
-        for y, words in zip(toxic, _words(batch), strict=True):
-            found.update((t, y) for t in {t for w in set(words) for t in _terms(w)})
-        if found:
-            words, ys = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ys, pa.int32()), pa.array(list(found.values()), pa.int64())], ["word", "toxic", "n"])
+    found = Counter()
 
+    def told():
+        words, ys = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ys, pa.int32()), pa.array(list(found.values()), pa.int64())], ["word", "toxic", "n"])
 
-def _document_terms(numbers: dict[bytes, int]):
-    def run(batches):
-        found, known = np.zeros(len(numbers), np.int64), _Numbered(numbers)
-        for batch in B.chunks(batches, "text"):
-            for words in _words(batch):
-                for t in {t for w in words for t in known[w]}:
-                    found[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["term", "n"])
-    return run
+    for batch in B.chunks(batches, "text"):
+        for y, words in zip(batch.column("toxic").to_pylist(), _words(batch), strict=True):
+            found.update((t, y) for t in {t for w in set(words) for t in _terms(w)})
+        if len(found) > HELD:
+            yield told()
+            found.clear()
+    if found:
+        yield told()
 
 
 def _vectors(numbers: dict[bytes, int]):
@@ -95,7 +95,7 @@ def _vectors(numbers: dict[bytes, int]):
         known = _Numbered(numbers)
         for batch in B.chunks(batches, "text"):
             out = [known.vector(words) for words in _words(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.string())], ["doc_id", "toxic", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.string())], ["doc_id", "held_out", "vector"])
     return run
 
 
@@ -120,11 +120,13 @@ class BlockMaxIndex:
         for p, v in enumerate(points):
             for t, x in v.items():
                 postings[t].append((p, x))
-        self.peak = np.zeros((terms, blocks))
+        self.row = np.full(terms, -1)
+        self.row[list(postings)] = np.arange(len(postings))
+        self.peak = np.zeros((len(postings), blocks))
         self.postings = {}
         for t, rows in postings.items():
             ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            np.maximum.at(self.peak[t], ids // block, x)
+            np.maximum.at(self.peak[self.row[t]], ids // block, x)
             self.postings[t] = (ids, x, np.searchsorted(ids, np.arange(blocks + 1) * block))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
@@ -132,7 +134,7 @@ class BlockMaxIndex:
         terms = [t for t in query if t in self.postings]
         if not terms:
             return []
-        bound = sum(query[t] * self.peak[t] for t in terms)
+        bound = sum(query[t] * self.peak[self.row[t]] for t in terms)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
@@ -147,89 +149,95 @@ class BlockMaxIndex:
         return [(-s, p) for s, p in best]
 
 
-class Voter:
-    """Scores by the neighbours' votes."""
-
-    def __init__(self, examples: dict[str, tuple[int, int, str]], idf: np.ndarray):
-        """``examples``: vector -> (examples, toxic ones, an id)."""
-        self.idf = idf
-        everything = [sum(e[i] for e in examples.values()) for i in (0, 1)]
-        self.prior = (everything[1] + 0.5) / (everything[0] + 1) if everything[0] else 0.0
-        plain, known = [0, 0], []
-        for v, (n, y, who) in examples.items():
-            weights = weighed(parsed(v), idf)
-            if weights:
-                known.append((weights, n, y, who))
-            else:
-                plain = [plain[0] + n, plain[1] + y]
-        self.plain = (plain[1] + 0.5 * self.prior) / (plain[0] + 0.5) if everything[0] else 0.0
-        # Alike points stand together, so that a block's bounds are tight.
-        known.sort(key=lambda p: (sorted(p[0], key=lambda t: (-p[0][t], t)), p[3]))
-        self.n, self.y, self.who = [p[1] for p in known], [p[2] for p in known], [p[3] for p in known]
-        self.index = BlockMaxIndex([p[0] for p in known], len(idf))
-
-    def score(self, vector: str) -> tuple[float, str]:
-        near = self.index.nearest(weighed(parsed(vector), self.idf), NEIGHBOURS)
-        if not near:
-            return self.plain, ""
-        votes = sum(s * s * self.n[p] for s, p in near)
-        toxic = sum(s * s * self.y[p] for s, p in near)
-        return (toxic + PRIOR * self.prior) / (votes + PRIOR), ",".join(self.who[p] for _, p in near[:3])
-
-
-def _score(numbers, examples, idf, kept):
+def _order(idf: np.ndarray):
+    """Adds a point's place: its terms, the heaviest first.  Alike points stand together, so that a block's bounds are tight."""
     def run(batches):
-        voter, known, terms = Voter(examples, idf), {}, _Numbered(numbers)
-        for batch in B.chunks(batches, "text"):
-            out = []
-            for words in _words(batch):
-                v = terms.vector(words)
-                got = known.get(v)
-                if got is None:
-                    if len(known) > 50_000:
-                        known.clear()
-                    got = known[v] = voter.score(v)
-                out.append(got)
-            score, evidence = (pa.array([o[i] for o in out], kind) for i, kind in ((0, pa.float64()), (1, pa.string())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], score, evidence], [*kept, "score", "evidence"])
+        for batch in batches:
+            weights = (weighed(parsed(v), idf) for v in batch.column("vector").to_pylist())
+            place = [",".join(f"{t:08d}" for t in sorted(w, key=lambda t: (-w[t], t))) for w in weights]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.string())], [*batch.schema.names, "place"])
+    return run
+
+
+def _terms_of(batches):
+    """(vector, term) with the other columns, a row per term of the vector."""
+    for batch in batches:
+        terms = [list(parsed(v)) for v in batch.column("vector").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(terms)), [len(t) for t in terms]))
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([t for x in terms for t in x], pa.int64())], [*batch.schema.names, "term"])
+
+
+def _nearest(idf: np.ndarray):
+    def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["place", "who", "vector"], kind="stable")
+        index = BlockMaxIndex([weighed(parsed(v), idf) for v in points["vector"]], len(idf))
+        n, y, who = (points[c].tolist() for c in ("n", "y", "who"))
+        shard = int(points["shard"].iloc[0]) if len(points) else 0
+        rows = [(v, -s, shard, p, n[p], y[p], who[p]) for v in asked["vector"] for s, p in index.nearest(weighed(parsed(v), idf), NEIGHBOURS)]
+        return pd.DataFrame(rows, columns=["vector", "far", "shard", "point", "n", "y", "who"])
     return run
 
 
-def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """doc_id, toxic, text of at most ``most`` labelled rows that may teach."""
-    marks = labels.where("doc_id is not null and toxic is not null").where(bucket_of_id() != 0).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    have = marks.count()
-    some = marks if have <= most else marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_050_000 * most / have) + 1000)
-    chosen = saved(some.orderBy(F.xxhash64("doc_id"), "toxic").limit(most), "examples")
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+def marks(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1) of the labels that may teach."""
+    return labels.where("doc_id is not null and toxic is not null").where(bucket_of_id() != 0).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], dict[str, tuple[int, int, str]], np.ndarray]:
-    """(number of each term, examples by vector, idf)."""
-    taught = saved(examples(docs, labels), "example-texts")
-    n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in taught.groupBy("toxic").count().collect()}
-    found = taught.mapInArrow(_example_terms, "word binary, toxic int, n long").groupBy("word").agg(
+def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, int]:
+    """Number of each term that matters, by all examples."""
+    taught = marks(labels)
+    n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in docs.select("doc_id").join(taught, "doc_id").groupBy("toxic").count().collect()}
+    # Merged at every size: labels are many, and a broadcast of them would have to fit each executor.
+    texts = docs.where(bucket_of_id() != 0).select("doc_id", text_or_empty().alias("text")).join(taught.hint("merge"), "doc_id").select("toxic", "text")
+    found = texts.mapInArrow(_example_terms, "word binary, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     c, d = n[1] - F.col("a") + 0.5, n[0] - F.col("b") + 0.5
     clear = F.log(a * d / (b * c)) - 2 * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    best = found.withColumn("z", clear).where((F.col("z") >= CLEAR) & (F.col("a") >= LEAST)).orderBy(F.desc("z"), "word").limit(TERMS).collect()
-    numbers = {bytes(r["word"]): i for i, r in enumerate(best)}
-    all_docs = docs.select(text_or_empty().alias("text"))
-    df = np.zeros(len(numbers))
-    for r in all_docs.mapInArrow(_document_terms(numbers), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        df[r[0]] = r[1]
-    total = all_docs.count()
-    idf = np.where(df > 0, np.log((total + 1) / np.maximum(df, 1)), 0.0)
-    points = (taught.mapInArrow(_vectors(numbers), f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, vector string").groupBy("vector")
-              .agg(F.count("*").alias("n"), F.sum("toxic").alias("y"), F.min("doc_id").cast("string").alias("who")).collect())  # at most EXAMPLES rows
-    return numbers, {r["vector"]: (r["n"], r["y"], r["who"]) for r in points}, idf
+    best = found.withColumn("z", clear).where((F.col("z") >= CLEAR) & (F.col("a") >= LEAST)).select("word", "z").collect()
+    return {bytes(r["word"]): i for i, r in enumerate(sorted(best, key=lambda r: (-r["z"], bytes(r["word"]))))}
+
+
+def neighbours(points: DataFrame, kinds: DataFrame, idf: np.ndarray) -> DataFrame:
+    """vector, near (the nearest points, structs of far, shard, point, n, y, who) for every vector of ``kinds`` with any."""
+    have, ask = points.count(), kinds.count()
+    columns = ", ".join(f"{c} {t}" for c, t in points.dtypes)
+    placed = points.mapInArrow(_order(idf), f"{columns}, place string")
+    placed = saved(placed.repartitionByRange(max(1, -(-have // SHARD)), "place", "who", "vector").withColumn("shard", F.spark_partition_id()), "points")
+    shards = F.sequence(F.lit(0), F.lit(max(1, -(-have // SHARD)) - 1))
+    asked = kinds.select("vector", F.explode(shards).alias("shard"))
+    parts = max(1, -(-ask // ASKED))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vector"), F.lit(parts)))
+    copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = copies.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(
+        _nearest(idf), "vector string, far double, shard int, point int, n long, y long, who string")
+    rows = F.sort_array(F.collect_list(F.struct("far", "shard", "point", "n", "y", "who")))  # NEIGHBOURS of each shard at most
+    return found.groupBy("vector").agg(F.slice(rows, 1, NEIGHBOURS).alias("near"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples) for every row of ``docs``."""
-    numbers, points, idf = learn(docs, labels)
+    numbers = learn(docs, labels)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", (bucket_of_id() == 0).alias("held_out"), text_or_empty().alias("text"))
-    got = rows.mapInArrow(_score(numbers, points, idf, ["doc_id", "held_out"]), f"doc_id {kind}, held_out boolean, score double, evidence string")
+    vectors = saved(rows.mapInArrow(_vectors(numbers), f"doc_id {kind}, held_out boolean, vector string"), "vectors")
+    kinds = saved(vectors.groupBy("vector").agg(F.count("*").alias("docs")), "vector-kinds")
+    idf, total = np.zeros(len(numbers)), kinds.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    for r in kinds.mapInArrow(_terms_of, "vector string, docs long, term long").groupBy("term").agg(F.sum("docs").alias("df")).collect():
+        idf[r["term"]] = np.log((total + 1) / r["df"])
+    points = saved(vectors.join(marks(labels), "doc_id").groupBy("vector").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("y"), F.min("doc_id").cast("string").alias("who")), "examples")
+    blank = F.col("vector") == ""
+    taught = points.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "y", F.when(blank, F.col("n")), F.when(blank, F.col("y")))]).first()
+    prior = (taught[1] + 0.5) / (taught[0] + 1) if taught[0] else 0.0
+    plain = (taught[3] + 0.5 * prior) / (taught[2] + 0.5) if taught[0] else 0.0
+
+    def votes(of: str):
+        return F.aggregate("near", F.lit(0.0), lambda acc, p: acc + p["far"] * p["far"] * p[of])
+
+    near = neighbours(points.where(~blank), kinds.where(~blank), idf)
+    told = saved(near.select("vector", ((votes("y") + PRIOR * prior) / (votes("n") + PRIOR)).alias("score"),
+                             F.array_join(F.slice(F.transform("near", lambda p: p["who"]), 1, 3), ",").alias("evidence")), "vector-scores")
+    known = vectors.where(~blank).join(told, "vector", "left").select("doc_id", "held_out", F.coalesce("score", F.lit(plain)).alias("score"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+    got = known.unionByName(vectors.where(blank).select("doc_id", "held_out", F.lit(plain).alias("score"), F.lit("").alias("evidence")))
     return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -241,6 +241,54 @@ def test_toxic_words_are_learned(spark):
     assert all(r.held_out == (bucket(i) == 0) for i, r in got.items())
 
 
+def test_every_example_and_term_counts(spark, monkeypatch):
+    """More examples and telling words than one index held; shards of a few points find what all points at once do."""
+    rng = random.Random(4)
+    bad = [f"b{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(300)]
+    rows = [(i, " ".join([rng.choice(["x", "y", "z"]), *(rng.sample(bad, 1 + i % 3) if i % 7 == 0 else [])])) for i in range(30_000)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(30_000)], "doc_id long, quality int, toxic int")
+    numbers = toxicity.learn(docs_, labels)
+    assert set(numbers) == {w.encode() for w in bad}
+    taught = [t for i, t in rows if bucket(i) != 0]
+    assert len(taught) > 20_000
+    whole = {r.doc_id: r for r in toxicity.scored(docs_, labels).collect()}
+    monkeypatch.setattr(toxicity, "SHARD", 500)
+    monkeypatch.setattr(toxicity, "ASKED", 400)
+    cut = {r.doc_id: r for r in toxicity.scored(docs_, labels).collect()}
+    assert whole == cut and len(cut) == len(rows)
+
+    def vector(text):
+        return Counter(numbers[w.encode()] for w in text.split() if w.encode() in numbers)
+
+    df = Counter(t for _, text in rows for t in vector(text))
+    idf = [math.log((len(rows) + 1) / df[t]) for t in range(len(numbers))]
+
+    def weights(v):
+        raw = {t: (1 + math.log(n)) * idf[t] for t, n in v.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / norm for t, x in raw.items()}
+
+    points = defaultdict(lambda: [0, 0])
+    for i, text in rows:
+        if bucket(i) != 0:
+            p = points[tuple(sorted(vector(text).items()))]
+            p[0] += 1
+            p[1] += i % 7 == 0
+    n, y = (sum(p[k] for p in points.values()) for k in (0, 1))
+    prior = (y + 0.5) / (n + 1)
+    known = [(weights(dict(v)), *p) for v, p in points.items() if v]
+    for i in range(0, 2_100, 21):
+        q = weights(vector(rows[i][1]))
+        near = sorted(((sum(x * w.get(t, 0.0) for t, x in q.items()), a, b) for w, a, b in known), key=lambda p: -p[0])[:15]
+        lowest = near[-1][0]
+        if sum(abs(sum(x * w.get(t, 0.0) for t, x in q.items()) - lowest) < 1e-9 for w, *_ in known) > 1:
+            continue  # a tie for the last place
+        near = [p for p in near if p[0] > 0]
+        want = (sum(c * c * b for c, _, b in near) + 0.5 * prior) / (sum(c * c * a for c, a, _ in near) + 0.5)
+        assert abs(cut[i].score - want) < 1e-9
+
+
 def test_toxicity_without_examples(docs, none, spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.scored(docs, empty).collect()} == {0.0}

@@ -228,19 +228,21 @@ def group_notifications(changes: DataFrame, keys: list[str], late: str = "1 minu
     out = ", ".join([*(f"`{k}` string" for k in keys), "t bigint", "n_firing bigint", "reason string"])
 
     def flushes(firing, pending, nxt, sent, now):
-        """Flush every due slot up to ``now``."""
-        rows = []
+        """Flush every due slot up to ``now``; ``pending`` is in time order and each change is passed once."""
+        rows, at = [], 0
         while nxt is not None and nxt <= now:
-            due = [p for p in pending if p[0] <= nxt]
-            pending = [p for p in pending if p[0] > nxt]
-            firing += sum(p[1] for p in due)
-            if due:
+            first = at
+            while at < len(pending) and pending[at][0] <= nxt:
+                firing += pending[at][1]
+                at += 1
+            if at > first:
                 rows.append((nxt, firing, "resolved" if firing == 0 else "changed"))
                 sent = nxt
             elif firing > 0 and nxt - sent >= repeat:
                 rows.append((nxt, firing, "repeat"))
                 sent = nxt
-            nxt = nxt + interval if firing > 0 or pending else None
+            nxt = nxt + interval if firing > 0 or at < len(pending) else None
+        pending = pending[at:]
         return firing, pending, nxt, sent, rows
 
     def fold(key, pdfs, state: GroupState):

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,17 @@ def test_notifications_across_batches(spark, tmp_path):
     assert sorted((r.t - base, r.n_firing, r.reason) for r in got.where("node = 'g'").collect()) == [(30, 1, "changed"), (1230, 0, "resolved")]
 
 
+def test_notifications_pass_each_change_once(spark, tmp_path):
+    """A group's changes are not looked through at every flush: 120,000 of them over 8,640 slots took minutes."""
+    n = 120_000
+    d = spark.range(n).select(F.lit("g").alias("node"), F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") * 21.6).cast("long")).alias("ts"), F.lit(1).alias("delta"))
+    began = time.monotonic()
+    got = run(spark, d, lambda x: W.group_notifications(x, ["node"], "0 seconds"), str(tmp_path), [F.lit(True)]).orderBy("t").collect()
+    assert time.monotonic() - began < 60
+    base = 1704067200
+    assert [(r.t, r.n_firing, r.reason) for r in got] == [(t, min(n, int((t - base + 1) / 21.6 + 1 - 1e-9)), "changed") for t in range(base + 30, base + int((n - 1) * 21.6) + 1, 300)]
+
+
 def fixed():
     """A scorer defined locally, so that it travels to the workers by value."""
     def judge(prompts):

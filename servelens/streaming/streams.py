@@ -9,9 +9,12 @@ the state are skipped.  The caller chooses sources, sinks, triggers and checkpoi
 """
 
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +24,9 @@ from ..operators import traces as E
 from ..operators.alerts import GROUP_INTERVAL, GROUP_WAIT, REPEAT_INTERVAL
 from ..operators.logs import TokenBucket, classify_lines, clean_lines
 
+#: Lines of a source that :func:`rate_limited` takes through its bucket at once, and bytes of them that wait in memory.
+AT_ONCE, HELD_BYTES = 1 << 16, 1 << 22
+
 
 def windowed_counts(df: DataFrame, ts: str, by: list[str], size: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """Tumbling counts by labels; rows later than ``late`` are dropped."""
@@ -56,26 +62,48 @@ def _until(state: GroupState, seconds: float) -> None:
 def rate_limited(lines: DataFrame, rate: float, late: str = "10 minutes") -> DataFrame:
     """Token bucket per source with the bucket as state: ``(source, seq, ts, line, accepted)``.
 
-    A source that rests until its bucket is full again is forgotten: a new bucket is as full.
+    A source that rests until its bucket is full again is forgotten: a new bucket is as full.  Of a micro-batch, only times and
+    numbers are held and sorted, 16 bytes a line; the lines themselves wait in a temporary file, from which they are told in the order they came.
     """
+    waiting = pa.schema([("seq", pa.int64()), ("ts", pa.timestamp("ns")), ("line", pa.string())])
+
     def fold(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        d = _ordered(pdfs, ["ts", "seq"])
-        if d.empty:
-            return
-        full_at, last = state.get if state.exists else (None, None)
-        bucket = TokenBucket(rate, full_at)
-        nanos = d["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000
-        if last is not None:
-            # a late line cannot move the clock back
-            nanos = nanos.clip(min=last)
-        ok = bucket.take(nanos)
-        full_at = bucket.full_at if bucket.full_at is not None else int(nanos[-1])
-        state.update((int(full_at), int(nanos[-1])))
-        _until(state, full_at / 1e9)
-        yield d[["source", "seq", "ts", "line"]].assign(accepted=ok)
+        with tempfile.SpooledTemporaryFile(HELD_BYTES) as file:
+            times, seqs = [], []
+            with pa.ipc.new_stream(file, waiting, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for d in pdfs:
+                    if len(d):
+                        times.append(d["ts"].to_numpy("datetime64[us]"))
+                        seqs.append(d["seq"].to_numpy())
+                        out.write_batch(pa.RecordBatch.from_pandas(d[waiting.names], waiting, preserve_index=False))
+            if not times:
+                return
+            times = np.concatenate(times)
+            seqs = np.concatenate(seqs)
+            order = np.lexsort((seqs, times))
+            del seqs
+            full_at, last = state.get if state.exists else (None, None)
+            bucket, ok = TokenBucket(rate, full_at), np.empty(len(order), dtype=bool)
+            for at in range(0, len(order), AT_ONCE):
+                some = order[at:at + AT_ONCE]
+                nanos = times[some].astype("int64") * 1000
+                if last is not None:
+                    # a late line cannot move the clock back
+                    nanos = nanos.clip(min=last)
+                ok[some] = bucket.take(nanos)
+            del times, order
+            full_at = bucket.full_at if bucket.full_at is not None else int(nanos[-1])
+            state.update((int(full_at), int(nanos[-1])))
+            _until(state, full_at / 1e9)
+            file.seek(0)
+            at = 0
+            for batch in pa.ipc.open_stream(file):
+                d = batch.to_pandas()
+                yield d.assign(source=key[0], accepted=ok[at:at + len(d)])[["source", "seq", "ts", "line", "accepted"]]
+                at += len(d)
 
     return lines.select("source", "seq", "ts", "line").withWatermark("ts", late).groupBy("source").applyInPandasWithState(
         fold, "source string, seq bigint, ts timestamp, line string, accepted boolean", "full_at bigint, last bigint",

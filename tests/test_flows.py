@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import os
 import random
+import threading
 import time
 
 import pytest
@@ -120,6 +122,54 @@ def test_rate_limit_across_batches(spark, tmp_path):
     assert got == {r.seq: r.accepted for r in G.rate_limit(d, 10.0, 1).collect()}
 
 
+class PythonMemory(threading.Thread):
+    """``most``: the largest resident set, in MB, of a Python process below this one while the block ran."""
+
+    def __enter__(self):
+        self.daemon, self.most, self.ended = True, 0, False
+        self.start()
+        return self
+
+    def __exit__(self, *_):
+        self.ended = True
+        self.join()
+
+    def run(self):
+        while not self.ended:
+            seen = {}
+            for pid in filter(str.isdigit, os.listdir("/proc")):
+                try:
+                    with open(f"/proc/{pid}/stat") as f:
+                        name, rest = f.read().split("(", 1)[1].rsplit(")", 1)
+                    seen[int(pid)] = int(rest.split()[1]), name, int(rest.split()[21]) * os.sysconf("SC_PAGE_SIZE") >> 20
+                except OSError:
+                    pass
+            for pid, (parent, name, size) in seen.items():
+                while parent in seen and parent != os.getpid():
+                    parent = seen[parent][0]
+                if parent == os.getpid() and name.startswith("python"):
+                    self.most = max(self.most, size)
+            time.sleep(0.1)
+
+
+def test_rate_limit_holds_no_lines(spark, tmp_path):
+    """320 MB of one source's lines in one micro-batch pass through Python without being held there; PySpark itself keeps up to 57 of its batches."""
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), 50)
+    d = spark.range(0, 100_000, 1, 8).select(F.lit("s").alias("source"), F.col("id").alias("seq"), F.timestamp_millis(F.lit(1704067200000) + F.pmod(F.col("id") * 7919, F.lit(100_000)) * 10).alias("ts"), text.alias("line"))
+    d.write.parquet(str(tmp_path / "lines"))
+    d = spark.read.parquet(str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        with PythonMemory() as memory:
+            got = run(spark, d, lambda x: W.rate_limited(x, 10.0), str(tmp_path), [F.lit(True)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert memory.most < 600
+    want = G.rate_limit(d, 10.0, 60).select("seq", "accepted", F.crc32(F.col("line").cast("binary")).alias("c"))
+    told = got.select("seq", "accepted", F.crc32(F.col("line").cast("binary")).alias("c"))
+    assert told.count() == 100_000 and told.exceptAll(want).count() == 0
+
+
 def test_alert_states_across_batches(spark, tmp_path):
     base = 1_704_067_200
     rows = [("a", base + t, 1.0) for t in (0, 30, 60, 90, 150, 180, 240)]

@@ -26,6 +26,8 @@ from ..operators.logs import TokenBucket, classify_lines, clean_lines
 
 #: Lines of a source that :func:`rate_limited` takes through its bucket at once, and bytes of them that wait in memory.
 AT_ONCE, HELD_BYTES = 1 << 16, 1 << 22
+#: States that the series of :func:`counter_increments` are dealt over; a checkpoint depends on it.
+SHARDS = 1024
 
 
 def windowed_counts(df: DataFrame, ts: str, by: list[str], size: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -113,34 +115,53 @@ def rate_limited(lines: DataFrame, rate: float, late: str = "10 minutes") -> Dat
 def counter_increments(samples: DataFrame, keys: list[str], late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
     """Reset-aware increments with the last value per series as state: ``(keys.., ts, inc)``.
 
-    A series that is silent for ``idle`` is forgotten and starts anew, with an increment of 0.
+    A series that is silent for ``idle`` is forgotten and starts anew, with an increment of 0.  Series are dealt by hash over ``SHARDS``
+    states, so that Python is called once per shard and not once per series; each series keeps its own time to be forgotten.
     """
     schema = samples.select(*keys).schema
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "ts timestamp", "inc double"])
     rest = pd.Timedelta(idle).total_seconds()
 
     def fold(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        names, *numbers = state.get if state.exists else ([], [], [], [])
+        last, seen, until = (np.array(x, dtype=t) for x, t in zip(numbers, ("float64", "float64", "int64")))
+        came = np.zeros(len(names), dtype=bool)
+        d = pd.DataFrame() if state.hasTimedOut else pd.concat([p for p in pdfs if len(p)])
+        if len(d):
+            old = len(names)
+            of, names = pd.factorize(np.concatenate([np.array(names, dtype=object), d["_series"].to_numpy(dtype=object)]))
+            of, new = of[old:], len(names) - old
+            last, until = np.append(last, np.full(new, np.nan)), np.append(until, np.full(new, mark))
+            seen, came = np.append(seen, np.full(new, -np.inf)), np.append(came, np.zeros(new, dtype=bool))
+            came[of] = True
+            at, value = _seconds(d["ts"]).to_numpy(), d["value"].to_numpy(dtype="float64")
+            order = np.lexsort((at, of))
+            order = order[~np.isnan(value[order]) & (at[order] > seen[of[order]])]
+            of, at, value = of[order], at[order], value[order]
+            if len(of):
+                first = np.append(True, of[1:] != of[:-1])
+                prev = np.append(np.nan, value[:-1])
+                prev[first] = np.where(np.isinf(seen[of[first]]), value[first], last[of[first]])
+                with np.errstate(invalid="ignore"):
+                    inc = np.where(value >= prev, value - prev, value)
+                yield d[[*keys, "ts"]].iloc[order].assign(inc=inc)
+                ends = np.append(first[1:], True)
+                last[of[ends]], seen[of[ends]] = value[ends], at[ends]
+            live = came & ~np.isinf(seen)
+            until[live] = np.maximum(np.ceil((seen[live] + rest) * 1000).astype("int64"), mark + 1)
+        # As with a state of its own, a series' time is up once the watermark has passed it and no sample came along.
+        kept = ~np.isinf(seen) & (came | (until >= mark))
+        if kept.any():
+            state.update((np.array(names, dtype=object)[kept].tolist(), last[kept].tolist(), seen[kept].tolist(), until[kept].tolist()))
+            state.setTimeoutTimestamp(max(int(until[kept].min()), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        d = _ordered(pdfs, ["ts"]).dropna(subset=["value"])
-        last, seen = state.get if state.exists else (None, None)
-        if seen is not None:
-            d = d[_seconds(d["ts"]) > seen]
-        if d.empty:
-            if state.exists:
-                _until(state, seen + rest)
-            return
-        prev = d["value"].shift()
-        prev.iloc[0] = d["value"].iloc[0] if last is None else last
-        inc = (d["value"] - prev).where(d["value"] >= prev, d["value"])
-        seen = float(_seconds(d["ts"]).iloc[-1])
-        state.update((float(d["value"].iloc[-1]), seen))
-        _until(state, seen + rest)
-        yield d[[*keys, "ts"]].assign(inc=inc.astype(float))
-
-    return samples.select(*keys, "ts", "value").withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(
-        fold, out, "last double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
+
+    series = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]).cast("array<string>"))
+    dealt = samples.select(*keys, "ts", "value", series.alias("_series")).withColumn("_shard", F.pmod(F.xxhash64("_series"), F.lit(SHARDS)))
+    return dealt.withWatermark("ts", late).groupBy("_shard").applyInPandasWithState(
+        fold, out, "names array<string>, last array<double>, seen array<double>, until array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alert_states(cond: DataFrame, keys: list[str], hold: int, interval: int, late: str = "5 minutes") -> DataFrame:

@@ -122,6 +122,24 @@ def test_rate_limit_across_batches(spark, tmp_path):
     assert got == {r.seq: r.accepted for r in G.rate_limit(d, 10.0, 1).collect()}
 
 
+def test_many_series_share_states(spark, tmp_path):
+    """3,000 series are dealt over at most ``SHARDS`` states; each keeps its own last value and is forgotten by its own time."""
+    rows = [(f"k{i}" if i else None, i % 2 == 0, ts(600 * b + i % 7), float((i * 31 + b * 17) % 50)) for i in range(3000) for b in range(2)]
+    rows += [(f"k{i}", i % 2 == 0, ts(20000), 100.0) for i in range(1, 3000, 3)] + [(f"k{i}", i % 2 == 0, ts(20300), 70.0) for i in range(1, 3000, 2)]
+    d = spark.createDataFrame(rows, "s string, even boolean, ts timestamp, value double")
+    build, splits = lambda x: W.counter_increments(x, ["s", "even"], idle="1 hour"), [F.col("ts") < ts(300), F.col("ts").between(ts(300), ts(5000)), F.col("ts") == ts(20000), F.col("ts") == ts(20300)]
+    got = run(spark, d, build, str(tmp_path / "a"), splits)
+    want, before = [], {}
+    for k, even, t, v in sorted(rows, key=lambda r: r[2]):
+        last = before.get(k)
+        # the third batch still finds the series of the first two, which are forgotten before the fourth
+        known = last is not None and not (t == ts(20300) and last[0] < ts(20000))
+        want.append((str(k), even, t, 0.0 if not known else v - last[1] if v >= last[1] else v))
+        before[k] = t, v
+    assert sorted((str(r.s), r.even, r.ts, r.inc) for r in got.collect()) == sorted(want)
+    assert kept_state(spark, d, build, str(tmp_path / "b"), splits[:1]) <= W.SHARDS
+
+
 class PythonMemory(threading.Thread):
     """``most``: the largest resident set, in MB, of a Python process below this one while the block ran."""
 

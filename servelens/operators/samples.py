@@ -47,6 +47,18 @@ def normalise_labels(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
+def label_pairs(labels: Column) -> Column:
+    """Label pairs in key order, equal where :func:`normalise_labels` is, which costs more per sample; :func:`pairs_text` makes the text of them."""
+    some_null = F.get(F.sort_array(F.map_values(labels)), F.lit(0)).isNull()  # nulls come first; the text leaves them out
+    without = F.from_json(F.to_json(labels), "map<string,string>")
+    return F.sort_array(F.map_entries(F.when(some_null & (F.size(labels) > 0), without).otherwise(labels)))
+
+
+def pairs_text(pairs: Column) -> Column:
+    """The series identity text of :func:`label_pairs`."""
+    return F.to_json(F.map_from_entries(pairs))
+
+
 def matcher(labels: Column, eq: dict | None = None, re: dict | None = None) -> Column:
     """Label matchers ``=`` and anchored ``=~``; a missing label reads as ''."""
     cond = F.lit(True)
@@ -125,28 +137,39 @@ def counter_increments(df: DataFrame, res: int, series: list[str] | None = None,
                        tie: str | None = None) -> DataFrame:
     """Reset-aware increments per (series, bucket): ``(series.., t, _band, _n, _units)``.
 
-    Inside a bucket the previous sample comes from a window over
+    Between two restarts a counter grows by its last value less its first, so that of all samples only the ends of a bucket and
+    those around a drop are added up.  The sample before comes from a window over
     ``(series, bucket)``; across buckets from the one-row-per-bucket summary.
     All but that last step share one shuffle by ``(series, bucket)``.  A band may
-    have two rows in a bucket.  NaN samples are left out; growth to +Inf counts as
-    +Inf, and staying there as 0.
+    have two rows in a bucket; ``_n`` counts the steps.  Samples that are NaN or null are left out; samples of one time
+    count from the smallest up.  Growth to +Inf counts as +Inf, and staying there as 0.
     """
     keys = _keys(df, series)
     keys = [k for k in keys if k != tie]
-    order = ["ts"] + ([tie] if tie else [])
-    d = dealt(df.where(~F.isnan("value")).withColumn("t", bucket_end("ts", res)), *keys, "t")
-    here = Window.partitionBy(*keys, "t")
-    d = d.withColumn("_prev", F.lag("value").over(here.orderBy(*order)))
-    later = F.when(F.col("_prev").isNotNull(), step_increment(F.col("value"), F.col("_prev")))
-    d = d.withColumn("_band", X.band(later)).withColumn("_units", X.units(later, F.col("_band")))
+    order = ["ts"] + ([tie] if tie else []) + ["value"]
+    d = dealt(df.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("t", bucket_end("ts", res)), *keys, "t")
+    here = Window.partitionBy(*keys, "t").orderBy(*order)
+    d = d.select(*keys, "t", *order, F.lag("value").over(here).alias("_prev"), F.lead(F.lit(1)).over(here).isNull().alias("_end"),
+                 F.row_number().over(here).alias("_i"))
+    drop = F.col("value") < F.col("_prev")
+    d = d.where(F.col("_prev").isNull() | F.col("_end") | drop)
+    d = d.select(*keys, "t", "value", "_prev", "_end", "_i", F.lag("value").over(here).alias("_from"), F.lag("_i").over(here).alias("_at"))
+    # What was there before a drop, or at the end, less the first value since the restart, and what there is after a drop.
+    upto = F.when(drop, F.col("_prev")).otherwise(F.col("value"))
+    steps = F.col("_i") - F.col("_at") - F.when(drop, 1).otherwise(0)
+    grown = F.when(steps > 0, F.struct(steps.cast("bigint").alias("_n"), step_increment(upto, F.col("_from")).alias("_inc")))
+    anew = F.when(drop, F.struct(F.lit(1).cast("bigint").alias("_n"), F.col("value").alias("_inc")))
+    d = d.select(*keys, "t", "value", "_prev", "_end", F.explode(F.array(grown, anew)).alias("_g"))
+    d = d.where(F.col("_g").isNotNull() | F.col("_prev").isNull() | F.col("_end"))
+    d = d.withColumn("_band", X.band(F.col("_g._inc"))).withColumn("_units", X.units(F.col("_g._inc"), F.col("_band")))
     per = d.groupBy(*keys, "t", "_band").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_units").cast(X.UNITS).alias("_units"), F.max(F.struct(*order, "value")).alias("_top"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("value"))).alias("_first"))
+        F.sum("_g._n").alias("_n"), F.sum("_units").cast(X.UNITS).alias("_units"),
+        F.max(F.when(F.col("_end"), F.col("value"))).alias("_top"), F.max(F.when(F.col("_prev").isNull(), F.col("value"))).alias("_first"))
     per = per.groupBy(*keys, "t").agg(
         F.collect_list(F.when(F.col("_band").isNotNull(), F.struct("_band", "_n", "_units"))).alias("_rows"),
         F.max("_top").alias("_top"), F.max("_first").alias("_first"))
     # A bucket's first sample grows from the last one of the bucket before.
-    before = F.lag(F.col("_top")["value"]).over(Window.partitionBy(*keys).orderBy("t"))
+    before = F.lag("_top").over(Window.partitionBy(*keys).orderBy("t"))
     per = per.withColumn("_inc", step_increment(F.col("_first"), before)).withColumn("_band", X.band(F.col("_inc")))
     first = F.struct("_band", F.lit(1).cast("bigint").alias("_n"), X.units(F.col("_inc"), F.col("_band")).alias("_units"))
     return per.select(*keys, "t", F.explode(F.concat("_rows", F.array(first))).alias("_r")).select(*keys, "t", "_r.*")

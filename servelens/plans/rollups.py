@@ -58,7 +58,8 @@ def roll_up(source: Source, wanted: set[tuple[str, str]]) -> RolledUp:
     tables = {}
     for kind in sorted({k for k, _ in wanted}):
         metrics = sorted(m for k, m in wanted if k == kind)
-        d = source.samples_of(metrics).select("metric", S.normalise_labels(F.col("labels")).alias(S.SERIES), "ts", "value")
+        d = source.samples_of(metrics).select("metric", S.label_pairs(F.col("labels")).alias(S.SERIES), "ts", "value")
         roll = {"last": S.gauge_rollup, "sum": S.value_rollup, "counter": S.counter_increments}[kind](d, source.bucket)
+        roll = roll.withColumn(S.SERIES, S.pairs_text(F.col(S.SERIES)))
         tables[kind] = saved(roll.repartition("metric"), f"rollup-{kind}", ("metric",))
     return RolledUp(source.samples, source.grid, source.naming, source.lookback, source.res, tables=tables)

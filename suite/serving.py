@@ -18,6 +18,8 @@ from servelens.plans.source import Source
 from .adapters import EV, T0, bucket_counts, events
 
 FAST = 60
+# Gauges that come out of one pass over the calls: code for many more is too long for the JVM to compile.
+TOGETHER = 8
 GRID = Grid(T0, T0 + 43200, 60)
 
 FAST_EV = EV.replace("ev AS (", "ev0 AS (") + f""", ev AS (
@@ -29,12 +31,14 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).withColumn("us", us.cast("bigint")).withColumn("ts", F.timestamp_micros("us"))
 
 
-def _sample(d: DataFrame, metric: str, labels: dict[str, str | Column], value: Column, own: bool = True):
+def _map(labels: dict[str, str | Column]) -> Column:
     pairs = [x for k, v in labels.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
+def _sample(d: DataFrame, metric: str, labels: dict[str, str | Column], value: Column, own: bool = True):
     name = DEFAULT_NAMING.m(metric) if own else metric
-    return name, d.select(F.lit(name).alias("metric"),
-                    (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("labels"),
-                    "ts", value.cast("double").alias("value"))
+    return name, d.select(F.lit(name).alias("metric"), _map(labels).alias("labels"), "ts", value.cast("double").alias("value"))
 
 
 def _counter(d: DataFrame, metric: str, labels: list[str], amount: Column, job: str = "proxy", where: Column | None = None):
@@ -51,7 +55,12 @@ def _histogram(d: DataFrame, metric: str, col: str):
 
 
 def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]]:
-    """One sample per event and metric, kept apart by metric name.
+    """One sample per event and metric, kept apart by metric name."""
+    return _derived(spark, sf)[0]
+
+
+def _derived(spark: SparkSession, sf: str) -> tuple[dict[str, list[DataFrame]], DataFrame, dict[str, list[Column]]]:
+    """Samples by metric; the calls; and of the metrics that are gauges, per call, structs (metric, labels, value) or null.
 
     Means that a rule compares are of binary fractions, so that Spark's exact sums and DuckDB's agree at the limit.
     """
@@ -93,8 +102,13 @@ def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]
     proxy, hw, sup = ({"job": DEFAULT_NAMING.j(j)} for j in ("proxy", "hw", "supervisor"))
     node, model, kind = {"node": F.col("node")}, {"model": F.col("model")}, {"kind": F.col("kind")}
 
+    gauges: dict[str, list[Column]] = {}
+
     def gauge(metric, labels, value, where=None, own=True):
-        parts.append(_sample(d if where is None else d.where(where), metric, labels, value, own))
+        name, part = _sample(d if where is None else d.where(where), metric, labels, value, own)
+        parts.append((name, part))
+        one = F.struct(F.lit(name).alias("metric"), _map(labels).alias("labels"), value.cast("double").alias("value"))
+        gauges.setdefault(name, []).append(one if where is None else F.when(where, one))
 
     for name, value in {
             "hw_gpu_utilization_percent": F.least(v / 4, F.lit(100.0)), "hw_gpu_iokit_util_percent": k, "hw_gpu_frequency_mhz": k * 12,
@@ -139,7 +153,7 @@ def samples_by_metric(spark: SparkSession, sf: str) -> dict[str, list[DataFrame]
     out: dict[str, list[DataFrame]] = {}
     for name, part in parts:
         out.setdefault(name, []).append(part)
-    return out
+    return out, d, gauges
 
 
 def serving_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,9 +163,15 @@ def serving_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class ByMetric(Source):
-    """A source over samples kept apart by metric (a metric-partitioned table in memory)."""
+    """A source over samples kept apart by metric (a metric-partitioned table in memory).
+
+    ``gauges`` holds the metrics that are one struct (metric, labels, value) or null per row of ``calls``:
+    several of them come out of one pass over the calls.
+    """
 
     parts: dict = field(default_factory=dict, hash=False)
+    calls: DataFrame | None = field(default=None, hash=False)
+    gauges: dict = field(default_factory=dict, hash=False)
 
     def _series(self, metric, labels, eq, re, raw):
         name = metric if raw else self.naming.m(metric)
@@ -159,13 +179,18 @@ class ByMetric(Source):
         return S.select_series(mine, name, list(labels), eq, re)
 
     def samples_of(self, metrics):
-        return reduce(DataFrame.unionByName, [p for m in metrics for p in self.parts[m]])
+        parts = [p for m in metrics if m not in self.gauges for p in self.parts[m]]
+        side = [g for m in metrics for g in self.gauges.get(m, ())]
+        for i in range(0, len(side), TOGETHER):
+            each = self.calls.select("ts", F.array(*side[i:i + TOGETHER]).alias("_s")).select("ts", F.explode("_s").alias("_s")).where("_s IS NOT NULL")
+            parts.append(each.select("_s.metric", "_s.labels", "ts", "_s.value"))
+        return reduce(DataFrame.unionByName, parts)
 
 
 @lru_cache(maxsize=4)
 def _shared(spark: SparkSession, sf: str, grid: Grid) -> Source:
-    parts = samples_by_metric(spark, sf)
-    return ByMetric(next(iter(parts.values()))[0], grid, parts=parts)
+    parts, d, gauges = _derived(spark, sf)
+    return ByMetric(next(iter(parts.values()))[0], grid, parts=parts, calls=d, gauges=gauges)
 
 
 def source(spark: SparkSession, sf: str, grid: Grid = GRID) -> Source:

@@ -13,6 +13,7 @@ from servelens.operators import samples as S
 from servelens.operators import vector as V
 from servelens.operators.slices import dealt
 from suite.adapters import bucket_counts
+from suite.serving import ByMetric
 
 BASE = 1_704_067_200
 GRID = S.Grid(BASE, BASE + 1800, 60)
@@ -144,3 +145,31 @@ def test_bucket_counts_sort_a_row_per_event(spark):
     assert sorted((r.model, r.le, r.ts, r.value) for r in got.collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Window")  # unfolded above the window
+
+
+def test_null_samples_and_drops_inside_a_bucket(spark):
+    """A null sample is none: what follows it still grows from the sample before."""
+    d = spark.createDataFrame([("a", t, v) for t, v in [(1, 0.0), (2, 10.0), (3, None), (4, 30.0), (5, 4.0), (6, 9.0)]], "s string, x int, value double")
+    d = d.select("s", F.timestamp_seconds(F.lit(BASE) + F.col("x")).alias("ts"), "value")
+    got = S.counter_increments(d, 60).groupBy("t").agg(F.sum("_n").alias("n")).collect()
+    assert [(r.t - BASE, r.n) for r in got] == [(60, 5)]  # four steps and the first sample
+    assert S.increase(S.counter_increments(d, 60), 60, GRID).first().value == 39.0
+
+
+def test_label_pairs_tell_the_series_that_the_text_tells(spark):
+    rows = [({"b": "1", "a": "2"},), ({"a": "2", "b": "1", "c": None},), ({},), ({"a": None},), (None,), ({"a": 'x", "b'},)]
+    d = spark.createDataFrame(rows, "labels map<string,string>")
+    got = d.select(S.label_pairs(F.col("labels")).alias("p"), S.normalise_labels(F.col("labels")).alias("text"))
+    for r in got.select("text", S.pairs_text(F.col("p")).alias("again")).collect():
+        assert r.text == r.again
+    assert got.groupBy("p").agg(F.count_distinct(F.coalesce("text", F.lit("null"))).alias("n")).where("n > 1").count() == 0
+    assert got.select("p").distinct().count() == got.select("text").distinct().count()
+
+
+def test_gauges_of_a_metric_source_share_a_pass(spark):
+    calls = spark.createDataFrame([(i, f"n{i % 2}", float(i)) for i in range(6)], "x int, node string, v double").withColumn("ts", F.timestamp_seconds(F.lit(BASE) + F.col("x")))
+    one = lambda name: F.struct(F.lit(name).alias("metric"), F.create_map(F.lit("node"), F.col("node")).alias("labels"), F.col("v").alias("value"))
+    source = ByMetric(calls, GRID, calls=calls, gauges={"g": [one("g")], "h": [F.when(F.col("x") > 3, one("h"))]})
+    got = source.samples_of(["g", "h"])
+    assert got.columns == ["metric", "labels", "ts", "value"]
+    assert sorted((r.metric, r.labels["node"], r.value) for r in got.collect()) == sorted([*[("g", f"n{i % 2}", float(i)) for i in range(6)], ("h", "n0", 4.0), ("h", "n1", 5.0)])

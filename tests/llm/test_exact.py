@@ -352,3 +352,64 @@ def test_lines_lose_no_link(spark):
     got = {r.doc_id: r.removed for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), every_link=True).collect()}
     assert got == {i: [0] if find(i) != i else [] for i in range(len(made))}
     assert sum(map(len, got.values())) > 60
+
+
+def test_bucket_rows_of_lines_that_share_nothing_are_not_written(spark, monkeypatch):
+    rng, rows = random.Random(31), Counter()
+    texts = [" ".join(f"v{a}x{b}".translate(str.maketrans("0123456789", "abcdefghij")) for b in range(rng.randint(20, 40))) for a in range(40)]
+    write = linededup.saved
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "saved", counted)
+    got = linededup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every_link=True)
+    assert all(not r.removed for r in got.collect())
+    assert max(rows.values()) <= len(texts)  # of about 20 buckets a line
+
+
+def test_signatures_of_short_and_long_lines(spark):
+    rng = random.Random(37)
+    made = [[rng.choice("abcdefghijklmnopq") + str(rng.randrange(k)) for _ in range(n)] for n, k in ((1, 5), (4, 9), (127, 3), (128, 50), (129, 2), (700, 400))]
+    df = spark.createDataFrame([(i, len(w), " ".join(w)) for i, w in enumerate(made)], "node long, n int, t string")
+    kinds = df.select("node", "n", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("w"))
+    want = {r[0]: r[1] for r in df.select("node", linededup.simhash(F.col("t"))).collect()}
+    signed = linededup.signatures(kinds)
+    assert {r.node: r.sim for r in signed.collect()} == want
+    for r in signed.collect():
+        assert r.marks.n == len(made[r.node])
+        odd = {w for w, c in Counter(made[r.node]).items() if c % 2}
+        assert sum((m % (1 << 64)).bit_count() for m in r.marks[1:]) <= len(odd)
+
+
+def test_links_of_long_lines_that_repeat_few_words(spark):
+    rng = random.Random(41)
+    made = []
+    for n in (linededup.LONG - 1, linededup.LONG, 200, 240):
+        for base in ([["x", "y", "z"][i % 3] for i in range(n)], [rng.choice(["x", "y", "p", "q"]) for _ in range(n)], [f"w{chr(97 + rng.randrange(26))}" for _ in range(n)]):
+            made.append(base)
+            for edits in (n // 5 - 1, n // 5, n // 5 + 2):
+                w = list(base)
+                for at in rng.sample(range(n), edits):
+                    w[at] = "new" + chr(97 + rng.randrange(26))
+                made.append(w)
+
+    def distance(a, b):
+        prev = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            step = np.minimum(prev[1:] + 1, prev[:-1] + np.array([x != y for y in b]))
+            prev = np.minimum.accumulate(np.concatenate([[i], step]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+        return int(prev[-1])
+
+    root = list(range(len(made)))
+    for i, a in enumerate(made):
+        for j in range(i):
+            if 5 * distance(a, made[j]) <= max(len(a), len(made[j])):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    got = {r.doc_id: r.removed for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), every_link=True).collect()}
+    assert got == {i: [0] if root[i] != i else [] for i in range(len(made))}
+    assert 8 < sum(map(len, got.values())) < len(made) - 8

@@ -359,8 +359,8 @@ def test_bucket_rows_of_lines_that_share_nothing_are_not_written(spark, monkeypa
     texts = [" ".join(f"v{a}x{b}".translate(str.maketrans("0123456789", "abcdefghij")) for b in range(rng.randint(20, 40))) for a in range(40)]
     write = linededup.saved
 
-    def counted(df, name):
-        out = write(df, name)
+    def counted(df, name, **options):
+        out = write(df, name, **options)
         rows[name] += out.count()
         return out
 
